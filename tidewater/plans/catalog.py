@@ -1,6 +1,548 @@
-def queries():
-    return {}
+"""The registered queries: each operator over whole tables, with the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.functions import columns as C
+from tidewater.functions.model import WindowConfig
+from tidewater.operators import ack, grouping, qos, windows
+from tidewater.plans import views as V
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+HOURS6 = 6 * 3600 * 1_000_000
+SIX = WindowConfig(timedelta(hours=6), 4)
+SIX_ANY = WindowConfig(timedelta(hours=6))
+BUFFER = WindowConfig(timedelta(hours=6), 8)
+TOPICS = {"click": "clicks", "view": "views", "purchase": "orders"}
+NOW_MS, DAYS = 1_800_000_000_000, 86_400_000
+
+
+def query(sql: str | None = None, recursive: bool = False):
+    def put(f):
+        _Q[f.__name__] = f
+        if sql is not None:
+            body = sql.strip()
+            _SQL[f.__name__] = f"with {'recursive ' if recursive else ''}{V.SQL}" + (f", {body[5:]}" if body.startswith("with ") else f" {body}")
+        return f
+
+    return put
+
+
+def queries() -> dict:
+    return dict(_Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _walk_sql(max_size: int | None, commit: bool, source: str = "works") -> str:
+    """Window numbers by a recursive walk over each subject's works."""
+    full = f"or w.n >= {max_size}" if max_size else ""
+    opens = f"(w.closed or e.us >= w.st + {HOURS6} {full})"
+    return f"""with e as (select *, row_number() over (partition by subject order by us, event_id) as rn from {source}),
+w(subject, rn, st, n, win, closed) as (
+  select subject, rn, us, 1, 0, {"type = 'COMMIT'" if commit else "false"} from e where rn = 1
+  union all
+  select e.subject, e.rn, case when {opens} then e.us else w.st end, case when {opens} then 1 else w.n + 1 end, case when {opens} then w.win + 1 else w.win end, {"e.type = 'COMMIT'" if commit else "false"}
+  from w join e on e.subject = w.subject and e.rn = w.rn + 1),
+b as (select e.*, w.st as window_start, w.win::bigint as win from e join w using (subject, rn))"""
+
+
+# sources and projections
+@query("select topic, part, off, us, key, value from records")
+def records_view(s, d):
+    return V.records(s, d).select("topic", "part", "off", "us", "key", "value")
+
+
+@query("select part, off, value from records where value <> 'error'")
+def value_source_nonnull(s, d):
+    r = V.records(s, d).withColumn("value", F.when(F.col("value") != "error", F.col("value")))
+    return r.where("value is not null").select("part", "off", "value")
+
+
+@query("select event_id, subject, type, marker, inception_ms, recycle_count, prepared from works")
+def works_view(s, d):
+    return V.works(s, d).select("event_id", "subject", "type", "marker", "inception_ms", "recycle_count", "prepared")
+
+
+@query("select part, count(*) as n, min(off) as first_off, max(off) as last_off from records group by part")
+def source_by_partition(s, d):
+    return V.records(s, d).groupBy("part").agg(F.count("*").alias("n"), F.min("off").alias("first_off"), F.max("off").alias("last_off"))
+
+
+@query("select 'out-' || value as topic, key, value, '' as headers, case when k % 10 = 0 then 'rejected' end as error, event_id from records")
+def value_sink(s, d):
+    """Outbound records: topic and key by extractors, headers stripped, the outcome of each."""
+    r = V.records(s, d)
+    return r.select(F.concat(F.lit("out-"), "value").alias("topic"), "key", "value", F.lit("").alias("headers"), F.when(F.col("k") % 10 == 0, "rejected").alias("error"), "event_id")
+
+
+# windows
+def _dedup(s, d, config, keep):
+    w = V.works(s, d).select("event_id", "subject", "us")
+    return windows.deduplicate(w, "subject", "us", "event_id", config, keep).select("subject", "window", "event_id", "n", "emit_us")
+
+
+_EMIT = f"case when count(*) >= 4 then max(us) else min(window_start) + {HOURS6} end"
+
+
+@query(_walk_sql(None, False) + f" select subject, win as window, min_by(event_id, rn) as event_id, count(*) as n, min(window_start) + {HOURS6} as emit_us from b group by subject, win", True)
+def dedup_first(s, d):
+    return _dedup(s, d, SIX_ANY, "first")
+
+
+@query(_walk_sql(None, False) + f" select subject, win as window, max_by(event_id, rn) as event_id, count(*) as n, min(window_start) + {HOURS6} as emit_us from b group by subject, win", True)
+def dedup_last(s, d):
+    return _dedup(s, d, SIX_ANY, "last")
+
+
+@query(_walk_sql(4, False) + f" select subject, win as window, min_by(event_id, rn) as event_id, count(*) as n, {_EMIT} as emit_us from b group by subject, win", True)
+def dedup_size_cap(s, d):
+    return _dedup(s, d, SIX, "first")
+
+
+@query("select event_id, subject, us from works")
+def dedup_disabled(s, d):
+    return windows.deduplicate(V.works(s, d).select("event_id", "subject", "us"), "subject", "us", "event_id", WindowConfig(timedelta(0)))
+
+
+_BUFFER = _walk_sql(8, True)
+
+
+def _buffers(s, d):
+    return windows.work_buffers(V.works(s, d), BUFFER)
+
+
+@query(_BUFFER + " select event_id, subject, win as window, window_start from b", True)
+def work_buffer(s, d):
+    return _buffers(s, d).select("event_id", "subject", "window", "window_start")
+
+
+@query(_BUFFER + " select subject, win as window, count(*) as n, max_by(type, rn) as last_type from b group by subject, win having max_by(type, rn) = 'COMMIT'", True)
+def work_buffer_commit_close(s, d):
+    last = F.max_by("type", F.struct("us", "event_id"))
+    return _buffers(s, d).groupBy("subject", "window").agg(F.count("*").alias("n"), last.alias("last_type")).where("last_type = 'COMMIT'")
+
+
+@query("select count(*)::bigint as n_in, count(*)::bigint as n_out from works")
+def work_buffer_conservation(s, d):
+    n = V.works(s, d).agg(F.count("*").alias("n_in"))
+    out = _buffers(s, d).groupBy("subject", "window").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_out"))
+    return n.join(out, F.lit(True)).select("n_in", "n_out")
+
+
+_REL = _BUFFER + ", r as (select *, max(rank) over (partition by subject, win, marker) as relevance from b), f as (select *, relevance <> 2 and rank <> 2 as kept from r)"
+
+
+@query(_REL + " select subject, win as window, max_by(event_id, (rank, inception_ms, us, event_id)) filter (where kept) as winner, count(*) as n, count(*) filter (where kept) as n_kept from f group by subject, win", True)
+def work_buffer_reduce(s, d):
+    return windows.reduce_buffers(_buffers(s, d))
+
+
+@query(_REL + " select event_id, kept from f", True)
+def cancel_filter(s, d):
+    return windows.with_relevance(_buffers(s, d)).select("event_id", "kept")
+
+
+@query(_REL + " select subject, win as window, max_by(event_id, (inception_ms, us, event_id)) filter (where kept) as winner from f group by subject, win", True)
+def reduce_latest(s, d):
+    return windows.reduce_buffers(_buffers(s, d), prioritized=False).select("subject", "window", "winner")
+
+
+@query(_REL + " select subject, win as window, max_by(event_id, (rank, inception_ms, us, event_id)) filter (where kept) as winner from f group by subject, win", True)
+def reduce_prioritized(s, d):
+    return windows.reduce_buffers(_buffers(s, d)).select("subject", "window", "winner")
+
+
+@query(_BUFFER + " select subject, win as window, marker, max(rank)::integer as relevance from b group by all", True)
+def marker_relevance(s, d):
+    return _buffers(s, d).groupBy("subject", "window", "marker").agg(F.max("rank").alias("relevance"))
+
+
+_TR = _REL + """, t as (select subject, win as window, max_by({'event_id': event_id, 'rank': rank, 'fails': fails}, (rank, inception_ms, us, event_id)) filter (where kept) as w, count(*) as n, count(*) filter (where kept) as n_kept from f group by subject, win),
+o as (select subject, "window", w.event_id as winner, case when n_kept = 0 then 'EMPTY' when w.fails then 'FAILED' else 'TRANSLATED' end as state,
+ case when n_kept = 0 then 'ACKED' when w.fails then case when w.rank = 1 then 'NACKED' else 'ACKED' end else 'CARRIED' end as fate, n, n_kept from t)"""
+
+
+@query(_TR + """ select subject, "window", winner from o where state = 'TRANSLATED'""", True)
+def translate_ok(s, d):
+    return windows.translate_buffers(_buffers(s, d)).where("state = 'TRANSLATED'").select("subject", "window", "winner")
+
+
+@query(_TR + """ select subject, "window", winner, n_kept from o where state = 'FAILED'""", True)
+def translate_failed(s, d):
+    return windows.translate_buffers(_buffers(s, d)).where("state = 'FAILED'").select("subject", "window", "winner", "n_kept")
+
+
+@query(_TR + """ select subject, "window", state, fate, n, n_kept from o""", True)
+def translate_ack_outcome(s, d):
+    return windows.translate_buffers(_buffers(s, d)).select("subject", "window", "state", "fate", "n", "n_kept")
+
+
+@query("select o_orderkey, o_custkey as subject, c_name, c_custkey is not null as fetched from orders left join (select * from customer where c_custkey % 3 <> 0) on o_custkey = c_custkey")
+def fetch_prepare(s, d):
+    o = V.table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("subject"))
+    c = V.table(s, d, "customer").where("c_custkey % 3 <> 0").select("c_custkey", "c_name")
+    return windows.fetch_prepare(o, c, "subject", "c_custkey").select("o_orderkey", "subject", "c_name", "fetched")
+
+
+_RECYCLE = f"""with f as (select *, 'E' || (k % 3)::varchar as error from works join (select event_id, k from ev) using (event_id) where fails),
+g as (select *, not ({NOW_MS} - inception_ms > {40_000 * DAYS}) and not (recycle_count > 5) and error not in ('E1') as ok from f)"""
+
+
+def _failed(s, d):
+    k = V.events(s, d).select("event_id", "k")
+    w = V.works(s, d).where("fails").join(k, "event_id").withColumn("error", F.concat(F.lit("E"), (F.col("k") % 3).cast("string")))
+    return w.withColumn("ok", windows.recyclable(F.lit(NOW_MS), 40_000 * DAYS, 5, ["E1"], F.col("error")))
+
+
+@query(_RECYCLE + " select event_id, subject, marker, inception_ms, 'RETRY' as type, recycle_count + 1 as recycle_count from g where ok")
+def recycle(s, d):
+    return windows.recycle(_failed(s, d).where("ok")).select("event_id", "subject", "marker", "inception_ms", "type", "recycle_count")
+
+
+@query(_RECYCLE + " select event_id, error, recycle_count from g where not ok")
+def recycle_drop(s, d):
+    return _failed(s, d).where("not ok").select("event_id", "error", "recycle_count")
+
+
+# acknowledgement
+_ORD = "rows between unbounded preceding and current row"
+_ORDERED = f"with o as (select *, case when count(*) filter (where done_us is null) over w = 0 then max(done_us) over w end as drained_us from completions window w as (partition by part order by off {_ORD}))"
+
+
+@query(_ORDERED + " select event_id, drained_us as executed_us from o")
+def ack_ordered(s, d):
+    return ack.ordered(V.completions(s, d)).select("event_id", "executed_us")
+
+
+@query(_ORDERED + " select event_id, drained_us, case when outcome = 'NACK' then done_us else drained_us end as executed_us from o")
+def ack_ordered_immediate_error(s, d):
+    return ack.ordered(V.completions(s, d), immediate_errors=True).select("event_id", "drained_us", "executed_us")
+
+
+@query("""select event_id, x[1] as executed_us, case when x[3] = 1 then 'NACK' when x[3] = 0 then 'ACK' end as executed_as from (
+ select event_id, min(case when done_us is not null then [done_us, event_id, (outcome = 'NACK')::bigint] end) over (partition by part order by off rows between current row and unbounded following) as x from completions)""")
+def ack_cumulative(s, d):
+    return ack.cumulative(V.completions(s, d)).select("event_id", "executed_us", "executed_as")
+
+
+_COMMIT = "with c as (select part, coalesce(min(off) filter (where done_us is null or outcome = 'NACK'), max(off) + 1) as commit_off, count(*) as n from completions where off >= 50 group by part)"
+
+
+def _later(s, d):
+    return V.completions(s, d).where("off >= 50")
+
+
+@query(_COMMIT + " select part, commit_off, n from c")
+def committable_offset(s, d):
+    return ack.committable(_later(s, d))
+
+
+@query(_COMMIT + " select event_id, part, off from completions join c using (part) where off >= commit_off")
+def replay_set(s, d):
+    return ack.replay(_later(s, d)).select("event_id", "part", "off")
+
+
+_CHILD = """with ch as (select event_id, i, case when (event_id + i) % 29 <> 0 then us + (event_id * 31 + i * 17) % 53 * 1000000 end as done_us, case when (event_id + i) % 23 = 0 then 'NACK' else 'ACK' end as outcome
+ from (select event_id, us, unnest(range(k % 4)) as i from ev)),
+a as (select event_id, count(*) as n, count(done_us) as n_done, min(done_us) filter (where outcome = 'NACK') as nack_us, max(done_us) as last_us from ch group by event_id),
+fl as (select event_id, k, us, coalesce(n, 0) as n, case when n is null then 'ACK' when nack_us is not null then 'NACK' when n = n_done then 'ACK' else 'PENDING' end as status,
+ case when n is null then us when nack_us is not null then nack_us when n = n_done then last_us end as status_us from ev left join a using (event_id))"""
+
+
+def _flat(s, d):
+    e = V.events(s, d)
+    ch = e.where("k % 4 > 0").select("event_id", "us", F.explode(F.expr("sequence(0, k % 4 - 1)")).alias("i"))
+    done = F.when((F.col("event_id") + F.col("i")) % 29 != 0, F.col("us") + (F.col("event_id") * 31 + F.col("i") * 17) % 53 * 1_000_000)
+    ch = ch.select("event_id", done.alias("done_us"), F.when((F.col("event_id") + F.col("i")) % 23 == 0, "NACK").otherwise("ACK").alias("outcome"))
+    return ack.flatten(ch, "event_id", e.select("event_id", "us"))
+
+
+@query(_CHILD + " select event_id, n, status, status_us from fl")
+def ack_flatten(s, d):
+    return _flat(s, d)
+
+
+@query(_CHILD + " select event_id, n, status, case when status = 'ACK' then greatest(status_us, us + k * 1000000) else status_us end as status_us from fl")
+def ack_publish(s, d):
+    f = _flat(s, d).join(V.events(s, d).select("event_id", "us", "k"), "event_id")
+    return ack.publish(f, F.col("us") + F.col("k") * 1_000_000).select("event_id", "n", "status", "status_us")
+
+
+@query("select event_id, value = 'purchase' as passed, case when value = 'purchase' then 'PENDING' else 'ACKED' end as status from records")
+def filter_ack(s, d):
+    p = F.col("value") == "purchase"
+    return V.records(s, d).select("event_id", p.alias("passed"), F.when(p, "PENDING").otherwise("ACKED").alias("status"))
+
+
+@query("select event_id, case when k <> 0 then 100 // k end as result, case when k = 0 then 'NACKED' else 'PENDING' end as status from ev")
+def map_ack(s, d):
+    """A mapping that fails nacks its record."""
+    e = V.events(s, d)
+    return e.select("event_id", F.expr("case when k <> 0 then 100 div k end").alias("result"), F.when(F.col("k") == 0, "NACKED").otherwise("PENDING").alias("status"))
+
+
+@query("select key, sum(k)::bigint as total, string_agg(event_id::varchar, ',' order by off) as ack_order from records where off < 200 group by key")
+def reduce_ack(s, d):
+    """Values folded, acknowledgements run in order."""
+    r = V.records(s, d).where("off < 200").groupBy("key").agg(F.sum("k").alias("total"), F.array_sort(F.collect_list(F.struct("off", "event_id"))).alias("a"))
+    return r.select("key", "total", F.array_join(F.transform("a", lambda x: x["event_id"].cast("string")), ",").alias("ack_order"))
+
+
+@query("select part, off // 8 as batch, count(*) as n, string_agg(off::varchar, ',' order by off) as members from records group by all")
+def invert_list(s, d):
+    r = V.records(s, d).groupBy("part", F.expr("off div 8").alias("batch")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("off")).alias("m"))
+    return r.select("part", "batch", "n", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query(f"select part, (us // {HOURS6} + 1) * {HOURS6} as window_end, max(off) + 1 as commit_off, count(*) as n, (us // {HOURS6} + 1) * {HOURS6} + 5000000 as ack_us from records group by part, us // {HOURS6}")
+def auto_ack_commits(s, d):
+    return ack.auto_commits(V.records(s, d), HOURS6, 5_000_000)
+
+
+@query(f"select (us // {HOURS6} + 1) * {HOURS6} as window_end, max_by(event_id, (us, event_id)) as event_id from records group by us // {HOURS6}")
+def auto_ack_last(s, d):
+    """The last message of each interval, which a multiple acknowledgement answers for all."""
+    return V.records(s, d).groupBy(((F.expr(f"us div {HOURS6}") + 1) * HOURS6).alias("window_end")).agg(F.max_by("event_id", F.struct("us", "event_id")).alias("event_id"))
+
+
+@query("select event_id, case when outcome = 'NACK' then case when event_id % 2 = 0 then 'DISCARD' else 'REQUEUE' end else 'ACK' end as action from completions where done_us is not null")
+def nack_policy(s, d):
+    c = V.completions(s, d).where("done_us is not null")
+    return c.select("event_id", F.when(F.col("outcome") == "NACK", F.when(F.col("event_id") % 2 == 0, "DISCARD").otherwise("REQUEUE")).otherwise("ACK").alias("action"))
+
+
+# grouping and routing
+@query("select ('0x' || substr(md5(key), 1, 8))::bigint % 16 as grp, count(*) as n from records group by 1")
+def group_hash(s, d):
+    return V.records(s, d).groupBy(grouping.hash_group(F.col("key"), 16).alias("grp")).agg(F.count("*").alias("n"))
+
+
+@query("select ('0x' || substr(md5(replace(u, '-', '')), 1, 8))::bigint % 16 as grp, count(*) as n from (select '00000000-0000-0000-0000-' || lpad(event_id::varchar, 12, '0') as u from ev) group by 1")
+def group_uuid(s, d):
+    u = F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
+    return V.events(s, d).groupBy(grouping.uuid_group(u, 16).alias("grp")).agg(F.count("*").alias("n"))
+
+
+@query("select value as grp, count(*) as n from records group by value")
+def group_field(s, d):
+    return V.records(s, d).groupBy(F.col("value").alias("grp")).agg(F.count("*").alias("n"))
+
+
+@query("select 'SINGLETON' as grp, count(*) as n from records")
+def group_singleton(s, d):
+    return V.records(s, d).agg(F.count("*").alias("n")).select(F.lit(grouping.SINGLETON).alias("grp"), "n")
+
+
+@query("select event_id, case value when 'click' then 'clicks' when 'view' then 'views' when 'purchase' then 'orders' end as topic from records")
+def route_topic(s, d):
+    return V.records(s, d).select("event_id", grouping.route(F.col("value"), TOPICS).alias("topic"))
+
+
+@query("select lang as grp, count(*) as n, 'docs-' || lang as topic from documents group by lang")
+def route_documents(s, d):
+    return V.table(s, d, "documents").groupBy(F.col("lang").alias("grp")).agg(F.count("*").alias("n")).withColumn("topic", F.concat(F.lit("docs-"), "grp"))
+
+
+_ASSIGN = "with np as (select distinct topic, length(topic)::bigint as n_parts from members where topic <> 'error'), b as (select *, row_number() over (partition by topic order by born_ms {0}, member_id {0}) as rn from members) select topic, member_id, case when rn = 1 then coalesce(n_parts, 0) else 0 end as n_assigned from b left join np using (topic)"
+
+
+def _assign(s, d, youngest):
+    m = V.members(s, d)
+    return grouping.assign_all(m, m.select("topic").distinct().where("topic <> 'error'").withColumn("n_parts", F.length("topic").cast("bigint")), youngest)
+
+
+@query(_ASSIGN.format("desc"))
+def assign_youngest(s, d):
+    return _assign(s, d, True)
+
+
+@query(_ASSIGN.format("asc"))
+def assign_oldest(s, d):
+    return _assign(s, d, False)
+
+
+@query("""with n as (select value as grp, event_id, row_number() over (partition by value order by us, event_id) - 1 as rn from records)
+select grp, (rn // 50)::bigint as buffer, string_agg(event_id::varchar, ',' order by rn) as joined from n group by grp, rn // 50""")
+def grouped_pipeline(s, d):
+    r = V.records(s, d).withColumn("grp", F.col("value"))
+    return grouping.buffered(r, "grp", ["us", "event_id"], 50, "event_id").withColumn("buffer", F.col("buffer").cast("bigint"))
+
+
+# quality of service
+@query("""with n as (select event_id, part, us, row_number() over (partition by part order by us, event_id) as rk from records)
+select event_id, max(us - rk * 3600000000) over (partition by part order by us, event_id rows between unbounded preceding and current row) + rk * 3600000000 as out_us from n""")
+def rate_limit(s, d):
+    return qos.rate_limit(V.records(s, d), 1 / 3600, "part").select("event_id", "out_us")
+
+
+@query()
+def rate_limit_burst(s, d):
+    return qos.rate_limit_burst(V.records(s, d).select("event_id", "part", "us"), 1 / 3600, "part").select("event_id", "out_us")
+
+
+@query("select event_id, us as out_us from records")
+def rate_limit_disabled(s, d):
+    return qos.rate_limit(V.records(s, d), 0, "part").select("event_id", F.col("us").alias("out_us"))
+
+
+@query("""with l as (select key, us as last_us, lead(us) over (partition by key order by us, event_id) as next_us from records)
+select key, last_us, next_us, last_us + (43200000000 // 3600000000 + 1) * 3600000000 as noticed_us from l where next_us > last_us + (43200000000 // 3600000000 + 1) * 3600000000""")
+def activity_violations(s, d):
+    return qos.inactivity(V.records(s, d), "key", 12 * 3_600_000_000, 3_600_000_000)
+
+
+@query("select event_id, us, 'data' as signal from records union all select -1 as event_id, min(us) as us, 'error' as signal from records")
+def merge_signals(s, d):
+    r = V.records(s, d)
+    return r.select("event_id", "us", F.lit("data").alias("signal")).unionByName(r.agg(F.min("us").alias("us")).select(F.lit(-1).cast("bigint").alias("event_id"), "us", F.lit("error").alias("signal")))
+
+
+@query("select part, off, event_id from records where off < 3")
+def take_first(s, d):
+    return V.records(s, d).where("off < 3").select("part", "off", "event_id")
+
+
+# headers, names, codecs
+@query("select event_id, 'a=' || (k + 1)::varchar || ',k=' || k::varchar as headers from ev")
+def headers_last_wins(s, d):
+    k = F.col("k").cast("string")
+    entries = F.array(*(F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in (("a", k), ("k", k), ("a", (F.col("k") + 1).cast("string")))))
+    return V.events(s, d).select("event_id", C.render_map(C.last_wins(entries)).alias("headers"))
+
+
+@query("select event_id, 'k=' || value as headers from records")
+def headers_put_unique(s, d):
+    return V.records(s, d).select("event_id", C.render_map(C.put_unique(F.col("headers"), "k", F.col("value"))).alias("headers"))
+
+
+def _headed(s, d):
+    return V.events(s, d).select("event_id", F.create_map(F.lit("span"), F.lit("x"), F.lit("tag"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string")).alias("h"))
+
+
+@query("select event_id, 'user=' || user_id::varchar as baggage from ev")
+def baggage(s, d):
+    return _headed(s, d).select("event_id", C.render_map(C.baggage(F.col("h"), ["span", "tag"])).alias("baggage"))
+
+
+@query("select event_id, 'tag=' || event_type as tags from ev")
+def header_tags(s, d):
+    return _headed(s, d).select("event_id", C.render_map(C.header_tags(F.col("h"), ["tag", "absent"])).alias("tags"))
+
+
+@query("select o_orderkey, cast(o_totalprice as decimal(18,2))::varchar as price, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '.000Z' as day, 'x' || o_orderkey::varchar as raw from orders")
+def headers_stringify(s, d):
+    o = V.table(s, d, "orders")
+    return o.select(
+        "o_orderkey", C.stringify_value(F.col("o_totalprice").cast("decimal(18,2)"), "decimal").alias("price"), C.stringify_value(F.col("o_orderdate").cast("timestamp"), "timestamp").alias("day"),
+        C.stringify_value(F.concat(F.lit("x"), F.col("o_orderkey").cast("string")).cast("binary"), "binary").alias("raw"),
+    )
+
+
+@query("select event_id, 'client' as name from ev")
+def strip_uuid(s, d):
+    u = F.concat(F.lit("client-"), F.lpad(F.hex("event_id"), 8, "0"), F.lit("-0000-0000-0000-"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
+    return V.events(s, d).select("event_id", C.strip_uuid(F.lower(u)).alias("name"))
+
+
+@query("select event_id, event_type as suffix from ev")
+def suffix_after_dot(s, d):
+    return V.events(s, d).select("event_id", C.after_last(F.concat(F.lit("a.b."), "event_type"), ".").alias("suffix"))
+
+
+@query("select event_id, 'client' as client from ev")
+def sanitize_client_id(s, d):
+    return V.events(s, d).select("event_id", C.sanitize_client_id(F.concat(F.lit("client-"), F.col("event_id").cast("string"))).alias("client"))
+
+
+@query("select event_id, 'app' || k::varchar as prefix, (event_id % 7)::varchar as thread, 'consumer' as kind from ev")
+def stream_thread_tags(s, d):
+    c = F.concat(F.lit("app"), F.col("k").cast("string"), F.lit("-StreamThread-"), (F.col("event_id") % 7).cast("string"), F.lit("-consumer"))
+    p, t, kind = C.stream_thread(c)
+    return V.events(s, d).select("event_id", p.alias("prefix"), t.alias("thread"), kind.alias("kind"))
+
+
+@query("select event_type as name, count(*) as n from ev where event_type not in ('view', 'click') group by 1")
+def metric_filter(s, d):
+    return V.events(s, d).where(C.metric_reported(F.col("event_type"), ["view", "click"], False)).groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("select event_id, 'items.(tag=' || event_type || ',user=' || user_id::varchar || ')' as name from ev")
+def tagged_name(s, d):
+    return _headed(s, d).select("event_id", C.tagged_name(F.lit("items"), F.map_filter("h", lambda k, v: k != "span")).alias("name"))
+
+
+@query("select event_id, case when k % 5 = 0 then 0 else k end::double as finite, coalesce(try_cast(case when k % 3 = 0 then event_type else k::varchar end as double), -1) as gauge from ev")
+def gauge_values(s, d):
+    bad = F.when(F.col("k") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("k").cast("double"))
+    g = C.numeric_or_nan(F.when(F.col("k") % 3 == 0, F.col("event_type")).otherwise(F.col("k").cast("string")))
+    return V.events(s, d).select("event_id", C.finite_or_zero(bad).alias("finite"), F.nanvl(g, F.lit(-1.0)).alias("gauge"))
+
+
+@query("select event_id, k in (2,3,5,7,11,13,17,19,23,29,31,37,41,43,47,53,59,61,67,71,73,79,83,89,97) as prime, upper(event_type) as name from ev where k < 100")
+def prime_and_upper(s, d):
+    return V.events(s, d).where("k < 100").select("event_id", C.is_prime(F.col("k")).alias("prime"), F.upper("event_type").alias("name"))
+
+
+@query("select event_id, event_type as data1, user_id::varchar as data2, '{\"data1\":\"' || event_type || '\",\"data2\":\"' || user_id::varchar || '\"}' as json from ev")
+def json_roundtrip(s, d):
+    x = V.events(s, d).select("event_id", C.to_json(F.struct(F.col("event_type").alias("data1"), F.col("user_id").cast("string").alias("data2"))).alias("json"))
+    r = C.from_json(F.col("json"), "data1 string, data2 string")
+    return x.select("event_id", r["data1"].alias("data1"), r["data2"].alias("data2"), "json")
+
+
+@query("select event_id, event_type as data from ev")
+def xml_roundtrip(s, d):
+    x = V.events(s, d).select("event_id", C.to_xml(F.struct(F.col("event_type").alias("data")), "record").alias("xml"))
+    return x.select("event_id", C.from_xml(F.col("xml"), "data string", "record")["data"].alias("data"))
+
+
+@query("select event_id, case when k % 7 <> 0 then k end as schema_id, case when k % 7 <> 0 then event_type end as payload from ev")
+def avro_frame(s, d):
+    f = F.when(F.col("k") % 7 == 0, F.lit("junk").cast("binary")).otherwise(C.avro_frame(F.col("event_type").cast("binary"), F.col("k")))
+    _, number, payload = C.avro_unframe(F.col("f"))
+    return V.events(s, d).select("event_id", f.alias("f")).select("event_id", number.alias("schema_id"), F.decode(payload, "UTF-8").alias("payload"))
+
+
+@query("select event_id, case when k % 9 <> 0 then us // 1000 end as born_ms from ev")
+def born_roundtrip(s, d):
+    b = F.when(F.col("k") % 9 == 0, F.lit("odd").cast("binary")).otherwise(C.born_encode(F.expr("us div 1000")))
+    return V.events(s, d).select("event_id", C.born_decode(b).alias("born_ms"))
+
+
+# metrics and tracing
+@query("select value as name, count(*) filter (where outcome = 'ACK') as items, count(*) filter (where outcome = 'NACK') as errors from completions join records using (event_id) group by value")
+def metrics_items_errors(s, d):
+    r = V.records(s, d).withColumn("outcome", F.when(F.col("value") == "error", "NACK").otherwise("ACK"))
+    return r.groupBy(F.col("value").alias("name")).agg(F.count_if(F.col("outcome") == "ACK").alias("items"), F.count_if(F.col("outcome") == "NACK").alias("errors"))
+
+
+@query("select key, case when max_by(value, (us, event_id)) = 'error' then max(us) // 1000 end as error_ms from records group by key")
+def latest_exception(s, d):
+    """The last failure of each client, unless it has succeeded since."""
+    last = F.max_by(F.struct("value", "us"), F.struct("us", "event_id"))
+    return V.records(s, d).groupBy("key").agg(last.alias("x")).select("key", F.when(F.col("x.value") == "error", F.expr("x.us div 1000")).alias("error_ms"))
+
+
+@query("""select event_id as trace_id, unnest(['start', 'map', case when outcome = 'NACK' then 'nack' when done_us is null then 'open' else 'ack' end]) as event, unnest([us, us, done_us]) as us from completions""")
+def span_events(s, d):
+    c = V.completions(s, d)
+    end = F.when(F.col("outcome") == "NACK", "nack").when(F.col("done_us").isNull(), "open").otherwise("ack")
+    rows = F.array(F.struct(F.lit("start").alias("event"), F.col("us")), F.struct(F.lit("map").alias("event"), F.col("us")), F.struct(end.alias("event"), F.col("done_us").alias("us")))
+    return c.select(F.col("event_id").alias("trace_id"), F.explode(rows).alias("x")).select("trace_id", "x.event", "x.us")
+
+
+@query("select key, max_by(case when value = 'signup' then null else event_id end, (us, event_id)) as registered from records group by key having max_by(value, (us, event_id)) <> 'signup'")
+def metric_registry(s, d):
+    """The last registration of each name counts, unless it was taken back."""
+    last = F.max_by(F.struct("value", "event_id"), F.struct("us", "event_id"))
+    return V.records(s, d).groupBy("key").agg(last.alias("x")).where("x.value <> 'signup'").select("key", F.col("x.event_id").alias("registered"))
