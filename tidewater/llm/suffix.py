@@ -122,84 +122,86 @@ def _contexts(length: int):
 
 
 class SuffixArray:
-    """Suffixes of some contexts, sorted to a depth of `length` bytes.
+    """The windows of some contexts, sorted: the suffixes that have `length` bytes, to that depth.
 
-    order: positions, sorted. group: each position's place in that order, equal for equal prefixes of `length` bytes.
-    Bytes past the end of a context count as less than any byte of it.
+    order: their starts, sorted. group: a label of each, equal for equal windows and growing along the order. To refine the
+    order from a depth to a greater one takes the order to the lesser depth of later suffixes, never of one that ends
+    before that depth; so those drop out as the depth grows.
     """
 
+    LANE = 256  # windows that one lane of Kasai's pass walks
+
     def __init__(self, contexts: list[bytes], length: int):
         self.length = length
         gap = b"\0" * 8
         self.text = np.frombuffer(gap.join(contexts) + gap * 2, np.uint8)
-        size = np.array([len(x) for x in contexts])
-        self.start = np.append(0, np.cumsum(size + 8)[:-1])
-        pos = np.arange(int(size.sum())) + np.repeat(self.start - (np.cumsum(size) - size), size)
-        self.left = np.zeros(len(self.text), np.int64)  # bytes up to the end of the context
-        self.left[pos] = np.repeat(self.start + size, size) - pos
-        v = loads(self.text)
-        short = np.minimum(self.left[pos], 8)
-        pos = np.concatenate([pos[short == k] for k in range(1, 9)])  # of equal bytes, those that end sooner come first
-        key = v[pos].byteswap()  # as numbers, eight bytes then compare as bytes do
-        by = np.argsort(key, kind="stable")
+        self.size = np.array([len(x) for x in contexts])
+        self.start = np.append(0, np.cumsum(self.size + 8)[:-1])
+        pos = (np.arange(int(self.size.sum())) + np.repeat(self.start - (np.cumsum(self.size) - self.size), self.size)).astype(np.int32)
+        self.left = np.zeros(len(self.text), np.int32)  # bytes up to the end of the context
+        self.left[pos] = np.repeat(self.start + self.size, self.size) - pos
+        pos = pos[self.left[pos] >= 8]
+        key = loads(self.text)[pos].byteswap()  # as numbers, eight bytes then compare as bytes do
+        by = np.argsort(key)
         self.order, key = pos[by], key[by]
-        short = np.minimum(self.left[self.order], 8)
-        new = np.append(True, (key[1:] != key[:-1]) | (short[1:] != short[:-1]))
-        self.group = np.full(len(self.text) + 1, -1, np.int64)
-        at = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        self.group[self.order] = at
+        self.group = np.full(len(self.text), -1, np.int32)
+        self.group[self.order] = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), np.arange(len(key), dtype=np.int32), 0)) if len(key) else 0
         depth = 8
         while depth < length:
             step = min(depth, length - depth)
-            self._refine(step)
             depth += step
+            self.order = self.order[self.left[self.order] >= depth]
+            self._refine(step)
 
     def _refine(self, step: int) -> None:
         """Sorts each group of more than one suffix by the group of the suffix `step` bytes on."""
         g = self.group[self.order]
-        wide = np.append(g[1:] == g[:-1], False) | np.append(False, g[1:] == g[:-1])
-        i = np.flatnonzero(wide)
+        same = g[1:] == g[:-1]
+        i = np.flatnonzero(np.append(same, False) | np.append(False, same))
         if not len(i):
             return
         p = self.order[i]
-        then = np.where(self.left[p] > step, self.group[np.minimum(p + step, len(self.text))], -1)
-        by = np.lexsort((then, g[i]))
-        p, then, was = p[by], then[by], g[i][by]
+        key = g[i].astype(np.int64) << 32 | self.group[p + step]
+        by = np.argsort(key)
+        p, key = p[by], key[by]
         self.order[i] = p
-        new = np.append(True, (was[1:] != was[:-1]) | (then[1:] != then[:-1]))
-        self.group[p] = np.maximum.accumulate(np.where(new, i, 0))
+        at, was = np.arange(len(p), dtype=np.int32), (key >> 32).astype(np.int32)
+        first = np.maximum.accumulate(np.where(np.append(True, was[1:] != was[:-1]), at, 0))
+        now = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), at, 0))
+        self.group[p] = was + now - first
 
     def prefixes(self) -> np.ndarray:
-        """Kasai: for each place of the order, the bytes, up to `length`, that its suffix shares with the one before.
+        """Kasai: for each place of the order, the bytes, up to `length`, that its window shares with the one before.
 
-        The contexts are walked side by side. A prefix of the full depth tells nothing of the next suffix, as ties at that
-        depth are not in order; the walk then starts from nothing again.
+        A window's next one shares one byte less with the window after its neighbour, if that is a window too and the two
+        differ within `length` bytes; else its prefix is counted from nothing. Stretches of windows are walked side by side.
         """
-        v, shared = loads(self.text), np.zeros(len(self.order), np.int64)
-        place = np.empty(len(self.text), np.int64)
+        v, shared = loads(self.text), np.zeros(len(self.order), np.int32)
+        place = np.full(len(self.text), -1, np.int32)
         place[self.order] = np.arange(len(self.order))
-        size = self.left[self.start]
-        live, k, t = np.argsort(-size, kind="stable"), None, 0
-        k = np.zeros(len(live), np.int64)
-        while len(live):
-            live = live[: int(np.searchsorted(-size[live], -t, "left"))]
-            k = np.maximum(np.where(k[: len(live)] >= self.length, 0, k[: len(live)] - 1), 0)
-            if not len(live):
-                break
-            p = self.start[live] + t
+        n = np.maximum(self.size - self.length + 1, 0)
+        lanes = -(-n // self.LANE)
+        turn = np.arange(int(lanes.sum())) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        start, n = np.repeat(self.start, lanes) + self.LANE * turn, np.minimum(np.repeat(n, lanes) - self.LANE * turn, self.LANE)
+        by = np.argsort(-n, kind="stable")
+        start, n = start[by], n[by]
+        k, q = np.zeros(len(start), np.int64), np.full(len(start), len(self.text) - 2)
+        for t in range(int(n[0]) if len(n) else 0):
+            live = int(np.searchsorted(-n, -t, "left"))
+            k, q = k[:live], q[:live]
+            k = np.where((k >= self.length) | (place[q + 1] < 0), 0, np.maximum(k - 1, 0))
+            p = start[:live] + t
             at = place[p]
             q = self.order[np.maximum(at - 1, 0)]
-            most = np.where(at > 0, np.minimum(np.minimum(self.left[p], self.left[q]), self.length), 0)
-            k = np.minimum(k, most)
-            go = np.flatnonzero(k < most)
+            k[at == 0] = 0
+            go = np.flatnonzero(at > 0)
             while len(go):
                 x = v[p[go] + k[go]] ^ v[q[go] + k[go]]
                 low = x & (~x + U(1))
                 same = np.where(x == 0, 8, (np.log2(np.maximum(low, U(1)).astype(np.float64)) // 8).astype(np.int64))
-                k[go] = np.minimum(k[go] + same, most[go])
-                go = go[(same == 8) & (k[go] < most[go])]
+                k[go] = np.minimum(k[go] + same, self.length)
+                go = go[(same == 8) & (k[go] < self.length)]
             shared[at] = k
-            t += 1
         return shared
 
     def repeated(self) -> np.ndarray:
@@ -212,7 +214,7 @@ class SuffixArray:
 
     def windows(self) -> np.ndarray:
         """One position of each different window, sorted."""
-        w = self.order[self.left[self.order] >= self.length]
+        w = self.order
         return w[np.append(True, self.group[w[1:]] != self.group[w[:-1]])] if len(w) else w
 
     def find(self, other: SuffixArray) -> tuple[np.ndarray, np.ndarray]:
