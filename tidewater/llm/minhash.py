@@ -6,8 +6,8 @@ each, where plain banding would compute side * side * 2 * rows. A pair of Jaccar
 misses all groups of one side: (1 - s**rows)**side twice; at s = 0.8 with the defaults about 7e-5.
 
 Texts with equal shingle sets are one class from the start (equal sets, equal keys); only one member goes on. In each
-bucket the members are compared with pivots, first one, then twice as many each round, and only with members not yet
-known to be connected: a bucket of near copies is done after its first round, and a bucket whose members are not alike is
+bucket the members are compared with pivots, first one, then twice as many each round, those first that meet most others in
+all tables (the original of a group of copies meets most), and only with members of fitting size not yet known to be connected: a bucket of near copies is done after its first round, and a bucket whose members are not alike is
 compared out in full, so there is no cap on buckets or partners. Every comparison is on the full sets.
 """
 
@@ -118,8 +118,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(sig.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.first("sa").alias("sa"), F.first("sb").alias("sb")), "classes")
     keys = classes.select("doc", F.posexplode("sa").alias("i", "x"), "sb").select("doc", "i", "x", F.posexplode("sb").alias("j", "y")).select("doc", F.xxhash64("i", "j", "x", "y").alias("key"))
     in_key = Window.partitionBy("key")
-    met = keys.withColumn("n", F.count("*").over(in_key)).where("n > 1").withColumn("pos", F.row_number().over(in_key.orderBy("doc")))
-    met = cut(met.select("key", "doc", "n", "pos"), "buckets")
+    met = cut(keys.withColumn("n", F.count("*").over(in_key)).where("n > 1").select("key", "doc", "n"), "met")
+    often = met.groupBy("doc").agg(F.sum("n").alias("often"))
+    sizes = sig.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("size")).select("doc", "size")
+    met = met.join(often.join(sizes, "doc"), "doc").withColumn("pos", F.row_number().over(in_key.orderBy(F.desc("often"), "doc")))
+    met = cut(met.select("key", "doc", "n", "pos", "size"), "buckets")
     members = met.select("doc").distinct()
     sets = cut(docs.join(members.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text").mapInArrow(_sets(shingle), "doc long, shingles binary"), "sets")
     links, comp, done, pivots = None, None, 0, 1
@@ -131,9 +134,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             now = now.join(mixed, "key", "left_semi")
         else:
             now = now.withColumn("comp", F.col("doc"))
-        now = now.select("key", "doc", "pos", "comp")
-        lead = now.where(F.col("pos").between(done + 1, done + pivots)).select("key", F.col("doc").alias("a"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-        pairs = now.join(lead, "key").where("pos > pa and comp != ca").select("a", F.col("doc").alias("b")).distinct()
+        now = now.select("key", "doc", "pos", "comp", "size")
+        lead = now.where(F.col("pos").between(done + 1, done + pivots)).select("key", F.col("doc").alias("a"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("size").alias("za"))
+        pairs = now.join(lead, "key").where(f"pos > pa and comp != ca and 100 * least(size, za) >= {percent} * greatest(size, za)").select("a", F.col("doc").alias("b")).distinct()
         pairs = cut(pairs, "pairs")
         if pairs.limit(1).count():
             full = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
