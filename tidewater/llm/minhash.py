@@ -5,10 +5,13 @@ first and a group of the second collection forms a key, so 2 * side * rows minim
 each, where plain banding would compute side * side * 2 * rows. A pair of Jaccard similarity s shares a key unless it
 misses all groups of one side: (1 - s**rows)**side twice; at s = 0.8 with the defaults about 7e-5.
 
-Texts with equal shingle sets are one class from the start (equal sets, equal keys); only one member goes on. In each
-bucket the members are compared with pivots, first one, then twice as many each round, those first that meet most others in
-all tables (the original of a group of copies meets most), and only with members of fitting size not yet known to be connected: a bucket of near copies is done after its first round, and a bucket whose members are not alike is
-compared out in full, so there is no cap on buckets or partners. Every comparison is on the full sets.
+Texts with equal shingle sets are one class from the start (equal sets, equal keys); only one member goes on. First each
+member of a bucket is compared with the bucket's pivot, the one that meets most others in all tables (the original of a
+group of copies meets most). A bucket that this connects is done. The members of the others are compared in full, with no
+cap, but only where a common shingle can decide: a set's shingles are put in order of rarity, and two sets alike enough
+have one in common so early that the rest of both can still hold the overlap needed (prefix and position filter, exact).
+Variants of one original that are too far from it differ by rare shingles, and so meet nobody by chance. Every comparison
+is on the full sets.
 """
 
 from __future__ import annotations
@@ -87,6 +90,16 @@ def _sets(n: int):
     return run
 
 
+def _elements(batches):
+    for b in batches:
+        sets = b.column(b.schema.get_field_index("shingles"))
+        parts = [np.frombuffer(x.as_buffer(), np.int64) for x in sets]
+        doc = np.repeat(b.column(b.schema.get_field_index("doc")).to_numpy(), [len(x) for x in parts])
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        for i in range(0, len(flat), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + (1 << 16)]), pa.array(flat[i : i + (1 << 16)])], ["doc", "e"])
+
+
 def _alike(percent: int):
     def run(batches):
         for b in batches:
@@ -105,6 +118,40 @@ def _alike(percent: int):
     return run
 
 
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike."""
+    full = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
+    return cut(full.select("a", "b", "sa", "sb").mapInArrow(_alike(percent), "a long, b long"), "links")
+
+
+def _fits(percent: int) -> str:
+    """Whether sets of sizes za, zb can be alike if the first shingle they have in common is the pa-th of one and the pb-th of the other."""
+    return f"100 * least(za, zb) >= {percent} * greatest(za, zb) and {100 + percent} * (1 + least(za - pa, zb - pb)) >= {percent} * (za + zb)"
+
+
+def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (doc, size, comp, sa, sb) of different comp that share a key and can be alike by their rarest shingles."""
+    elements = cut(sets.join(members.select("doc"), "doc", "left_semi").mapInArrow(_elements, "doc long, e long"), "elements")
+    # counts are written before they are joined: Spark can split a frequent shingle's rows only in a join of two plain shuffles
+    shared = cut(elements.groupBy("e").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    ranked = elements.join(shared, "e").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("g"))
+    ranked = ranked.join(members.select("doc", "size", "comp"), "doc").withColumn("alone", F.col("size") - F.size("g"))
+    early = F.greatest(F.lit(0), F.expr(f"size - ceil({percent} * size / 100D) + 1 - alone")).cast("int")
+    early = ranked.select("doc", "size", "comp", "alone", F.posexplode(F.slice("g", 1, early)).alias("pos", "x"))
+    early = cut(early.select("doc", "size", "comp", (F.col("alone") + F.col("pos") + 1).alias("pos"), F.col("x.e").alias("e")), "early")
+    main = early.groupBy("e", "comp").agg(F.count("*").alias("c")).groupBy("e").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
+    main = cut(main.where("comps > 1").select("e", "main"), "main")
+    early = cut(early.join(main, "e"), "mixed")
+    lead = early.where("comp != main").select("e", F.col("doc").alias("a"), F.col("size").alias("za"), F.col("comp").alias("ca"), F.col("pos").alias("pa"))
+    other = early.select("e", "main", F.col("doc").alias("b"), F.col("size").alias("zb"), F.col("comp").alias("cb"), F.col("pos").alias("pb"))
+    pairs = lead.join(other, "e").where(f"ca != cb and (cb = main or a < b) and {_fits(percent)}").select("a", "b").distinct()
+    keys = lambda d: members.select(F.col("doc").alias(d), F.col("sa").alias(f"{d}1"), F.col("sb").alias(f"{d}2"))
+    pairs = pairs.join(keys("a"), "a").join(keys("b"), "b").where(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2"))
+    out = cut(pairs.select("a", "b"), "pairs")
+    drop(elements, shared)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, side: int = SIDE, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id): the classes of texts linked by Jaccard similarity of word shingles.
 
@@ -115,38 +162,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     sig = cut(docs.mapInArrow(_signatures(shingle, side, rows, "doc_id", "text"), "doc_id long, n_shingles long, h1 long, h2 long, sa array<long>, sb array<long>"), "signatures")
-    classes = cut(sig.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.first("sa").alias("sa"), F.first("sb").alias("sb")), "classes")
+    classes = cut(sig.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("size"), F.first("sa").alias("sa"), F.first("sb").alias("sb")), "classes")
     keys = classes.select("doc", F.posexplode("sa").alias("i", "x"), "sb").select("doc", "i", "x", F.posexplode("sb").alias("j", "y")).select("doc", F.xxhash64("i", "j", "x", "y").alias("key"))
     in_key = Window.partitionBy("key")
     met = cut(keys.withColumn("n", F.count("*").over(in_key)).where("n > 1").select("key", "doc", "n"), "met")
-    often = met.groupBy("doc").agg(F.sum("n").alias("often"))
-    sizes = sig.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("size")).select("doc", "size")
-    met = met.join(often.join(sizes, "doc"), "doc").withColumn("pos", F.row_number().over(in_key.orderBy(F.desc("often"), "doc")))
-    met = cut(met.select("key", "doc", "n", "pos", "size"), "buckets")
-    members = met.select("doc").distinct()
-    sets = cut(docs.join(members.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text").mapInArrow(_sets(shingle), "doc long, shingles binary"), "sets")
-    links, comp, done, pivots = None, None, 0, 1
-    while met.where(F.col("n") > done + 1).limit(1).count():
-        now = met.where(F.col("n") > done + 1)
-        if comp is not None:
-            now = now.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-            mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            now = now.join(mixed, "key", "left_semi")
-        else:
-            now = now.withColumn("comp", F.col("doc"))
-        now = now.select("key", "doc", "pos", "comp", "size")
-        lead = now.where(F.col("pos").between(done + 1, done + pivots)).select("key", F.col("doc").alias("a"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("size").alias("za"))
-        pairs = now.join(lead, "key").where(f"pos > pa and comp != ca and 100 * least(size, za) >= {percent} * greatest(size, za)").select("a", F.col("doc").alias("b")).distinct()
-        pairs = cut(pairs, "pairs")
-        if pairs.limit(1).count():
-            full = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
-            found = cut(full.select("a", "b", "sa", "sb").mapInArrow(_alike(percent), "a long, b long"), "links")
-            links = found if links is None else links.unionByName(found)
+    often = met.groupBy("doc").agg(F.sum("n").alias("often")).join(classes.select("doc", "size"), "doc")
+    met = cut(met.join(often, "doc"), "buckets")
+    sets = docs.join(often.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text")
+    sets = cut(sets.mapInArrow(_sets(shingle), "doc long, shingles binary"), "sets")
+    first = met.groupBy("key").agg(F.min(F.struct((-F.col("often")).alias("o"), F.col("doc").alias("a"), F.col("size").alias("za"))).alias("f")).select("key", "f.a", "f.za")
+    pairs = met.join(first, "key").where(f"doc != a and 100 * least(size, za) >= {percent} * greatest(size, za)").select("a", F.col("doc").alias("b")).distinct()
+    links, comp = _links(cut(pairs, "pairs"), sets, percent), None
+    for last in (False, True):
+        if links.limit(1).count():
             comp = components(links, "a", "b").select(F.col("node").alias("doc"), "comp")
-        elif comp is None or not now.limit(1).count():
+        if last:
             break
-        done, pivots = done + pivots, 2 * pivots
-        drop(pairs)
+        members = classes.select("doc", "size", "sa", "sb")
+        members = members.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")) if comp is not None else members.withColumn("comp", F.col("doc"))
+        now = met.select("key", "doc").join(members.select("doc", "comp"), "doc")
+        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        open_ = now.join(mixed, "key", "left_semi").select("doc").distinct()
+        members = cut(members.join(open_, "doc", "left_semi"), "members")
+        links = links.unionByName(_links(_rest(members, sets, percent), sets, percent))
     classes = classes.select("h1", "h2", "doc")
     if comp is not None:
         classes = classes.join(comp, "doc", "left").select("h1", "h2", F.coalesce("comp", "doc").alias("doc"))
