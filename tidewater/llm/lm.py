@@ -52,9 +52,9 @@ def _ask(order: int, bits: int):
             g = g[_whole(w, n)]
             first, place = distinct(g)
             u, c = g[first], np.bincount(place, minlength=len(first)).astype(np.uint32)
-            at = np.searchsorted(u, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
-            at = np.concatenate([[0], at, [len(u)]])
-            rows += [(p, key[0].as_py(), n, _pack(u[i:j]), c[i:j].tobytes()) for p, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if i < j]
+            part = u >> np.uint64(64 - bits) if bits else np.zeros(len(u), np.uint64)
+            at = np.append(np.flatnonzero(np.append(len(u) > 0, part[1:] != part[:-1])), len(u))  # only partitions that are asked: a block's work does not grow with their number
+            rows += [(p, key[0].as_py(), n, _pack(u[i:j]), c[i:j].tobytes()) for p, i, j in zip(part[at[:-1]].tolist(), at[:-1], at[1:], strict=True)]
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "n", "grams", "counts"])
 
