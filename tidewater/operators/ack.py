@@ -62,6 +62,14 @@ def auto_commits(records: DataFrame, interval_us: int, delay_us: int) -> DataFra
     return records.groupBy("part", end.alias("window_end")).agg((F.max("off") + 1).alias("commit_off"), F.count("*").alias("n")).withColumn("ack_us", F.col("window_end") + delay_us)
 
 
+def correlate(sent: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+    """What each sent record's result does to its acknowledgement: ACK, NACK where the result has an error, OPEN where there is none yet.
+    `results` has the keys, once each, and `error`."""
+    known = results.select(*keys, F.struct("error").alias("_r"))
+    status = F.when(F.col("_r").isNull(), "OPEN").when(F.col("_r.error").isNull(), "ACK").otherwise("NACK")
+    return sent.join(known, keys, "left").withColumns({"status": status, "error": F.col("_r.error")}).drop("_r")
+
+
 class AckQueue:
     """Sequential model of one group's queue, for admission control on the driver and for tests."""
 

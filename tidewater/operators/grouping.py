@@ -50,3 +50,8 @@ def buffered(df: DataFrame, group: str, order: list[str], size: int, value: str)
     x = df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
     x = x.groupBy(group, F.expr(f"_n div {size}").alias("buffer")).agg(F.array_sort(F.collect_list(F.struct("_n", F.col(value).alias("v")))).alias("all"))
     return x.select(group, "buffer", F.array_join(F.transform("all", lambda r: r["v"].cast("string")), ",").alias("joined"))
+
+
+def to_map(df: DataFrame, group: str, key: str, value: str) -> DataFrame:
+    """Each group's values as a map by key; a key that comes twice within a group is an error, as a null key is."""
+    return df.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col(value).alias("value"))))).alias("entries"))

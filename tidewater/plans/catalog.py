@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import columns as C
+from tidewater.functions import translation as T
 from tidewater.functions.model import WindowConfig
 from tidewater.operators import ack, grouping, qos, windows
 from tidewater.plans import views as V
@@ -321,6 +322,34 @@ def nack_policy(s, d):
     return c.select("event_id", F.when(F.col("outcome") == "NACK", F.when(F.col("event_id") % 2 == 0, "DISCARD").otherwise("REQUEUE")).otherwise("ACK").alias("action"))
 
 
+@query("""select r.event_id, case when c.done_us is null then 'OPEN' when c.outcome = 'NACK' then 'NACK' else 'ACK' end as status,
+ case when c.done_us is not null and c.outcome = 'NACK' then 'refused' end as error from records r left join completions c using (part, off)""")
+def send_correlation(s, d):
+    """Results of sends find the records they belong to by partition and offset."""
+    done = V.completions(s, d).where("done_us is not null").select("part", "off", F.when(F.col("outcome") == "NACK", "refused").alias("error"))
+    return ack.correlate(V.records(s, d).select("event_id", "part", "off"), done, ["part", "off"]).select("event_id", "status", "error")
+
+
+@query("""select event_id, value as operand, case when k % 3 <> 0 and value <> 'view' and length(value) >= 6 then upper(value) || '!' end as result,
+ case when k % 3 <> 0 then value || '?' end as composed from records""")
+def translation_algebra(s, d):
+    """A translator's result is mapped, filtered and translated again; the operand stays."""
+    r = V.records(s, d)
+    known = lambda c: F.when(F.col("k") % 3 != 0, c)
+    t = T.translation(F.col("value"), known)
+    t = T.filter_result(t, lambda c: c != "view")
+    t = T.map_result(t, F.upper)
+    t = T.flat_map_result(t, lambda c: T.translation(c, lambda x: F.when(F.length(x) >= 6, F.concat(x, F.lit("!")))))
+    composed = T.compose(known, lambda c: F.concat(c, F.lit("?")))(F.col("value"))
+    return r.select("event_id", t.alias("t"), composed.alias("composed")).select("event_id", "t.operand", "t.result", "composed")
+
+
+@query("select batch, string_agg(off::varchar || '=' || event_id::varchar, ',' order by off::varchar) as entries from (select part::varchar || ':' || (off // 8)::varchar as batch, off, event_id from records) group by batch")
+def list_to_map(s, d):
+    r = V.records(s, d).select(F.concat(F.col("part").cast("string"), F.lit(":"), F.expr("off div 8").cast("string")).alias("batch"), F.col("off").cast("string").alias("off"), F.col("event_id").cast("string").alias("event_id"))
+    return grouping.to_map(r, "batch", "off", "event_id").select("batch", C.render_map(F.col("entries")).alias("entries"))
+
+
 # grouping and routing
 @query("select ('0x' || substr(md5(key), 1, 8))::bigint % 16 as grp, count(*) as n from records group by 1")
 def group_hash(s, d):
