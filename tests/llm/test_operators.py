@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewater.llm import queries as Q
@@ -200,6 +201,17 @@ def test_quality(spark):
     assert train(d, labels.limit(0)).score(np.zeros((1, 44)))[0] >= 0
 
 
+def test_quality_sample(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    fits = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+    least = [r.doc_id for r in labels.where(fits).orderBy(F.xxhash64("doc_id")).limit(60).collect()]
+    assert labels.where(fits).count() > 4 * 60
+    twice = labels.unionByName(labels.withColumn("quality", F.lit(1)))
+    want = train(d, labels.where(F.col("doc_id").isin(least)), sample=60)
+    assert np.array_equal(train(d, labels, sample=60).weights, want.weights)
+    assert np.array_equal(train(d, twice, sample=60).weights, want.weights)
+
+
 def test_urls(spark):
     link = lambda u: f'<html><LINK href="{u}" rel="canonical"></html>'
     rows = [(1, "http://A.example.com/en/1", None), (2, "https://www.example.com/en/1", ""), (3, "nothing", None), (4, None, None), (5, "http://b.org/x?q", link("http://c.org/y")),
