@@ -295,7 +295,7 @@ def map_ack(s, d):
 @query("select key, sum(k)::bigint as total, string_agg(event_id::varchar, ',' order by off) as ack_order from records where off < 200 group by key")
 def reduce_ack(s, d):
     """Values folded, acknowledgements run in order."""
-    r = V.records(s, d).where("off < 200").groupBy("key").agg(F.sum("k").alias("total"), F.array_sort(F.collect_list(F.struct("off", "event_id"))).alias("a"))
+    r = V.records(s, d).groupBy("key").agg(F.sum("k").alias("total"), F.array_sort(F.collect_list(F.struct("off", "event_id"))).alias("a"))
     return r.select("key", "total", F.array_join(F.transform("a", lambda x: x["event_id"].cast("string")), ",").alias("ack_order"))
 
 
