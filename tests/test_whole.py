@@ -26,3 +26,17 @@ def test_reduce_ack_folds_every_record(spark, records):
         want[str(user)] = (total + k, [*order, str(event)])
     got = {r.key: (r.total, r.ack_order.split(",")) for r in catalog.queries()["reduce_ack"](spark, SF).collect()}
     assert got == want and sum(len(x) for _, x in got.values()) == len(records) == 10_000
+
+
+def test_commits_from_the_first_open_record(spark, records):
+    first, last = {}, {}
+    for part, off, _, _, _, done, nack in records:
+        last[part] = off
+        if nack or not done:
+            first.setdefault(part, off)
+    want = {p: (first.get(p, n + 1), n + 1) for p, n in last.items()}
+    got = {r.part: (r.commit_off, r.n) for r in catalog.queries()["committable_offset"](spark, SF).collect()}
+    assert got == want and min(first.values()) < 50
+    again = {(event, part, off) for part, off, event, *_ in records if off >= want[part][0]}
+    got = [(r.event_id, r.part, r.off) for r in catalog.queries()["replay_set"](spark, SF).collect()]
+    assert len(got) == len(again) and set(got) == again

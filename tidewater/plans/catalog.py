@@ -239,18 +239,14 @@ def ack_cumulative(s, d):
 _COMMIT = "with c as (select part, coalesce(min(off) filter (where done_us is null or outcome = 'NACK'), max(off) + 1) as commit_off, count(*) as n from completions where off >= 50 group by part)"
 
 
-def _later(s, d):
-    return V.completions(s, d).where("off >= 50")
-
-
 @query(_COMMIT + " select part, commit_off, n from c")
 def committable_offset(s, d):
-    return ack.committable(_later(s, d))
+    return ack.committable(V.completions(s, d))
 
 
 @query(_COMMIT + " select event_id, part, off from completions join c using (part) where off >= commit_off")
 def replay_set(s, d):
-    return ack.replay(_later(s, d)).select("event_id", "part", "off")
+    return ack.replay(V.completions(s, d)).select("event_id", "part", "off")
 
 
 _CHILD = """with ch as (select event_id, i, case when (event_id + i) % 29 <> 0 then us + (event_id * 31 + i * 17) % 53 * 1000000 end as done_us, case when (event_id + i) % 23 = 0 then 'NACK' else 'ACK' end as outcome
