@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from tidewater.operators import windows
 from tidewater.plans import catalog
 
 SF = "/root/testdata/sf0.01"
@@ -40,3 +41,17 @@ def test_commits_from_the_first_open_record(spark, records):
     again = {(event, part, off) for part, off, event, *_ in records if off >= want[part][0]}
     got = [(r.event_id, r.part, r.off) for r in catalog.queries()["replay_set"](spark, SF).collect()]
     assert len(got) == len(again) and set(got) == again
+
+
+def test_fetch_looks_up_the_whole_table(spark):
+    names = dict(duckdb.sql(f"select c_custkey, c_name from '{SF}/customer.parquet'").fetchall())
+    orders = duckdb.sql(f"select o_orderkey, o_custkey from '{SF}/orders.parquet'").fetchall()
+    want = sorted((o, c, names.get(c), c in names) for o, c in orders)
+    assert sorted(tuple(r) for r in catalog.queries()["fetch_prepare"](spark, SF).collect()) == want
+
+
+def test_fetch_of_missing_keys(spark):
+    works = spark.createDataFrame([(1, 10), (2, 11), (3, None), (4, 10)], "id long, subject long")
+    source = spark.createDataFrame([(10, "x"), (12, "y")], "key long, name string")
+    got = windows.fetch_prepare(works, source, "subject", "key").select("id", "name", "fetched").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "x", True), (2, None, False), (3, None, False), (4, "x", True)]
