@@ -82,6 +82,25 @@ def test_packing(spark, docs):
     assert pack(odd(spark).limit(0), P.path("byte_bpe_50k.json")).collect() == []
 
 
+def test_packed_ids(spark):
+    import corpus_pipeline
+
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = {i: [*lib.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(ODD)}
+    for rows in (pack(odd(spark).repartition(3), P.path("byte_bpe_50k.json")).collect(), corpus_pipeline.packing(spark, odd(spark), SF).collect()):
+        by_doc, by_seq = {}, {}
+        for r in sorted(rows, key=lambda r: (r.start, r.offset)):
+            ids = np.frombuffer(r.ids, "<u4").tolist()
+            assert len(ids) == r.length and zlib.crc32(r.ids) == r.ids_crc32
+            by_doc.setdefault(r.doc_id, []).extend(ids)
+            by_seq.setdefault(r.sequence_id, {})[r.offset] = ids
+        assert by_doc == want
+        for x in by_seq.values():
+            whole = [i for k in sorted(x) for i in x[k]]
+            assert 0 < len(whole) <= 1024
+    assert Q.queries()["op9_packing"](spark, "/root/testdata/sf0.001").columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
 def test_tokens_of_long_texts(monkeypatch):
     import tidewater.llm.packing as m
 

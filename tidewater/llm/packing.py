@@ -9,7 +9,6 @@ task gathers more than a fixed number of windows.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.store import cut
 
 OPEN, LEAST_CUT, MERGED = 32, 4, 64
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+HELD = 4_000
 LONG = 1 << 20
 
 
@@ -64,10 +64,10 @@ class Packer:
         self.out: list[tuple] = []
 
     def piece(self, doc, start, ids, total, offset):
-        return (doc, start, len(ids), zlib.crc32(ids.tobytes()), total, offset, ids)
+        return (doc, start, len(ids), total, offset, ids)
 
     def emit(self, pieces: list[tuple]) -> None:
-        self.out += [(*p[:5], self.next_id, p[5]) for p in pieces]
+        self.out += [(*p[:4], self.next_id, *p[4:]) for p in pieces]
         self.next_id += 1
 
     def add(self, doc: int, ids: np.ndarray, start: int = 0, total: int | None = None) -> None:
@@ -97,11 +97,10 @@ class Packer:
 
 
 def _table(rows: list[tuple], left: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * 7
-    n = len(rows)
-    arrays = [pa.concat_arrays([pa.array(c, pa.int64()), pa.array([x[k] for x in left], pa.int64())]) for k, c in enumerate(cols)]
-    arrays += [pa.array([None] * n + [x[7] for x in left], pa.binary()), pa.array([None] * n + [x[8] for x in left], pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "group"])
+    """Pieces of finished sequences, whose group is null, and of windows left open."""
+    cols = list(zip(*((*x[:6], x[6].tobytes(), *x[7:]) for x in [*((*r, None) for r in rows), *left]), strict=True)) or [[]] * 8
+    kinds = [*[pa.int64()] * 6, pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "group"])
 
 
 def _pack(path: str, size: int, opened: int, least_cut: int, last_id: int):
@@ -111,10 +110,10 @@ def _pack(path: str, size: int, opened: int, least_cut: int, last_id: int):
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 p.add(doc, np.append(tokens(text.as_py() or ""), np.uint32(last_id)).astype("<u4"))
-                if len(p.out) > 20_000:
+                if len(p.out) > HELD:
                     yield _table(p.out, [])
                     p.out = []
-        left = [(*x[:5], -1, x[5], x[6].tobytes(), part // MERGED) for w in p.open for x in w[1]]
+        left = [(*x[:4], -1, *x[4:], part // MERGED) for w in p.open for x in w[1]]
         yield _table(p.out, left)
 
     return go
@@ -128,13 +127,16 @@ def _merge(size: int, least_cut: int):
             p.add(r.doc_id, np.frombuffer(r.ids, "<u4"), r.start, r.doc_tokens)
         for w in p.open:
             p.emit(w[1])
-        return pd.DataFrame(p.out, columns=[x.split()[0] for x in PIECE.split(", ")]).astype("int64")
+        out = pd.DataFrame([(*x[:6], x[6].tobytes()) for x in p.out], columns=[x.split()[0] for x in PIECE.split(", ")])
+        return out.astype({x: "int64" for x in out.columns if x != "ids"})
 
     return go
 
 
 def pack(docs: DataFrame, path: str, size: int = 1024, opened: int = OPEN, least_cut: int = LEAST_CUT, last_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
+    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids).
+
+    ids are the piece's own, 32 bits each, little-endian; a sequence is its pieces' ids in order of offset. ids_crc32 is theirs.
 
     A document is its text's ids, null as empty, and then `last_id`; each id lies in one piece and a sequence holds `size` ids at
     most, without gaps from 0 on. sequence_id is unique, not dense; negative ones come from merged leftovers. Rows with a null
@@ -142,10 +144,11 @@ def pack(docs: DataFrame, path: str, size: int = 1024, opened: int = OPEN, least
     in as many windows as they fill.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    done = cut(docs.mapInArrow(_pack(path, size, opened, least_cut, last_id), f"{PIECE}, ids binary, group long"), "packed")
+    done = cut(docs.mapInArrow(_pack(path, size, opened, least_cut, last_id), f"{PIECE}, group long"), "packed")
     names = [x.split()[0] for x in PIECE.split(", ")]
     merged = done.where("group is not null").groupBy("group").applyInPandas(_merge(size, least_cut), PIECE)
-    return done.where("group is null").select(*names).unionByName(merged)
+    whole = done.where("group is null").select(*names).unionByName(merged)
+    return whole.select(*names[:3], F.crc32("ids").alias("ids_crc32"), *names[3:])
 
 
 def op9_packing(spark, sf_dir):
@@ -153,4 +156,4 @@ def op9_packing(spark, sf_dir):
 
     from tidewater.llm.store import table
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
