@@ -174,6 +174,25 @@ def test_top_k(spark, block, monkeypatch):
     assert exact_top_k(df.limit(0)).collect() == []
 
 
+def test_packets(spark, monkeypatch):
+    import tidewater.llm.vectors as m
+
+    df, v = vectors(spark)
+    whole = [sorted(tuple(r) for r in f(df).collect()) for f in (exact_top_k, near_neighbours)]
+    monkeypatch.setattr(m, "PACKET", 4)
+    assert sorted(tuple(r) for r in exact_top_k(df).collect()) == whole[0]
+    assert sorted(tuple(r) for r in near_neighbours(df).collect()) == whole[1]
+
+    def sizes(key, rows, queries):
+        n = queries.num_rows
+        return queries.select(["vec_id"]).rename_columns(["query_id"]).append_column("vec_id", [[rows.num_rows] * n]).append_column("score", [[n] * n])
+
+    monkeypatch.setattr(m, "BLOCK", 200)
+    met = m._search(df, 100, 1000, sizes, "long", "vec_id", "embedding", False).collect()
+    assert max(r.score for r in met) <= 2 * 4 and max(r.vec_id for r in met) <= 2 * 200
+    assert {r.query_id: sum(x.vec_id for x in met if x.query_id == r.query_id) for r in met} == {i: len(usable(v, True)) for i in range(0, 1500, 100)}
+
+
 def test_near(spark):
     df, v = vectors(spark)
     x = usable(v, False)

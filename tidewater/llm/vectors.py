@@ -1,7 +1,8 @@
 """Searches in tables of vectors: the exact top k by branch and bound, and near neighbours by stable projections.
 
-Both deal the candidates into blocks and send each block every query, in packets; a block answers a query with its own best
-k, and the best of these are the result. So no task gathers more than one block, one packet, and k answers a block for a query.
+Both deal the candidates into blocks and the queries into packets, and every block meets every packet in a task of its own; a
+block answers a query with its own best k, and the best of these are the result. So no task gathers more than about one block
+and one packet, or k answers a block for a query. For that each vector is shuffled once a packet, each query once a block.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.store import cut
 
-BLOCK, PACKET = 8192, 512
+BLOCK, PACKET = 8192, 8192
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -36,11 +37,14 @@ def _vectors(rows: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> DataF
 
 def _search(rows: DataFrame, every: int, k: int, work, kind: str, id_col: str, vec_col: str, nonzero: bool, descending: bool = True) -> DataFrame:
     v = cut(_vectors(rows, id_col, vec_col, nonzero), "vectors")
-    blocks = 1 + v.count() // BLOCK
-    mine = v.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     asked = v.where(F.col("vec_id") % every == 0)
-    sent = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = mine.groupBy("dim", "block").cogroup(sent.groupBy("dim", "block")).applyInArrow(work, f"query_id long, vec_id long, score {kind}")
+    blocks, packets = 1 + v.count() // BLOCK, 1 + asked.count() // PACKET
+    deal = lambda df, name, n: df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n)))
+    each = lambda df, name, n: df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    mine = each(deal(v, "block", blocks), "packet", packets)
+    sent = each(deal(asked, "packet", packets), "block", blocks)
+    key = ["dim", "block", "packet"]
+    found = mine.groupBy(key).cogroup(sent.groupBy(key)).applyInArrow(work, f"query_id long, vec_id long, score {kind}")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
