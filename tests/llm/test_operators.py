@@ -270,6 +270,15 @@ def test_urls(spark):
     assert judge(df.limit(0)).collect() == []
 
 
+def test_relative_links(spark):
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    rows = [("http://b.net/es/1", None), ("http://b.net/a", link("/es/1")), ("http://c.org/a", link("//b.net/es/1")), ("http://b.net/a/b/c", link("../../es/1?x")), ("http://b.net/d/", link("./../es/./1")),
+            ("http://e.org/", link("http://e.org/") + link("http://b.net/es/1/")), ("http://b.net", "<meta http-equiv=refresh content='0; url=es/1'>"), ("http://b.net/x/y", link("z") + link("../../../es/1")),
+            ("http://g.org/1", link("/es/1")), ("http://b.net/q", link("?es/1")), ("http://b.net/r", link("#top")), ("http://b.net/s", link("mailto:es/1")), ("http://b.net/t/u", link("es/1")), ("http://b.net/x/z", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    assert {r.page_id for r in judge(df).where("verdict = 'block'").collect()} == set(range(8)) | {13}
+
+
 def test_preferences(spark):
     t = [(0, 0, "user", "hi"), (0, 1, "assistant", "yo"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 1, "assistant", "no"), (1, 2, "user", "ok"), (2, 0, None, None), (4, 0, "user", "s"), (5, 0, "user", "s"), (None, 0, "user", "x")]
     df = spark.createDataFrame([(*r, 9, 8) for r in t], "conv_id long, turn long, role string, text string, side int, pair_id int")

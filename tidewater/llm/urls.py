@@ -32,6 +32,16 @@ def _rest(url: Column) -> Column:
     return F.substring(url, F.instr(url, "://") + F.lit(3), F.greatest(F.length(url), F.lit(1)))
 
 
+def resolved(link: Column, host: Column, path: Column) -> Column:
+    """The url that a page's link leads to; null where that is the page itself or no page. What has "://" is taken as whole."""
+    at = F.regexp_extract(link, r"^([^?#]*)", 1)
+    full = F.when(at.startswith("/"), at).otherwise(F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(path, r"[^/]*$", ""), r"^/", ""), at))
+    up = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    plain = F.array_join(F.aggregate(F.split(full, "/"), F.array().cast("array<string>"), up), "/")
+    whole = F.when(F.instr(link, "://") > 0, link).when(link.startswith("//"), F.concat(F.lit("http:"), link))
+    return whole.when((at != "") & ~link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.concat(F.lit("http://"), host, plain))
+
+
 def spelling(host: Column, path: Column) -> Column:
     """One spelling for urls that differ in scheme, default port, query, fragment, final slash, .html or index page only."""
     plain = F.regexp_replace(F.regexp_replace(path, r"(?i)/index\.html?$", "/"), r"(?i)(\.html?|/+)$", "")
@@ -50,17 +60,17 @@ def fitting(host: Column, path: Column, rules: list[tuple[str, str, str]], what:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, links: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page.
 
-    links: (source, target) urls known to redirect, beside the refresh and canonical links in `html`, if pages has that column;
-    relative links are left out. A null url has empty host and path, no rule, and is allowed, as is any page that nothing blocks.
+    links: (source, target) urls known to redirect, beside the refresh and canonical links in `html`, if pages has that column,
+    relative ones too (a base element is not looked at). A null url has empty host and path, no rule, and is allowed, as is any page that nothing blocks.
     Repeated rows are judged each; other columns are ignored; an empty table gives no rows.
     """
     has = "html" in pages.columns
     p = pages.select(F.col("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), (F.col("html") if has else F.lit(None)).cast("string").alias("html"))
-    urls = [F.regexp_extract(F.coalesce("html", F.lit("")), x, 1) for x in (CANONICAL, REFRESH)]
+    urls = [F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(x), F.lit(1)) for x in (CANONICAL, REFRESH)]
     node = lambda c: F.xxhash64(spelling(host_of(c), path_of(c)))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    p = p.select("page_id", host.alias("host"), path.alias("path"), F.array(*urls).alias("to"))
-    p = p.select("page_id", "host", "path", F.filter("to", lambda x: F.instr(x, "://") > 0).alias("to"))
+    p = p.select("page_id", host.alias("host"), path.alias("path"), F.concat(*urls).alias("to"))
+    p = p.select("page_id", "host", "path", F.filter(F.transform("to", lambda x: resolved(x, F.col("host"), F.col("path"))), lambda x: x.isNotNull()).alias("to"))
     p = p.withColumn("rule", fitting(F.col("host"), F.col("path"), rules, 1)).withColumn("own", fitting(F.col("host"), F.col("path"), rules, 0))
     p = cut(p.withColumn("node", F.when(F.col("host") != "", F.xxhash64(spelling(F.col("host"), F.col("path"))))), "pages")
     edges = p.where("node is not null").select(F.col("node").alias("u"), F.explode("to").alias("x")).select("u", node(F.col("x")).alias("v"))
