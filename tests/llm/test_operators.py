@@ -50,6 +50,18 @@ def test_bpe(spark, docs):
     assert got == want
 
 
+def test_bpe_encodes_and_decodes(spark):
+    from tidewater.llm.bpe import bpe_decode, bpe_encode
+
+    path = P.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    got = {r.doc_id: (r.ids, r.text) for r in bpe_decode(bpe_encode(odd(spark), path), path).collect()}
+    ids = [lib.encode(t or "", add_special_tokens=False).ids for t in ODD]
+    assert got == {i: (x, lib.decode(x, skip_special_tokens=False)) for i, x in enumerate(ids)}
+    made = spark.createDataFrame([(1, ids[4]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert [r.text for r in bpe_decode(made.coalesce(1), path).collect()] == [got[4][1], "", ""]
+
+
 def check_packed(rows, texts):
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     ids = {k: np.array([*e.ids, 0], "<u4") for k, e in zip(texts, lib.encode_batch([t or "" for t in texts.values()], add_special_tokens=False), strict=True)}

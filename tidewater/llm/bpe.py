@@ -16,6 +16,7 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -218,7 +219,7 @@ class WordBPE:
         return a, b, np.array(n, np.int64)
 
 
-def _run(path: str):
+def _encode(path: str):
     def go(batches):
         bpe = WordBPE(path)
         for rows in slices(batches, size=6 << 20):
@@ -226,26 +227,64 @@ def _run(path: str):
             buf, s, e, w = words(data, offs)
             first, place = distinct(hash_spans(buf, s, e))
             raw = buf.tobytes()
-            ids, names, n = bpe.render([raw[i:j].decode() for i, j in zip(s[first].tolist(), e[first].tolist(), strict=True)])
+            ids, _, n = bpe.render([raw[i:j].decode() for i, j in zip(s[first].tolist(), e[first].tolist(), strict=True)])
+            flat = pa.array(np.array(" ".join(ids).split(), np.int32))
+            each = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), flat)
             total = np.append(0, np.cumsum(n[place]))
-            place, w = place.tolist(), w.tolist()
-            sha = [[], []]
-            for i, j in zip(w[:-1], w[1:], strict=True):
-                for k, x in enumerate((ids, names)):
-                    sha[k].append(hashlib.sha256(" ".join([y for p in place[i:j] if (y := x[p])]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(total[w[1:]] - total[w[:-1]]), pa.array(sha[0], pa.string()), pa.array(sha[1], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            out = pa.ListArray.from_arrays(pa.array(total[w], pa.int32()), each.take(pa.array(place, pa.int64())).flatten())
+            yield pa.RecordBatch.from_arrays([rows.column(0), out], ["doc_id", "ids"])
 
     return go
 
 
-def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, null as empty.
+def _decode(path: str):
+    def go(batches):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        known = {i: t for t, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
+        names = pa.array([known.get(i) for i in range(max(known) + 1)], pa.string())
+        for b in batches:
+            lists = b.column(1)
+            at = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
+            tokens = pa.ListArray.from_arrays(pa.array(at, pa.int32()), names.take(lists.flatten()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pc.binary_join(tokens, " ")], ["doc_id", "ids", "text"])
+
+    return go
+
+
+def _digest(path: str):
+    """Encodes and decodes one after the other in one worker: two would take more memory than an executor has."""
+    encoded, decoded = _encode(path), _decode(path)
+
+    def go(batches):
+        for b in decoded(encoded(batches)):
+            ids = b.column(1)
+            joined = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string())), " ")
+            sha = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in c], pa.string()) for c in (joined, b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.list_value_length(ids).cast(pa.int64()), *sha], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    Runs where the rows are, without a shuffle. The vocabulary file lies at `path` on every executor. An empty text has no
-    tokens and the digests of empty strings. Other columns are ignored; an empty table gives no rows.
+    return go
+
+
+def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids) of every whole text, null as empty.
+
+    Runs where the rows are, without a shuffle. The vocabulary file lies at `path` on every executor. Other columns are
+    ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(_run(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(_encode(path), "doc_id long, ids array<int>")
+
+
+def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, text): the ids' texts, as decode() gives them. Null ids count as none; one that is not in the vocabulary is an error or gives null."""
+    return encoded.select("doc_id", F.col("ids").cast("array<int>")).mapInArrow(_decode(path), "doc_id long, ids array<int>, text string")
+
+
+def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what bpe_encode and bpe_decode give; of empty strings where a text has no tokens."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.mapInArrow(_digest(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(bpe: WordBPE, text: str) -> list[int]:
