@@ -146,3 +146,38 @@ def test_arrays_and_merges(piece):
             seen[p[k : k + 64]].append((i, k))
     want = [sorted(k for at in seen.values() if len(at) > 1 for j, k in at if j == i) for i in range(len(parts))]
     assert [a.tolist() for a in found] == want
+
+
+def test_near_duplicates_null_and_repeated_rows(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(900)}" for _ in range(200)]
+    near = [*base[:150], "other", *base[151:]]
+    rows = [(7, " ".join(base)), (7, " ".join(base)), (3, " ".join(near)), (None, " ".join(base)), (9, None), (9, ""), (8, " ".join(reversed(base))), (8, " ".join(near)), (5, " ".join(base))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted([(7, 196, 3), (7, 196, 3), (3, 196, 3), (9, 0, 9), (9, 0, 9), (8, 196, 8), (8, 196, 3), (5, 196, 3)])
+
+
+def test_folder_is_shared(spark, monkeypatch):
+    from tidewater.llm import store
+
+    class Conf:
+        get = staticmethod(lambda k, d=None: d)
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Conf())
+
+    with pytest.raises(ValueError, match="share"):
+        store.shared_folder(Session())
+
+
+def test_tables_are_deleted(spark):
+    from tidewater.llm import store
+
+    df, _ = odd(spark, random.Random(1))
+    before = set(store._made)
+    out = near_duplicates(df)
+    assert len(set(store._made) - before) == 2 and out.count() == df.count()

@@ -19,14 +19,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.components import components
-from tidewater.llm.store import cut, drop
-from tidewater.llm.textkit import U, combine, distinct, hash_spans, mix, slices, text_bytes, words
+from tidewater.llm.store import cut, drop, tidy
+from tidewater.llm.textkit import U, combine, hash_spans, mix, slices, text_bytes, trimmed, words
 
 SIDE, ROWS = 10, 2
+SLICE = 2 << 20  # bytes of text at once: what bounds a worker's memory
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,12 +58,19 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray
     return g, np.searchsorted(row, np.arange(len(count) + 1))
 
 
-def _signatures(n: int, side: int, rows: int, id_col: str, text_col: str):
+def _set_hash(g: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """128 bits of each set, as two numbers."""
+    raw = g.tobytes()
+    dig = [xxhash.xxh3_128_digest(raw[8 * i : 8 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(dig), "<i8").reshape(-1, 2)
+
+
+def _signatures(n: int, side: int, rows: int):
     def run(batches):
         rng = np.random.default_rng(20240613)
         salt = rng.integers(0, 1 << 63, size=(2, side, rows), dtype=np.uint64) | U(1)
-        for b in slices(batches, text_col):
-            data, offs = text_bytes(b.column(b.schema.get_field_index(text_col)))
+        for b in slices(batches, size=SLICE):
+            data, offs = text_bytes(b.column(1))
             g, at = shingle_sets(data, offs, n)
             full = np.flatnonzero(np.diff(at))
             sig = np.zeros((len(offs) - 1, 2 * side), np.uint64)
@@ -71,57 +79,28 @@ def _signatures(n: int, side: int, rows: int, id_col: str, text_col: str):
                     for k in range(side):
                         low = [np.minimum.reduceat(mix(g * salt[s, k, r]), at[:-1][full]) for r in range(rows)]
                         sig[full, s * side + k] = combine(*low)
-            raw = g.tobytes()
-            dig = [xxhash.xxh3_128_digest(raw[8 * i : 8 * j]) for i, j in zip(at[:-1], at[1:], strict=True)]
-            dig = np.frombuffer(b"".join(dig), "<i8").reshape(-1, 2)
+            dig = _set_hash(g, at)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, side, dtype=np.int32)), pa.array(np.ascontiguousarray(x).reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(id_col)).cast(pa.int64()), pa.array(np.diff(at)), pa.array(dig[:, 0]), pa.array(dig[:, 1]), lists(sig[:, :side]), lists(sig[:, side:])], ["doc_id", "n_shingles", "h1", "h2", "sa", "sb"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array(dig[:, 0]), pa.array(dig[:, 1]), lists(sig[:, :side]), lists(sig[:, side:])], ["doc_id", "n_shingles", "h1", "h2", "sa", "sb"])
 
-    return run
+    return lambda batches: trimmed(run(batches))
 
 
 def _sets(n: int):
     def run(batches):
-        for b in slices(batches):
-            g, at = shingle_sets(*text_bytes(b.column(b.schema.get_field_index("text"))), n)
-            raw = g.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc")), pa.array([raw[8 * i : 8 * j] for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc", "shingles"])
-
-    return run
-
+        for b in slices(batches, size=SLICE):
+            g, at = shingle_sets(*text_bytes(b.column(0)), n)
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(g.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(_set_hash(g, at)[:, 0]), lists], ["c", "shingles"])
 
-def _elements(batches):
-    for b in batches:
-        sets = b.column(b.schema.get_field_index("shingles"))
-        parts = [np.frombuffer(x.as_buffer(), np.int64) for x in sets]
-        doc = np.repeat(b.column(b.schema.get_field_index("doc")).to_numpy(), [len(x) for x in parts])
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        for i in range(0, len(flat), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + (1 << 16)]), pa.array(flat[i : i + (1 << 16)])], ["doc", "e"])
-
-
-def _alike(percent: int):
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate([p, q])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(p) + len(q) - same))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+    return lambda batches: trimmed(run(batches))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike."""
-    full = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
-    return cut(full.select("a", "b", "sa", "sb").mapInArrow(_alike(percent), "a long, b long"), "links")
+    full = pairs.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("y")), "b")
+    same = full.select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("both"))
+    return cut(same.where(f"100 * same >= {percent} * (both - same)").select("a", "b"), "links")
 
 
 def _fits(percent: int) -> str:
@@ -130,65 +109,75 @@ def _fits(percent: int) -> str:
 
 
 def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (doc, size, comp, sa, sb) of different comp that share a key and can be alike by their rarest shingles."""
-    elements = cut(sets.join(members.select("doc"), "doc", "left_semi").mapInArrow(_elements, "doc long, e long"), "elements")
+    """Pairs (a, b) of members (c, size, comp, sa, sb) of different comp that share a key and can be alike by their rarest shingles."""
+    elements = cut(sets.join(members.select("c"), "c", "left_semi").select("c", F.explode("shingles").alias("e")), "elements")
     # counts are written before they are joined: Spark can split a frequent shingle's rows only in a join of two plain shuffles
     shared = cut(elements.groupBy("e").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    ranked = elements.join(shared, "e").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("g"))
-    ranked = ranked.join(members.select("doc", "size", "comp"), "doc").withColumn("alone", F.col("size") - F.size("g"))
+    ranked = elements.join(shared, "e").groupBy("c").agg(F.sort_array(F.collect_set(F.struct("n", "e"))).alias("g"))
+    ranked = ranked.join(members.select("c", "size", "comp"), "c").withColumn("alone", F.col("size") - F.size("g"))
     early = F.greatest(F.lit(0), F.expr(f"size - ceil({percent} * size / 100D) + 1 - alone")).cast("int")
-    early = ranked.select("doc", "size", "comp", "alone", F.posexplode(F.slice("g", 1, early)).alias("pos", "x"))
-    early = cut(early.select("doc", "size", "comp", (F.col("alone") + F.col("pos") + 1).alias("pos"), F.col("x.e").alias("e")), "early")
-    main = early.groupBy("e", "comp").agg(F.count("*").alias("c")).groupBy("e").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
+    early = ranked.select("c", "size", "comp", "alone", F.posexplode(F.slice("g", 1, early)).alias("pos", "x"))
+    early = cut(early.select("c", "size", "comp", (F.col("alone") + F.col("pos") + 1).alias("pos"), F.col("x.e").alias("e")), "early")
+    main = early.groupBy("e", "comp").agg(F.count("*").alias("n")).groupBy("e").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
     main = cut(main.where("comps > 1").select("e", "main"), "main")
-    early = cut(early.join(main, "e"), "mixed")
-    lead = early.where("comp != main").select("e", F.col("doc").alias("a"), F.col("size").alias("za"), F.col("comp").alias("ca"), F.col("pos").alias("pa"))
-    other = early.select("e", "main", F.col("doc").alias("b"), F.col("size").alias("zb"), F.col("comp").alias("cb"), F.col("pos").alias("pb"))
+    mixed = cut(early.join(main, "e"), "mixed")
+    lead = mixed.where("comp != main").select("e", F.col("c").alias("a"), F.col("size").alias("za"), F.col("comp").alias("ca"), F.col("pos").alias("pa"))
+    other = mixed.select("e", "main", F.col("c").alias("b"), F.col("size").alias("zb"), F.col("comp").alias("cb"), F.col("pos").alias("pb"))
     pairs = lead.join(other, "e").where(f"ca != cb and (cb = main or a < b) and {_fits(percent)}").select("a", "b").distinct()
-    keys = lambda d: members.select(F.col("doc").alias(d), F.col("sa").alias(f"{d}1"), F.col("sb").alias(f"{d}2"))
+    keys = lambda d: members.select(F.col("c").alias(d), F.col("sa").alias(f"{d}1"), F.col("sb").alias(f"{d}2"))
     pairs = pairs.join(keys("a"), "a").join(keys("b"), "b").where(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2"))
     out = cut(pairs.select("a", "b"), "pairs")
-    drop(elements, shared)
+    drop(elements, shared, early, main, mixed)
     return out
 
 
+@tidy
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, side: int = SIDE, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id): the classes of texts linked by Jaccard similarity of word shingles.
 
     Words are runs of bytes other than ASCII white space, with A-Z lower-cased. A text with fewer than `shingle` words has its
     whole word sequence as its one shingle; a null or empty text, or one of white space, has none and is a class of its own.
-    Ids are unique integers; rows with a null id are left out. Other columns, whatever their names, are ignored. An empty
-    table gives no rows; texts may be of any length.
+    Ids are integers; a row with a null id is left out. Each row is classed by its own text, repeated rows each alike, whether
+    their ids are equal or not; component_id is the smallest id in the class. Other columns, whatever their names, are
+    ignored. An empty table gives no rows; texts may be of any length.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    sig = cut(docs.mapInArrow(_signatures(shingle, side, rows, "doc_id", "text"), "doc_id long, n_shingles long, h1 long, h2 long, sa array<long>, sb array<long>"), "signatures")
-    classes = cut(sig.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("size"), F.first("sa").alias("sa"), F.first("sb").alias("sb")), "classes")
-    keys = classes.select("doc", F.posexplode("sa").alias("i", "x"), "sb").select("doc", "i", "x", F.posexplode("sb").alias("j", "y")).select("doc", F.xxhash64("i", "j", "x", "y").alias("key"))
-    in_key = Window.partitionBy("key")
-    met = cut(keys.withColumn("n", F.count("*").over(in_key)).where("n > 1").select("key", "doc", "n"), "met")
-    often = met.groupBy("doc").agg(F.sum("n").alias("often")).join(classes.select("doc", "size"), "doc")
-    met = cut(met.join(often, "doc"), "buckets")
-    sets = docs.join(often.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text")
-    sets = cut(sets.mapInArrow(_sets(shingle), "doc long, shingles binary"), "sets")
-    first = met.groupBy("key").agg(F.min(F.struct((-F.col("often")).alias("o"), F.col("doc").alias("a"), F.col("size").alias("za"))).alias("f")).select("key", "f.a", "f.za")
-    pairs = met.join(first, "key").where(f"doc != a and 100 * least(size, za) >= {percent} * greatest(size, za)").select("a", F.col("doc").alias("b")).distinct()
-    links, comp = _links(cut(pairs, "pairs"), sets, percent), None
+    sig = cut(docs.mapInArrow(_signatures(shingle, side, rows), "doc_id long, n_shingles long, h1 long, h2 long, sa array<long>, sb array<long>"), "signatures")
+    # a class of equal sets is known by the first half of its hash, c
+    classes = sig.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("size"), F.first("sa").alias("sa"), F.first("sb").alias("sb"))
+    classes = cut(classes.withColumn("c", F.col("h1")), "classes")
+    keys = classes.select("c", F.posexplode("sa").alias("i", "x"), "sb").select("c", "i", "x", F.posexplode("sb").alias("j", "y")).select("c", F.xxhash64("i", "j", "x", "y").alias("key"))
+    # what is known of a key is written before it is joined, so that a frequent key's rows can be split
+    shared = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    found = cut(keys.join(shared, "key"), "met")
+    often = cut(found.groupBy("c").agg(F.sum("n").alias("often")).join(classes.select("c", "doc", "size"), "c"), "often")
+    met = cut(found.join(often, "c").select("key", "c", "often", "size"), "buckets")
+    sets = docs.join(often.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select("text")
+    sets = cut(sets.mapInArrow(_sets(shingle), "c long, shingles array<long>").join(often.select("c"), "c", "left_semi"), "sets")
+    first = met.groupBy("key").agg(F.min(F.struct((-F.col("often")).alias("o"), F.col("c").alias("a"), F.col("size").alias("za"))).alias("f")).select("key", "f.a", "f.za")
+    first = cut(first, "first")
+    pairs = cut(met.join(first, "key").where(f"c != a and 100 * least(size, za) >= {percent} * greatest(size, za)").select("a", F.col("c").alias("b")).distinct(), "pairs")
+    drop(shared, found, first)
+    links, comp = _links(pairs, sets, percent), None
+    drop(pairs)
     for last in (False, True):
         if links.limit(1).count():
-            comp = components(links, "a", "b").select(F.col("node").alias("doc"), "comp")
+            comp = cut(components(links, "a", "b").select(F.col("node").alias("c"), "comp"), "components")
         if last:
             break
-        members = classes.select("doc", "size", "sa", "sb")
-        members = members.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")) if comp is not None else members.withColumn("comp", F.col("doc"))
-        now = met.select("key", "doc").join(members.select("doc", "comp"), "doc")
+        members = classes.select("c", "size", "sa", "sb")
+        members = members.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c")) if comp is not None else members.withColumn("comp", F.col("c"))
+        now = met.select("key", "c").join(members.select("c", "comp"), "c")
         mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        open_ = now.join(mixed, "key", "left_semi").select("doc").distinct()
-        members = cut(members.join(open_, "doc", "left_semi"), "members")
+        open_ = now.join(cut(mixed, "mixed"), "key", "left_semi").select("c").distinct()
+        members = cut(members.join(open_, "c", "left_semi"), "members")
         links = links.unionByName(_links(_rest(members, sets, percent), sets, percent))
-    classes = classes.select("h1", "h2", "doc")
+    ends = classes.select("h1", "h2", "doc", "c")
     if comp is not None:
-        classes = classes.join(comp, "doc", "left").select("h1", "h2", F.coalesce("comp", "doc").alias("doc"))
-    out = sig.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
+        least = classes.select("c", "doc").join(comp, "c").groupBy("comp").agg(F.min("doc").alias("least"))
+        ends = ends.join(comp.join(least, "comp").select("c", "least"), "c", "left").withColumn("doc", F.coalesce("least", "doc"))
+    ends = cut(ends.select("h1", "h2", "doc").distinct(), "ends")
+    out = sig.select("doc_id", "n_shingles", "h1", "h2").join(ends, ["h1", "h2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("doc")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written by cut() in this process and not yet deleted.
+_made: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), a new temporary one."""
+    """The folder in spark.checkpoint.dir. Where that is unset, as in tests, a new temporary one for a master in this process;
+    on a cluster it is an error, since executors do not see each other's disks."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -21,20 +30,43 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: lost executors cost no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.cut_path = path
-    return out
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _made.remove(path)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    """Names of the folders that df's plan reads files of."""
+    return {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
 
 
 def drop(*frames: DataFrame) -> None:
     """Deletes tables made by cut() that no later plan reads."""
     for df in frames:
-        path = getattr(df, "cut_path", None)
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        read = _folders(df)
+        for path in [p for p in _made if p.rsplit("/", 1)[-1] in read]:
+            _delete(df.sparkSession, path)
+
+
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f, after which the tables that it cut are deleted, but for those that its result reads."""
+
+    @functools.wraps(f)
+    def go(*args, **kwargs):
+        before = set(_made)
+        out = f(*args, **kwargs)
+        read = _folders(out)
+        for path in [p for p in _made if p not in before and p.rsplit("/", 1)[-1] not in read]:
+            _delete(out.sparkSession, path)
+        return out
+
+    return go
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             lo = hi
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end the worker, which waits for other tasks, gives freed memory back to the system."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def padded(data: np.ndarray, lower: bool = False) -> np.ndarray:
     buf = np.zeros(len(data) + 8, np.uint8)
     buf[: len(data)] = LOWER[data] if lower else data
