@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.components import components
-from tidewater.llm.store import cut, drop, tidy
+from tidewater.llm.store import cut, drop, sieve, sifted, tidy
 from tidewater.llm.textkit import U, combine, hash_spans, mix, slices, text_bytes, trimmed, words
 
 SIDE, ROWS = 10, 2
@@ -81,15 +81,15 @@ def _signatures(n: int, side: int, rows: int):
                         sig[full, s * side + k] = combine(*low)
             dig = _set_hash(g, at)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, side, dtype=np.int32)), pa.array(np.ascontiguousarray(x).reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array(dig[:, 0]), pa.array(dig[:, 1]), lists(sig[:, :side]), lists(sig[:, side:])], ["doc_id", "n_shingles", "h1", "h2", "sa", "sb"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(at)), pa.array(dig[:, 0]), pa.array(dig[:, 1]), lists(sig[:, :side]), lists(sig[:, side:])], ["doc_id", "row", "n_shingles", "h1", "h2", "sa", "sb"])
 
     return lambda batches: trimmed(run(batches))
 
 
-def _sets(n: int):
+def _sets(n: int, wanted: np.ndarray):
     def run(batches):
-        for b in slices(batches, size=SLICE):
-            g, at = shingle_sets(*text_bytes(b.column(0)), n)
+        for b in slices((b.filter(pa.array(sifted(wanted, b.column(0).to_numpy()))) for b in batches), size=SLICE):
+            g, at = shingle_sets(*text_bytes(b.column(1)), n)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(g.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(_set_hash(g, at)[:, 0]), lists], ["c", "shingles"])
 
@@ -121,28 +121,28 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     main = early.groupBy("e", "comp").agg(F.count("*").alias("n")).groupBy("e").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
     main = cut(main.where("comps > 1").select("e", "main"), "main")
     mixed = cut(early.join(main, "e"), "mixed")
-    lead = mixed.where("comp != main").select("e", F.col("c").alias("a"), F.col("size").alias("za"), F.col("comp").alias("ca"), F.col("pos").alias("pa"))
-    other = mixed.select("e", "main", F.col("c").alias("b"), F.col("size").alias("zb"), F.col("comp").alias("cb"), F.col("pos").alias("pb"))
-    pairs = lead.join(other, "e").where(f"ca != cb and (cb = main or a < b) and {_fits(percent)}").select("a", "b").distinct()
-    keys = lambda d: members.select(F.col("c").alias(d), F.col("sa").alias(f"{d}1"), F.col("sb").alias(f"{d}2"))
-    pairs = pairs.join(keys("a"), "a").join(keys("b"), "b").where(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2"))
-    out = cut(pairs.select("a", "b"), "pairs")
-    drop(elements, shared, early, main, mixed)
+    mixed = mixed.join(members.select("c", "sa", "sb"), "c")
+    lead = mixed.where("comp != main").select("e", F.col("c").alias("a"), F.col("size").alias("za"), F.col("comp").alias("ca"), F.col("pos").alias("pa"), F.col("sa").alias("a1"), F.col("sb").alias("a2"))
+    other = mixed.select("e", "main", F.col("c").alias("b"), F.col("size").alias("zb"), F.col("comp").alias("cb"), F.col("pos").alias("pb"), F.col("sa").alias("b1"), F.col("sb").alias("b2"))
+    may = f"ca != cb and (cb = main or a < b) and {_fits(percent)} and arrays_overlap(a1, b1) and arrays_overlap(a2, b2)"
+    out = cut(lead.join(other, "e").where(may).select("a", "b").distinct(), "pairs")
+    drop(elements, shared, early, main)
     return out
 
 
 @tidy
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, side: int = SIDE, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the classes of texts linked by Jaccard similarity of word shingles.
+    """(doc_id, row, n_shingles, component_id): the classes of texts linked by Jaccard similarity of word shingles.
 
     Words are runs of bytes other than ASCII white space, with A-Z lower-cased. A text with fewer than `shingle` words has its
     whole word sequence as its one shingle; a null or empty text, or one of white space, has none and is a class of its own.
     Ids are integers; a row with a null id is left out. Each row is classed by its own text, repeated rows each alike, whether
-    their ids are equal or not; component_id is the smallest id in the class. Other columns, whatever their names, are
-    ignored. An empty table gives no rows; texts may be of any length.
+    their ids are equal or not; `row`, Spark's xxhash64 of the text, tells texts with one id apart. component_id is the
+    smallest id in the class. Other columns, whatever their names, are ignored. An empty table gives no rows; texts may be
+    of any length.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    sig = cut(docs.mapInArrow(_signatures(shingle, side, rows), "doc_id long, n_shingles long, h1 long, h2 long, sa array<long>, sb array<long>"), "signatures")
+    sig = cut(docs.withColumn("row", F.xxhash64("text")).mapInArrow(_signatures(shingle, side, rows), "doc_id long, row long, n_shingles long, h1 long, h2 long, sa array<long>, sb array<long>"), "signatures")
     # a class of equal sets is known by the first half of its hash, c
     classes = sig.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("size"), F.first("sa").alias("sa"), F.first("sb").alias("sb"))
     classes = cut(classes.withColumn("c", F.col("h1")), "classes")
@@ -151,10 +151,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     found = cut(keys.join(shared, "key"), "met")
     often = cut(found.groupBy("c").agg(F.sum("n").alias("often")).join(classes.select("c", "doc", "size"), "c"), "often")
-    met = cut(found.join(often, "c").select("key", "c", "often", "size"), "buckets")
-    sets = docs.join(often.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select("text")
-    sets = cut(sets.mapInArrow(_sets(shingle), "c long, shingles array<long>").join(often.select("c"), "c", "left_semi"), "sets")
-    first = met.groupBy("key").agg(F.min(F.struct((-F.col("often")).alias("o"), F.col("c").alias("a"), F.col("size").alias("za"))).alias("f")).select("key", "f.a", "f.za")
+    met = cut(found.join(often, "c").select("key", "c", "often", "doc", "size"), "buckets")
+    wanted = sieve(often, "doc")
+    sets = cut(docs.mapInArrow(_sets(shingle, wanted), "c long, shingles array<long>").join(often.select("c"), "c", "left_semi"), "sets")
+    first = met.groupBy("key").agg(F.min(F.struct((-F.col("often")).alias("o"), "doc", F.col("c").alias("a"), F.col("size").alias("za"))).alias("f")).select("key", "f.a", "f.za")
     first = cut(first, "first")
     pairs = cut(met.join(first, "key").where(f"c != a and 100 * least(size, za) >= {percent} * greatest(size, za)").select("a", F.col("c").alias("b")).distinct(), "pairs")
     drop(shared, found, first)
@@ -177,12 +177,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         least = classes.select("c", "doc").join(comp, "c").groupBy("comp").agg(F.min("doc").alias("least"))
         ends = ends.join(comp.join(least, "comp").select("c", "least"), "c", "left").withColumn("doc", F.coalesce("least", "doc"))
     ends = cut(ends.select("h1", "h2", "doc").distinct(), "ends")
-    out = sig.select("doc_id", "n_shingles", "h1", "h2").join(ends, ["h1", "h2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("doc")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = sig.select("doc_id", "row", "n_shingles", "h1", "h2").join(ends, ["h1", "h2"], "left")
+    return out.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("doc")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op10_minhash(spark, sf_dir):
     from tidewater.llm.store import table
 
-    out = near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+    out = near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("row")
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -7,7 +7,14 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.llm.textkit import mix
+
+SIEVE = 1 << 25  # bits of a sieve
 
 #: Folders written by cut() in this process and not yet deleted.
 _made: list[str] = []
@@ -69,5 +76,33 @@ def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return go
 
 
+def _bits(ids: np.ndarray) -> np.ndarray:
+    h = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(SIEVE))
+    return np.stack([h % np.uint64(SIEVE), (h >> np.uint64(32)) % np.uint64(SIEVE)])
+
+
+def sieve(ids: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of the ids, of SIEVE bits whatever their number (4 MB to the driver and to each executor): with more of them
+    than it has room for, it lets through more that a join must sort out, at last all."""
+
+    def words(batches):
+        for b in batches:
+            at = np.unique(_bits(b.column(0).to_numpy()))
+            word, n = np.unique(at >> np.uint64(6), return_inverse=True)
+            bits = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(bits, n, np.uint64(1) << (at & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    rows = ids.select(F.col(column).cast("long")).mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(SIEVE >> 6, np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def sifted(wanted: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids may be among those of the sieve: all that are, and some others."""
+    return np.all([(wanted[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1 for at in _bits(ids)], axis=0) if len(ids) else np.zeros(0, bool)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
