@@ -7,9 +7,13 @@ window and stop here. Identical contexts, such as those of exact copies, are cou
 one context only, its copies are each other's repeats and there is nothing else to compare with. The remaining contexts
 go to their shards. There suffix arrays are built by Larsson-Sadakane refinement (only unresolved groups are sorted
 again, each time by twice the depth), common prefixes of neighbours come from Kasai's pass, and a shard above a bounded
-size is split in sub-shards that are merged by binary search of one's windows in another's suffix array. A hash met by many
-contexts is dealt anew by two further hashes of the windows, so that one frequent passage amid different texts does not
-make one large shard. Nothing is capped or sampled.
+size is split in sub-shards that are merged by binary search of one's windows in another's suffix array.
+
+One frequent passage amid different texts must not make one large shard. So a hash met by many contexts, or by long ones, is
+dealt anew by two further hashes of the windows: the parts of contexts that this gives are treated as contexts are,
+identical ones counted first, so that of a passage's inside, which is the same everywhere, one part goes to a shard. Where
+still many different parts meet, at the passage's borders, each window of theirs is a part of its own, dealt by its 128-bit
+digest; identical ones are counted, and no two others meet. Nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -23,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.store import cut, drop
-from tidewater.llm.textkit import U, loads, mix, slices, text_bytes
+from tidewater.llm.store import cut, tidy
+from tidewater.llm.textkit import U, loads, mix, slices, text_bytes, trimmed
 
-GRAM, HOT, SHARD, PIECE = 32, 2000, 3 << 19, 1 << 21
+GRAM, SHARD, PIECE = 32, 3 << 19, 1 << 21
+HOT, HOT_BYTES = 2000, 4 << 20  # contexts, and their bytes, beyond which they are dealt anew
+RUN = 1 << 16  # windows in a run at most; longer ones, as in periodic texts, are several
 _A = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -70,6 +76,12 @@ def runs(data: np.ndarray, offs: np.ndarray, length: int, seed: int = 1) -> tupl
     lo = np.flatnonzero(first)
     row = np.searchsorted(offs, lo, "right") - 1
     hi = np.minimum(np.append(lo[1:], len(m)), offs[row + 1] - length + 1)
+    parts = -(-(hi - lo) // RUN)
+    if len(parts) and parts.max() > 1:
+        turn = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        row, end = np.repeat(row, parts), np.repeat(hi, parts)
+        lo = np.repeat(lo, parts) + RUN * turn
+        hi = np.minimum(lo + RUN, end)
     s = np.cumsum(np.append(0, h[: len(m)] == m))
     return row, m[lo], lo, hi - lo, s[hi - 1] > s[lo]
 
@@ -83,18 +95,21 @@ def _runs(length: int):
             dig = np.fromiter((xxhash.xxh3_64_intdigest(raw[i : i + k]) for i, k in zip(lo.tolist(), (n + length - 1).tolist(), strict=True)), np.uint64, len(lo))
             at = pa.array(np.searchsorted(row, np.arange(len(offs))).astype(np.int32))
             lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (fp.view(np.int64), dig.view(np.int64), lo - offs[row], np.where(own, -n, n))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["doc_id", "fp", "dig", "lo", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *lists], ["doc_id", "row", "fp", "dig", "lo", "n"])
 
-    return go
+    return lambda batches: trimmed(go(batches))
 
 
-CONTEXTS = "fp long, dig long, sub long, shift long, n long, many boolean, own boolean, ctx binary"
+CONTEXTS = "fp long, dig long, sub long, part long, shift long, n long, many boolean, own boolean, hot boolean, ctx binary"
 
 
 def _contexts(length: int):
-    """Cuts the wanted contexts out of their texts; those of hot hashes are dealt anew by two more hashes of the windows."""
+    """Cuts the wanted contexts out of their texts, those of hot hashes in parts by two more hashes of the windows (`sub`).
+
+    dig and part are digests of the whole context's and of the part's bytes, shift the windows before the part.
+    """
     names = [x.split()[0] for x in CONTEXTS.split(", ")]
-    schema = pa.schema([(x, pa.binary() if x == "ctx" else pa.bool_() if x in ("many", "own") else pa.int64()) for x in names])
+    schema = pa.schema([(x, pa.binary() if x == "ctx" else pa.bool_() if x in ("many", "own", "hot") else pa.int64()) for x in names])
 
     def go(batches):
         out, size = {k: [] for k in names}, 0
@@ -110,15 +125,34 @@ def _contexts(length: int):
                         edge = np.flatnonzero(np.append(True, (m[0][1:] != m[0][:-1]) | (m[1][1:] != m[1][:-1])))
                         parts = [(int(i), int(j - i), int(mix(m[0][i : i + 1] * _A[1] + m[1][i : i + 1])[0].astype(np.int64)) ^ x["fp"]) for i, j in zip(edge, np.append(edge[1:], n), strict=True)]
                     for i, k, sub in parts:
-                        for name, y in zip(names, (x["fp"], x["dig"], sub, i, k, x["many"], x["n"] < 0, ctx[i : i + k + length - 1].tobytes()), strict=True):
+                        raw = ctx[i : i + k + length - 1].tobytes()
+                        part = int(np.uint64(xxhash.xxh3_64_intdigest(raw)).astype(np.int64)) if x["hot"] else x["dig"]
+                        for name, y in zip(names, (x["fp"], x["dig"], sub, part, i, k, x["many"], x["n"] < 0, x["hot"], raw), strict=True):
                             out[name].append(y)
                         size += k + length
-                    if size > 8 << 20:
+                    if size > 2 << 20:
                         yield pa.RecordBatch.from_pydict(out, schema=schema)
                         out, size = {k: [] for k in names}, 0
         yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return go
+    return lambda batches: trimmed(go(batches))
+
+
+def _windows(length: int):
+    """Each window of the parts as a part of its own: its digest in two halves, and its place in the part."""
+
+    def go(batches):
+        for b in batches:
+            for sub, part, ctx in zip(*(b.column(i) for i in range(3)), strict=True):
+                raw = memoryview(ctx.as_buffer())
+                n = len(raw) - length + 1
+                for lo in range(0, n, 1 << 15):
+                    dig = b"".join(xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(lo, min(n, lo + (1 << 15))))
+                    dig = np.frombuffer(dig, "<i8").reshape(-1, 2)
+                    same = lambda x: pa.array(np.full(len(dig), x.as_py()))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([same(sub), same(part), pa.array(np.arange(lo, lo + len(dig))), pa.array(dig[:, 0]), pa.array(dig[:, 1])], ["sub", "part", "i", "w1", "w2"])
+
+    return lambda batches: trimmed(go(batches))
 
 
 class SuffixArray:
@@ -278,42 +312,79 @@ def _spans(at: np.ndarray) -> list[tuple[int, int]]:
 
 def _shard(length: int):
     def go(pdf: pd.DataFrame) -> pd.DataFrame:
-        alone = (pdf.groupby("sub")["fp"].transform("size") == 1) & ~pdf["own"]
+        pdf = pdf.drop_duplicates(["sub", "part"])  # repeated rows
+        alone = (pdf.groupby("sub")["sub"].transform("size") == 1) & ~pdf["own"]
         take, rest = pdf[~alone], pdf[alone & pdf["many"]]
-        out = list(zip(rest["fp"], rest["dig"], rest["shift"], rest["shift"] + rest["n"], strict=True))
+        out = list(zip(rest["sub"], rest["part"], [0] * len(rest), rest["n"], strict=True))
         found = repeated_windows(list(take["ctx"]), length)
-        for fp, dig, shift, n, many, at in zip(take["fp"], take["dig"], take["shift"], take["n"], take["many"], found, strict=True):
-            out += [(fp, dig, shift + i, shift + j) for i, j in ([(0, n)] if many else _spans(at))]
-        return pd.DataFrame(out, columns=["fp", "dig", "i", "j"]).astype("int64")
+        for sub, part, n, many, at in zip(take["sub"], take["part"], take["n"], take["many"], found, strict=True):
+            out += [(sub, part, i, j) for i, j in ([(0, n)] if many else _spans(at))]
+        return pd.DataFrame(out, columns=["sub", "part", "i", "j"]).astype("int64")
 
     return go
 
 
+VERDICT = "sub long, part long, i long, j long"
+
+
+def _verdicts(contexts: DataFrame, length: int) -> DataFrame:
+    """(sub, part, i, j): the ranges of windows of each part that occur elsewhere as well."""
+    cold = contexts.where("not hot").select("sub", "part", "n", "many", "own", "ctx")
+    hot = contexts.where("hot")
+    # identical parts are counted first; one of them goes on
+    alike = hot.groupBy("sub", "part").agg(F.min(F.struct("fp", "dig", "shift")).alias("x"), F.max("n").alias("n"), (F.max("many") | (F.count("*") > 1)).alias("many"), F.max("own").alias("own"))
+    alike = cut(alike.select("sub", "part", "n", "many", "own", "x.*"), "alike")
+    subs = alike.groupBy("sub").agg(F.count("*").alias("parts"), F.sum(F.col("n") + length).alias("size"))
+    subs = cut(subs.select("sub", ((F.col("parts") > HOT) | (F.col("size") > HOT_BYTES)).alias("apart"), (F.col("parts") == 1).alias("lone")), "subs")
+    alike = alike.join(subs, "sub")
+    plain = alike.where("not apart and lone and not own")
+    out = plain.where("many").select("sub", "part", F.lit(0).cast("long").alias("i"), F.col("n").alias("j"))
+    some = cut(alike.where("not (not apart and lone and not own)").join(hot.select("fp", "dig", "shift", "ctx"), ["fp", "dig", "shift"]).dropDuplicates(["sub", "part"]), "some")
+    cold = cold.unionByName(some.where("not apart").select(cold.columns))
+    shards = 1 + (cold.agg(F.sum(F.col("n") + length)).first()[0] or 0) // SHARD
+    out = out.unionByName(cold.withColumn("shard", F.pmod(F.xxhash64("sub"), F.lit(shards))).groupBy("shard").applyInPandas(_shard(length), VERDICT))
+    apart = some.where("apart")
+    out = out.unionByName(apart.where("many").select("sub", "part", F.lit(0).cast("long").alias("i"), F.col("n").alias("j")))
+    single = cut(apart.select("sub", "part", "ctx").mapInArrow(_windows(length), "sub long, part long, i long, w1 long, w2 long"), "single")
+    again = cut(single.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2"), "again")
+    out = out.unionByName(single.join(again, ["w1", "w2"]).select("sub", "part", "i", (F.col("i") + 1).alias("j")))
+    return cut(out, "verdicts")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, row): rows of one id and text are one."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"))
+
+
+@tidy
 def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans): for each text with any, ranges of window starts whose `length` bytes also start elsewhere.
+    """(doc_id, row, spans): for each text with any, ranges of window starts whose `length` bytes also start elsewhere.
 
-    Texts are UTF-8 bytes; null and empty ones, and those under `length` bytes, have no windows. Ids are unique integers; rows
-    with a null id are left out, other columns are ignored, an empty table gives no rows. Texts may be of any length.
+    Texts are UTF-8 bytes; null and empty ones, and those under `length` bytes, have no windows. Ids are integers; rows with a
+    null id are compared with nothing, other columns are ignored, an empty table gives no rows. Texts may be of any length.
+    Repeated rows are each other's repeats; `row`, a hash of the text, tells texts with one id apart.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    lists = "doc_id long, fp array<long>, dig array<long>, lo array<long>, n array<long>"
+    docs = _keyed(docs, id_col, text_col).where("doc_id is not null")
+    lists = "doc_id long, row long, fp array<long>, dig array<long>, lo array<long>, n array<long>"
     t = cut(docs.mapInArrow(_runs(length), lists), "runs")
-    each = t.select("doc_id", F.explode(F.arrays_zip("fp", "dig", "lo", "n")).alias("x")).select("doc_id", "x.*")
+    each = t.select("doc_id", "row", F.explode(F.arrays_zip("fp", "dig", "lo", "n")).alias("x")).select("doc_id", "row", "x.*")
     own = F.max(F.when(F.col("n") < 0, 1).otherwise(0))
-    met = each.groupBy("fp").agg(F.count("*").alias("c"), F.min("dig").alias("d1"), F.max("dig").alias("d2"), own.alias("own"))
-    met = met.where("c > 1 or own = 1").select("fp", ((F.col("d1") != F.col("d2")) | (F.col("own") == 1)).alias("mixed"), (F.col("c") > HOT).alias("hot"))
+    met = each.groupBy("fp").agg(F.count("*").alias("c"), F.sum(F.abs("n") + length).alias("size"), F.min("dig").alias("d1"), F.max("dig").alias("d2"), own.alias("own"))
+    mixed, hot = (F.col("d1") != F.col("d2")) | (F.col("own") == 1), (F.col("c") > HOT) | (F.col("size") > HOT_BYTES)
+    # written before it is joined: Spark can split the rows of a frequent hash only in a join of two plain shuffles
+    met = cut(met.where("c > 1 or own = 1").select("fp", mixed.alias("mixed"), hot.alias("hot")), "met")
     found = cut(each.join(met, "fp"), "repeats")
-    reps = found.where("mixed").groupBy("fp", "dig").agg(F.min(F.struct("doc_id", "lo", "n", "hot")).alias("x"), (F.count("*") > 1).alias("many"))
-    want = reps.groupBy("x.doc_id").agg(F.collect_list(F.struct("fp", "dig", "x.lo", "x.n", "x.hot", "many")).alias("want"))
-    ctx = want.join(docs, "doc_id").select(F.col("text").cast("binary").alias("text"), "want")
-    ctx = ctx.mapInArrow(_contexts(length), CONTEXTS)
-    size = found.where("mixed").agg(F.sum(F.abs("n") + length)).first()[0] or 0
-    shards = 1 + size // SHARD
-    verdict = cut(ctx.withColumn("shard", F.pmod(F.xxhash64("sub"), F.lit(shards))).groupBy("shard").applyInPandas(_shard(length), "fp long, dig long, i long, j long"), "verdicts")
-    drop(t)
-    plain = found.where("not mixed").select("doc_id", "lo", (F.col("lo") + F.abs("n")).alias("hi"))
-    mixed = found.where("mixed").join(verdict, ["fp", "dig"]).select("doc_id", (F.col("lo") + F.col("i")).alias("lo"), (F.col("lo") + F.col("j")).alias("hi"))
-    return cut(plain.unionByName(mixed).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    reps = found.where("mixed").groupBy("fp", "dig").agg(F.min(F.struct("doc_id", "row", "lo", "n", "hot")).alias("x"), (F.count("*") > 1).alias("many"))
+    want = reps.groupBy("x.doc_id", "x.row").agg(F.collect_list(F.struct("fp", "dig", "x.lo", "x.n", "x.hot", "many")).alias("want"))
+    ctx = want.join(docs, ["doc_id", "row"]).select(F.col("text").cast("binary").alias("text"), "want")
+    contexts = cut(ctx.mapInArrow(_contexts(length), CONTEXTS), "contexts")
+    verdict = _verdicts(contexts, length)
+    parts = contexts.select("fp", "dig", "shift", "sub", "part").join(verdict, ["sub", "part"])
+    parts = cut(parts.select("fp", "dig", (F.col("shift") + F.col("i")).alias("i"), (F.col("shift") + F.col("j")).alias("j")), "parts")
+    plain = found.where("not mixed").select("doc_id", "row", "lo", (F.col("lo") + F.abs("n")).alias("hi"))
+    mixed = found.where("mixed").join(parts, ["fp", "dig"]).select("doc_id", "row", (F.col("lo") + F.col("i")).alias("lo"), (F.col("lo") + F.col("j")).alias("hi"))
+    return cut(plain.unionByName(mixed).groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
 
 
 def removed(spans: list, length: int) -> list[list[int]]:
@@ -329,7 +400,7 @@ def removed(spans: list, length: int) -> list[list[int]]:
 
 def _digest(length: int):
     def go(batches):
-        for b in batches:
+        for b in slices(batches, size=4 << 20):
             rows = []
             for text, spans in zip(b.column(1), b.column(2), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
@@ -345,45 +416,50 @@ def _digest(length: int):
     return go
 
 
-def _strip(length: int):
+def _strip(length: int, at: int, names: list[str]):
+    """The last column holds the spans of the text in column `at`."""
+
     def go(batches):
-        for b in batches:
-            i, k = b.schema.get_field_index("text"), b.schema.get_field_index("_spans")
+        for b in slices(batches, names[at], 4 << 20):
             texts = []
-            for text, spans in zip(b.column(i), b.column(k), strict=True):
+            for text, spans in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
                 gone = removed(spans.as_py(), length)
                 if not gone or not text.is_valid:
                     texts.append(text.as_py())
                     continue
-                raw, kept, at = text.as_buffer().to_pybytes(), [], 0
+                raw, kept, done = text.as_buffer().to_pybytes(), [], 0
                 for x, y in gone:  # a character goes only with all of its bytes
                     while x < y and raw[x] & 0xC0 == 0x80:
                         x += 1
                     while y < len(raw) and y > x and raw[y] & 0xC0 == 0x80:
                         y -= 1
-                    kept.append(raw[at:x])
-                    at = y
-                texts.append(b"".join([*kept, raw[at:]]).decode())
-            yield b.set_column(i, pa.field("text", pa.string()), pa.array(texts, pa.string())).drop_columns(["_spans"])
+                    kept.append(raw[done:x])
+                    done = y
+                texts.append(b"".join([*kept, raw[done:]]).decode())
+            cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    return go
+    return lambda batches: trimmed(go(batches))
 
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """documents with each byte that lies in a repeated window taken out of its text and n_chars counted anew.
 
-    Every row stays, a text that is all repeats as an empty one; a character stays unless all of its bytes go.
+    Every row stays, a text that is all repeats as an empty one; a character stays unless all of its bytes go. Rows with a null
+    id or text stay as they are. Other columns keep their values, whatever their names.
     """
-    rest = [c for c in docs.columns if c != "text"]
-    x = docs.join(repeated_spans(docs, length).withColumnRenamed("spans", "_spans"), "doc_id", "left").select(*rest, "text", "_spans")
-    schema = docs.select(*rest, "text").schema
-    out = x.mapInArrow(_strip(length), schema).select(*docs.columns)
-    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in docs.columns else out
+    names = docs.columns
+    spans = repeated_spans(docs, length).select(F.struct("doc_id", "row").alias("k"), F.struct("spans").alias("s"))
+    text = F.col("text").cast("string")
+    x = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("d"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row")).alias("k"))
+    x = x.join(spans, "k", "left").select("d.*", F.col("s.spans").alias("spans of text"))
+    out = x.mapInArrow(_strip(length, names.index("text"), names), docs.schema)
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in names else out
 
 
 def op3_suffix_array(spark, sf_dir):
     from tidewater.llm.store import table
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    x = docs.join(repeated_spans(docs), "doc_id", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
+    docs = table(spark, sf_dir, "documents")
+    x = _keyed(docs, "doc_id", "text").join(repeated_spans(docs), ["doc_id", "row"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
     return x.mapInArrow(_digest(200), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
