@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.store import cut
 
-BLOCK, PACKET = 8192, 8192
+#: Rows at most, on average, in a block of candidates and in a packet of queries; fewer where vectors are long.
+BLOCK, PACKET, NEAR_BLOCK = 8192, 8192, 32768
+BYTES = 32 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -35,10 +37,22 @@ def _vectors(rows: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> DataF
     return v.select("vec_id", F.size("vec").alias("dim"), "vec")
 
 
-def _search(rows: DataFrame, every: int, k: int, work, kind: str, id_col: str, vec_col: str, nonzero: bool, descending: bool = True) -> DataFrame:
+def _one_each(rows: pa.Table) -> pa.Table:
+    """One row of each id, the one with the least vector."""
+    ids = rows.column("vec_id").to_numpy()
+    if len(np.unique(ids)) == len(ids):
+        return rows
+    vec = _matrix(rows.column("vec"))
+    order = np.lexsort((*vec.T[::-1], ids))
+    return rows.take(order[np.append(True, ids[order][1:] != ids[order][:-1])])
+
+
+def _search(rows: DataFrame, every: int, k: int, work, kind: str, id_col: str, vec_col: str, nonzero: bool, block: int | None = None) -> DataFrame:
     v = cut(_vectors(rows, id_col, vec_col, nonzero), "vectors")
     asked = v.where(F.col("vec_id") % every == 0)
-    blocks, packets = 1 + v.count() // BLOCK, 1 + asked.count() // PACKET
+    n, of, dim = v.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.max("dim")).first()
+    most = max(1, BYTES // (8 * (dim or 1)))
+    blocks, packets = 1 + n // min(block or BLOCK, most), 1 + of // min(PACKET, most)
     deal = lambda df, name, n: df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n)))
     each = lambda df, name, n: df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     mine = each(deal(v, "block", blocks), "packet", packets)
@@ -76,6 +90,7 @@ def _top(k: int, step: int = 8):
     def go(key, rows: pa.Table, queries: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64)] * 3
         if rows.num_rows and queries.num_rows:
+            rows, queries = _one_each(rows), _one_each(queries)
             ids, asked = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
             x, q = (np.floor(1024 * _matrix(t.column("vec"))) for t in (rows, queries))
             columns = np.ascontiguousarray(x.T)
@@ -96,8 +111,8 @@ def exact_top_k(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "v
     """(query_id, rank, vec_id, score): the k largest integer inner products of floor(1024 * x) vectors, ties to the smaller vec_id.
 
     Queries are the rows whose id is divisible by `every`; a query meets the vectors of its own length but its own row. Null, empty
-    and non-finite vectors, and rows with a null id, take no part. Ids are unique. Sums are exact up to 2**53. Other columns
-    are ignored; an empty table gives no rows, a lone query none either.
+    and non-finite vectors, and rows with a null id, take no part. Of rows with one id and length, that with the least vector
+    counts. Sums are exact up to 2**53. Other columns are ignored; an empty table gives no rows, a lone query none either.
     """
     return _search(rows, every, k, _top(k), "long", id_col, vec_col, False)
 
@@ -130,43 +145,68 @@ class KdTree:
         self.low = np.array([points[i].min(0) for i in leaves])
         self.high = np.array([points[i].max(0) for i in leaves])
 
-    def nearest(self, q: np.ndarray, leaves: int = 4):
-        """Batches of (squared projected distance reached, points): each point once all nearer boxes are open."""
+    def nearest(self, q: np.ndarray, leaves: int = 8, batch: int = 256):
+        """Batches of (squared projected distance that all other points reach, points), each point once, the nearest first.
+
+        Boxes are opened in order of their distance, ever more at a time; a point waits until all nearer boxes are open. Batches
+        grow with what came before; points at the same distance come together.
+        """
         gap = np.maximum(np.maximum(self.low - q, q - self.high), 0)
         box = (gap * gap).sum(1)
-        order = np.argsort(box, kind="stable")
+        order, at, given = np.argsort(box, kind="stable"), 0, 0
         wait_i, wait_d = np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(order), leaves):
+        while at < len(order):
             i = np.concatenate([self.leaves[k] for k in order[at : at + leaves]])
-            d = ((self.points[i] - q) ** 2).sum(1)
-            wait_i, wait_d = np.append(wait_i, i), np.append(wait_d, d)
-            reach = box[order[at + leaves]] if at + leaves < len(order) else np.inf
-            now = wait_d <= reach
-            yield reach, wait_i[now]
-            wait_i, wait_d = wait_i[~now], wait_d[~now]
+            d = self.points[i] - q
+            wait_i, wait_d = np.append(wait_i, i), np.append(wait_d, (d * d).sum(1))
+            at, leaves = at + leaves, 2 * leaves
+            reach = box[order[at]] if at < len(order) else np.inf
+            now = wait_d < reach
+            i, d, wait_i, wait_d = wait_i[now], wait_d[now], wait_i[~now], wait_d[~now]
+            by = np.argsort(d, kind="stable")
+            i, d, lo = i[by], d[by], 0
+            while lo < len(i):
+                hi = int(np.searchsorted(d, d[min(lo + max(batch, given // 4), len(i)) - 1], "right"))
+                given += hi - lo
+                yield (d[hi] if hi < len(i) else reach), i[lo:hi]
+                lo = hi
+
+
+def nearest_by_cosine(tree: KdTree, raw: np.ndarray, norm: np.ndarray, ids: np.ndarray, own: int, full: np.ndarray, low: np.ndarray, k: int, m: int, sure: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ids, cosines) of the k best found for one query, and how many vectors were verified."""
+    best_s, best_i, seen = np.zeros(0), np.zeros(0, np.int64), 0
+    size = np.sqrt((full * full).sum())
+    for reach, batch in tree.nearest(low):
+        batch = batch[ids[batch] != own]
+        seen += len(batch)
+        s = (raw[batch] * full).sum(1) / (norm[batch] * size)  # not @: equal vectors get equal cosines wherever they lie
+        if len(best_s) == k:
+            batch, s = batch[s >= best_s[-1]], s[s >= best_s[-1]]
+        best_s, best_i = np.append(best_s, s), np.append(best_i, ids[batch])
+        top = np.lexsort((best_i, -best_s))[:k]
+        best_s, best_i = best_s[top], best_i[top]
+        if len(best_s) == k and chi_square(reach / max(2 - 2 * best_s[-1], 1e-12), m) >= sure:
+            break
+    return best_i, best_s, seen
+
+
+def projected(x: np.ndarray, m: int, seed: int) -> np.ndarray:
+    """x on m normal directions, by sums that are the same for a row wherever it lies."""
+    away = np.random.default_rng(seed).standard_normal((m, x.shape[1]))
+    return np.column_stack([(x * a).sum(1) for a in away])
 
 
 def _near(k: int, m: int, sure: float, seed: int):
     def go(key, rows: pa.Table, queries: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if rows.num_rows and queries.num_rows:
+            rows, queries = _one_each(rows), _one_each(queries)
             ids, asked = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
             raw, raw_q = _matrix(rows.column("vec")), _matrix(queries.column("vec"))
             norm, norm_q = (np.sqrt((z * z).sum(1)) for z in (raw, raw_q))
-            x, q = raw / norm[:, None], raw_q / norm_q[:, None]
-            away = np.random.default_rng(seed).standard_normal((x.shape[1], m))
-            tree, got = KdTree(x @ away), []
-            for i, unit, full, size, low in zip(asked.tolist(), q, raw_q, norm_q, q @ away, strict=True):
-                best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
-                for reach, batch in tree.nearest(low):
-                    batch = batch[ids[batch] != i]
-                    if len(batch):
-                        s = raw[batch] @ full / (norm[batch] * size)
-                        best_s, best_i = np.append(best_s, s), np.append(best_i, ids[batch])
-                        top = np.lexsort((best_i, -best_s))[:k]
-                        best_s, best_i = best_s[top], best_i[top]
-                    if len(best_s) == k and chi_square(reach / max(2 - 2 * best_s[-1], 1e-12), m) >= sure:
-                        break
+            tree, got = KdTree(projected(raw / norm[:, None], m, seed)), []
+            for i, full, low in zip(asked.tolist(), raw_q, projected(raw_q / norm_q[:, None], m, seed), strict=True):
+                best_i, best_s, _ = nearest_by_cosine(tree, raw, norm, ids, i, full, low, k, m, sure)
                 got.append((np.full(len(best_i), i), best_i, best_s))
             out = [np.concatenate(z) for z in zip(*got, strict=True)]
         return pa.table([pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(out[2].astype(np.float64))], names=["query_id", "vec_id", "score"])
@@ -174,16 +214,16 @@ def _near(k: int, m: int, sure: float, seed: int):
     return go
 
 
-def near_neighbours(rows: DataFrame, k: int = 5, every: int = 50, m: int = 8, sure: float = 0.9, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_neighbours(rows: DataFrame, k: int = 5, every: int = 50, m: int = 24, sure: float = 0.9, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): k near neighbours by cosine, with exact cosines of the original vectors.
 
     Unit vectors are projected on m normal directions, where squared distances are, but for the factor of the true one,
     chi-square with m degrees of freedom. Each block indexes its projected vectors by a kd-tree and verifies them by growing
-    projected distance until a vector nearer than the k-th found would, with probability `sure`, have come already. m is even.
+    projected distance until a vector as near as the k-th found would, with probability `sure`, have come already. m is even.
 
-    Queries, null handling and ids as in exact_top_k; zero vectors take no part either.
+    Queries, null handling and ids as in exact_top_k; zero vectors take no part either. Equal vectors have equal scores.
     """
-    return _search(rows, every, k, _near(k, m, sure, seed), "double", id_col, vec_col, True)
+    return _search(rows, every, k, _near(k, m, sure, seed), "double", id_col, vec_col, True, NEAR_BLOCK)
 
 
 def op4_exact_top_k(spark, sf_dir):
