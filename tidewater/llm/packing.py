@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -21,6 +20,7 @@ from tidewater.llm.store import cut
 
 OPEN, LEAST_CUT, MERGED = 32, 4, 64
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+NAMES = [x.split()[0] for x in PIECE.split(", ")]
 HELD = 4_000
 LONG = 1 << 20
 
@@ -70,7 +70,7 @@ class Packer:
         self.out += [(*p[:4], self.next_id, *p[4:]) for p in pieces]
         self.next_id += 1
 
-    def add(self, doc: int, ids: np.ndarray, start: int = 0, total: int | None = None) -> None:
+    def add(self, doc: int | None, ids: np.ndarray, start: int = 0, total: int | None = None) -> None:
         total = len(ids) if total is None else total
         while len(ids) >= self.size:
             self.emit([self.piece(doc, start, ids[: self.size], total, 0)])
@@ -119,16 +119,16 @@ def _pack(path: str, size: int, opened: int, least_cut: int, last_id: int):
     return go
 
 
-def _merge(size: int, least_cut: int):
-    def go(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf.itertuples(index=False), key=lambda r: (-r.length, r.doc_id, r.start))
-        p = Packer(size, 1, 1, -1 - (int(key[0]) << 32 | 0x7FFFFFFF))
-        for r in rows:
-            p.add(r.doc_id, np.frombuffer(r.ids, "<u4"), r.start, r.doc_tokens)
+def _merge(size: int):
+    def go(key: tuple, left: pa.Table) -> pa.Table:
+        rows = list(zip(*(left.column(x).to_pylist() for x in ("doc_id", "start", "length", "doc_tokens", "ids")), strict=True))
+        rows.sort(key=lambda r: (-r[2], r[0] is None, r[0] or 0, r[1]))
+        p = Packer(size, 1, 1, -1 - (key[0].as_py() << 32 | 0x7FFFFFFF))
+        for doc, start, _, total, ids in rows:
+            p.add(doc, np.frombuffer(ids, "<u4"), start, total)
         for w in p.open:
             p.emit(w[1])
-        out = pd.DataFrame([(*x[:6], x[6].tobytes()) for x in p.out], columns=[x.split()[0] for x in PIECE.split(", ")])
-        return out.astype({x: "int64" for x in out.columns if x != "ids"})
+        return pa.Table.from_batches([_table(p.out, [])]).select(NAMES)
 
     return go
 
@@ -145,10 +145,9 @@ def pack(docs: DataFrame, path: str, size: int = 1024, opened: int = OPEN, least
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     done = cut(docs.mapInArrow(_pack(path, size, opened, least_cut, last_id), f"{PIECE}, group long"), "packed")
-    names = [x.split()[0] for x in PIECE.split(", ")]
-    merged = done.where("group is not null").groupBy("group").applyInPandas(_merge(size, least_cut), PIECE)
-    whole = done.where("group is null").select(*names).unionByName(merged)
-    return whole.select(*names[:3], F.crc32("ids").alias("ids_crc32"), *names[3:])
+    merged = done.where("group is not null").groupBy("group").applyInArrow(_merge(size), PIECE)
+    whole = done.where("group is null").select(*NAMES).unionByName(merged)
+    return whole.select(*NAMES[:3], F.crc32("ids").alias("ids_crc32"), *NAMES[3:])
 
 
 def op9_packing(spark, sf_dir):
