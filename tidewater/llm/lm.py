@@ -1,9 +1,11 @@
 """Stupid-backoff scores of documents under n-gram counts of the whole corpus.
 
-Documents are dealt into blocks. Each block sends its different n-grams, as 64-bit hashes with their counts, to the
-partitions of the count tables, which are ranges of hashes; each partition adds up the blocks' counts and answers every
-block with the totals of the n-grams it asked for; a block then scores its documents. An n-gram is thus shuffled once for
-each block that has it, not once for each occurrence, and no partition depends on how frequent one n-gram is.
+Documents are dealt into blocks. Each block's texts are exploded into n-grams, known by 64-bit hashes, and equal ones of a
+block counted; a row (part, block, n) holds those of one range of hashes. The count tables are the sums over all blocks,
+partitioned by the same ranges, of the n-grams seen more than once; the blocks' n-grams are joined to them partition by
+partition, and a block sums the terms of each of its documents. An n-gram is thus shuffled once for each block that has it,
+not once for each occurrence, and no partition depends on how frequent one n-gram is. Different n-grams whose hashes are
+equal in the 48 low bits and the partition's bits count as one.
 """
 
 from __future__ import annotations
@@ -61,17 +63,37 @@ def _ask(order: int, bits: int):
     return go
 
 
-def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    grams = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 6) for x in table.column("grams")]
-    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")])
-    h = np.zeros((len(counts), 8), np.uint8)
-    h[:, :6] = np.concatenate(grams)
-    first, place = distinct(h.view(np.uint64).reshape(-1))
-    total = np.bincount(place, weights=counts, minlength=len(first)).astype(np.uint64)[place]
-    at = np.cumsum([0, *map(len, grams)])
-    answers = [total[i:j].astype(np.uint32 if total.max() < 1 << 32 else np.uint64).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
-    wide = bool(total.max() >= 1 << 32)
-    return pa.table([table.column("part"), table.column("block"), table.column("n"), pa.array(answers, pa.binary()), pa.array([wide] * len(answers))], names=["part", "block", "n", "totals", "wide"])
+def _unpack(grams: pa.ChunkedArray) -> np.ndarray:
+    h = np.frombuffer(b"".join(x.as_buffer() for x in grams), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(h), 8), np.uint8)
+    out[:, :6] = h
+    return out.view(np.uint64).reshape(-1)
+
+
+def _count(key: tuple, asked: pa.Table) -> pa.Table:
+    """A partition of a count table: the n-grams that the corpus has more than once."""
+    counts = np.frombuffer(b"".join(x.as_buffer() for x in asked.column("counts")), np.uint32)
+    h = _unpack(asked.column("grams"))
+    first, place = distinct(h)
+    total = np.bincount(place, weights=counts, minlength=len(first)).astype(np.int64)
+    often = total > 1
+    n = int(often.sum())
+    return pa.table([pa.array(np.full(n, key[0].as_py())), pa.array(np.full(n, key[1].as_py()), pa.int32()), pa.array(h[first][often].astype(np.int64)), pa.array(total[often])], names=["part", "n", "gram", "count"])
+
+
+def _answer(key: tuple, asked: pa.Table, counts: pa.Table) -> pa.Table:
+    """The join of a block's n-grams with the count table; one that the table lacks has been seen once."""
+    gram, count = counts.column("gram").to_numpy(), counts.column("count").to_numpy()
+    by = np.argsort(gram)
+    gram, count = np.append(gram[by], np.iinfo(np.int64).max), np.append(count[by], 1)
+    wide = bool(count.max() >= 1 << 32)
+    answers = []
+    for x in asked.column("grams").chunks:
+        for g in x:
+            h = _unpack([g]).astype(np.int64)
+            at = np.searchsorted(gram, h)
+            answers.append(np.where(gram[at] == h, count[at], 1).astype(np.uint64 if wide else np.uint32).tobytes())
+    return pa.table([asked.column("part"), asked.column("block"), asked.column("n"), pa.array(answers, pa.binary()), pa.array([wide] * len(answers), pa.bool_())], names=["part", "block", "n", "totals", "wide"])
 
 
 def _score(order: int, backoff: float, least: int):
@@ -117,8 +139,9 @@ def stupid_backoff(docs: DataFrame, order: int = 2, backoff: float = 0.4, least:
     blocks = 1 + size // BLOCK
     bits = max(0, (blocks - 1).bit_length())
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "doc_id", "text").groupBy("block")
-    asked = dealt.applyInArrow(_ask(order, bits), REQUEST)
-    told = asked.groupBy("part", "n").applyInArrow(_answer, "part long, block long, n int, totals binary, wide boolean")
+    asked = dealt.applyInArrow(_ask(order, bits), REQUEST).groupBy("part", "n")
+    counts = asked.applyInArrow(_count, "part long, n int, gram long, count long")  # hash-partitioned as the n-grams are: the join shuffles nothing more
+    told = asked.cogroup(counts.groupBy("part", "n")).applyInArrow(_answer, "part long, block long, n int, totals binary, wide boolean")
     out = cut(dealt.cogroup(told.groupBy("block")).applyInArrow(_score(order, backoff, least), "doc_id long, n_words long, micro long, n_unigram long"), "scores")
     total = out.agg(F.sum("n_words")).first()[0] or 1
     return out.select("doc_id", "n_words", "n_unigram", F.round(F.col("micro") / F.lit(1e6) - F.col("n_unigram") * F.log(F.lit(float(total))), 4).alias("score"))
