@@ -4,28 +4,34 @@ For each prefix of a word there is exactly one token that its encoding ends with
 suffixes of the prefix (an automaton over the vocabulary gives the longest, links from each token to its longest suffix token
 give the rest): the one before which the stored last token of the shorter prefix may stand, tested on the two tokens
 alone by undoing their merges from the newest. The encoding is read off backwards. Different words of a slice of
-documents are walked side by side, one symbol a step; each different word is encoded once.
+documents are walked side by side, one symbol a step, long ones each on its own; each different word is encoded once.
+Which characters are letters or numbers, and their normal and lower-case forms, are asked of the library that gives the
+ids to match, as Python's tables are of another version of Unicode.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
-import unicodedata
+import re
 from collections import deque
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex
+from tokenizers.normalizers import NFC, Lowercase, Sequence
+from tokenizers.pre_tokenizers import Split
 
 from tidewater.llm.textkit import U, distinct, hash_spans, mix, slices, text_bytes, words
 
 END = "</w>"
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CACHE = 200_000
+LONG_WORD = 256  # characters beyond which a word is walked on its own
 
 
 def byte_symbols() -> dict[str, int]:
@@ -35,6 +41,22 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.cache
+def classes(kind: str) -> str:
+    r"""The code points of a class such as \p{L}, as the library knows them: ranges for a regular expression."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    others = Split(Regex(kind + "+"), "removed").pre_tokenize_str(every)
+    bounds = [-1, *(ord(c) for x, _ in others for c in (x[0], x[-1])), 0x110000]
+    between = [(a + 1, b - 1) for a, b in zip(bounds[::2], bounds[1::2], strict=True) if a + 1 < b and a != 0xD7FF]
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in between)
+
+
+@functools.lru_cache(maxsize=2)
+def word_bpe(path: str) -> WordBPE:
+    """The encoder, made once in a worker."""
+    return WordBPE(path)
+
+
 class Hashed:
     """64-bit keys to numbers by open addressing; unknown keys give -1."""
 
@@ -71,8 +93,10 @@ class WordBPE:
         self.names = {i: t for t, i in vocab.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.special.items()}
-        self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
+        self.split_special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
+        letter, digit = classes(r"\p{L}"), classes(r"\p{N}")
+        self.pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{SPACES}{letter}{digit}]+")
+        self.normal = Sequence([NFC(), Lowercase()])
 
         def symbols(t: str) -> tuple[int, ...]:  # of the word's last byte: 256 more
             end = t.endswith(END) and t != END
@@ -117,6 +141,7 @@ class WordBPE:
                 if b in token_at:
                     self.next_shorter[token_at[b]] = shorter
                 queue.append(b)
+        self.edges = go
         self.go = Hashed(np.array([a << 10 | s for a, s in go], np.uint64), np.array(list(go.values())))
         self.cache: dict[str, tuple[str, str, int]] = {}
 
@@ -136,6 +161,54 @@ class WordBPE:
             a, b, at = np.where(undo_a, r, a)[~ended], np.where(undo_a, b, l)[~ended], at[~ended]
         return out
 
+    @functools.cached_property
+    def _scalar(self) -> tuple:
+        """The tables as plain lists and dictionaries, for one word at a time."""
+        go = {a << 10 | s: b for (a, s), b in self.edges.items()}
+        merged = {int(k): int(v) for k, v in zip(self.merged.keys, self.merged.values, strict=True) if v >= 0}
+        return go, merged, *(x.tolist() for x in (self.fail, self.out, self.next_shorter, self.size, self.left, self.right))
+
+    def encode_long(self, word: bytes) -> np.ndarray:
+        """Token numbers of one long word."""
+        go, merged, fail, out, shorter, size, left, right = self._scalar
+        follows: dict[int, bool] = {}
+
+        def may_follow(a: int, b: int) -> bool:
+            limit = 1 << 40
+            while True:
+                if merged.get(a << 32 | b, limit) < limit:
+                    return False
+                r, l = right[a], left[b]
+                if r == a and l == b:
+                    return True
+                if (a > b and r != a) or (a <= b and l == b):
+                    limit, a = a, r
+                else:
+                    limit, b = b + 1, l
+
+        last, node = [0] * len(word), 0
+        for t, s in enumerate(word):
+            s += 256 * (t == len(word) - 1)
+            while (to := go.get(node << 10 | s)) is None and node:
+                node = fail[node]
+            node = to or 0
+            c = out[node]
+            while (before := t + 1 - size[c]) > 0:
+                pair = last[before - 1] << 32 | c
+                if (ok := follows.get(pair)) is None:
+                    if len(follows) > CACHE:
+                        follows.clear()
+                    ok = follows[pair] = may_follow(last[before - 1], c)
+                if ok:
+                    break
+                c = shorter[c]
+            last[t] = c
+        tokens, at = [], len(word) - 1
+        while at >= 0:
+            tokens.append(last[at])
+            at -= size[last[at]]
+        return np.array(tokens[::-1], np.int64)
+
     def encode_words(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token numbers of the words, flat, and each word's bounds. Words are not empty."""
         size = np.array([len(x) for x in raw], np.int64)
@@ -187,8 +260,10 @@ class WordBPE:
         return self._pieces_plain(chunk)
 
     def _pieces_plain(self, chunk: str) -> list[str]:
-        low = chunk.lower() if chunk.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
-        return [low] if low.isalpha() else self.pieces.findall(low)
+        if chunk.isascii():
+            low = chunk.lower()
+            return [low] if low.isalpha() else self.pieces.findall(low)
+        return self.pieces.findall(self.normal.normalize_str(chunk))
 
     def render(self, chunks: list[str]) -> tuple[list[str], list[str], np.ndarray]:
         """Of each chunk: ids joined by spaces, tokens joined by spaces, and how many."""
@@ -197,6 +272,12 @@ class WordBPE:
             self.cache.clear()
         cache = self.cache
         new = list({w for x in split for w in x if isinstance(w, str) and w not in cache})
+        long = [w for w in new if len(w) > LONG_WORD]
+        for w in long:
+            x = self.ids[self.encode_long(w.encode())].tolist()
+            cache[w] = (" ".join(map(str, x)), " ".join([self.names[k] for k in x]), len(x))
+        if long:
+            new = [w for w in new if len(w) <= LONG_WORD]
         if new:
             tokens, at = self.encode_words([w.encode() for w in new])
             ids = self.ids[tokens].tolist()
@@ -216,12 +297,14 @@ class WordBPE:
             a.append(p)
             b.append(q)
             n.append(k)
+        for w in long:
+            del cache[w]
         return a, b, np.array(n, np.int64)
 
 
 def _encode(path: str):
     def go(batches):
-        bpe = WordBPE(path)
+        bpe = word_bpe(path)
         for rows in slices(batches, size=6 << 20):
             data, offs = text_bytes(rows.column(1))
             buf, s, e, w = words(data, offs)
@@ -289,7 +372,7 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 def encode(bpe: WordBPE, text: str) -> list[int]:
     """A text's ids."""
-    ids, _, _ = bpe.render([c for c in regex.split(r"[\t-\r ]+", text) if c])
+    ids, _, _ = bpe.render([c for c in re.split(r"[\t-\r ]+", text) if c])
     return [int(i) for x in ids for i in x.split()]
 
 
