@@ -62,6 +62,44 @@ def test_bpe_encodes_and_decodes(spark):
     assert [r.text for r in bpe_decode(made.coalesce(1), path).collect()] == [got[4][1], "", ""]
 
 
+def test_bpe_over_the_whole_table(spark):
+    sf, lib = "/root/testdata/sf0.001", Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    got = {r.doc_id: tuple(r)[1:] for r in Q.queries()["op2_bpe"](spark, sf).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    ids = [e.ids for e in lib.encode_batch([r.text or "" for r in rows], add_special_tokens=False)]
+    assert got == {r.doc_id: (len(x), sha(" ".join(map(str, x))), sha(lib.decode(x, skip_special_tokens=False))) for r, x in zip(rows, ids, strict=True)}
+
+
+def test_bpe_characters_and_long_words():
+    lib, own = Tokenizer.from_file(P.path("word_bpe_49k.json")), WordBPE(P.path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    points = [0x107BB, 0x10940, 0x1C89, 0x10D50, 0x2EBF0, 0x1E4D0, *(c for c in rng.sample(range(0x110000), 20_000) if not 0xD800 <= c < 0xE000)]
+    chunks = [f"a{chr(c)}B" for c in points if c not in (9, 10, 11, 12, 13, 32)]
+    ids, _, _ = own.render(chunks)
+    assert ids == [" ".join(map(str, e.ids)) for e in lib.encode_batch(chunks, add_special_tokens=False)]
+    for n in (255, 256, 257, 3000):
+        for _ in range(5):
+            w = "".join(rng.choice(["ab", "é", "the", "ing", "日"]) for _ in range(n))
+            assert encode(own, w) == lib.encode(w, add_special_tokens=False).ids
+
+
+def test_empty_and_null_tables(spark):
+    empty, nulls = odd(spark).limit(0), spark.createDataFrame([(None, None), (None, "a b"), (1, None)], "doc_id long, text string")
+    assert bpe_digests(empty, P.path("word_bpe_49k.json")).collect() == []
+    assert len(bpe_digests(nulls, P.path("word_bpe_49k.json")).collect()) == 3
+    labels = spark.createDataFrame([(1, 1), (None, 0), (1, None)], "doc_id long, quality int")
+    ranker = train(nulls, labels)
+    assert score_quality(empty, ranker).collect() == [] and [r.held_out for r in score_quality(nulls, ranker).collect()].count(None) == 2
+    assert keep_good(empty, labels).collect() == []
+    v, _ = vectors(spark)
+    assert near_neighbours(v.limit(0)).collect() == []
+    assert [tuple(r)[:3] for r in exact_top_k(v.where("vec_id in (100, 1)")).collect()] == [(100, 1, 1)]
+    assert len(stupid_backoff(nulls).collect()) == 1
+    got = pack(nulls.coalesce(1), P.path("byte_bpe_50k.json")).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in got) == [(0, 1), (0, 3), (1, 1)] and len({r.sequence_id for r in got}) == 1
+
+
 def check_packed(rows, texts):
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     ids = {k: np.array([*e.ids, 0], "<u4") for k, e in zip(texts, lib.encode_batch([t or "" for t in texts.values()], add_special_tokens=False), strict=True)}
@@ -222,6 +260,47 @@ def test_near(spark):
     assert hit / n >= 0.9
 
 
+def test_ties_and_repeated_rows(spark, monkeypatch):
+    import tidewater.llm.vectors as m
+
+    rng = np.random.default_rng(6)
+    some = rng.standard_normal((40, 24))
+    v = [(i, some[rng.integers(40)].tolist()) for i in range(600)]
+    v += [(50, v[50][1]), (None, v[1][1]), (7, v[7][1])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    x = dict((i, np.array(a)) for i, a in v if i is not None)
+    for block in (100, 1000):
+        monkeypatch.setattr(m, "BLOCK", block)
+        monkeypatch.setattr(m, "NEAR_BLOCK", block)
+        for f, k, every in ((near_neighbours, 5, 50), (exact_top_k, 10, 100)):
+            got = {}
+            for r in f(df).orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+            assert sorted(got) == list(range(0, 600, every))
+            for q, found in got.items():
+                twins = sorted(i for i in x if i != q and np.array_equal(x[i], x[q]))
+                assert [i for i, _ in found][: len(twins)] == twins[:k] and len(found) == k
+                assert found == sorted(found, key=lambda t: (-t[1], t[0]))
+
+
+def test_near_stops(spark):
+    """The stopping test holds before all vectors are verified, and loses little."""
+    from tidewater.llm.vectors import KdTree, nearest_by_cosine, projected
+
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((20_000, 64))
+    norm, ids = np.sqrt((x * x).sum(1)), np.arange(len(x))
+    low = projected(x / norm[:, None], 24, 7)
+    tree, hit, seen = KdTree(low), 0, 0
+    for q in range(0, len(x), 500):
+        found, _, n = nearest_by_cosine(tree, x, norm, ids, q, x[q], low[q], 5, 24, 0.9)
+        best = np.argsort(-(x @ x[q]) / norm)
+        hit, seen = hit + len(set(found) & set(best[best != q][:5].tolist())), seen + n
+    assert hit / 200 >= 0.9 and seen / 40 / len(x) < 0.5
+    order = [d for batch in ([((low[i] - low[0]) ** 2).sum(-1), reach] for reach, i in tree.nearest(low[0])) for d in [batch]]
+    assert all(a[0].max() <= a[1] + 1e-9 for a in order) and sum(len(a[0]) for a in order) == len(x)
+
+
 def test_near_recall(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
     x = np.array([r.embedding for r in rows], float)
@@ -251,6 +330,31 @@ def test_quality(spark):
     assert train(d, labels.limit(0)).score(np.zeros((1, 44)))[0] >= 0
 
 
+def test_ranker_against_a_plain_one():
+    """The same loss, pairs and threshold, written out."""
+    from tidewater.llm.quality import Ranker
+
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 300)
+    x = rng.standard_normal((300, 3)) + y[:, None] * [1.0, -0.5, 0.0]
+    r = Ranker.learn(x, y, pairs=400, rounds=1500)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    pick = np.random.default_rng(11)
+    good, bad = pick.choice(np.flatnonzero(y == 1), 400), pick.choice(np.flatnonzero(y == 0), 400)
+
+    def loss(w):
+        return sum(math.log1p(math.exp(-sum(w[j] * (z[a][j] - z[b][j]) for j in range(3)))) for a, b in zip(good, bad, strict=True)) / 400 + 0.5e-4 * sum(v * v for v in w)
+
+    w = np.zeros(3)
+    for _ in range(3000):
+        d = z[good] - z[bad]
+        w -= 0.5 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(0) + 1e-4 * w)
+    assert abs(loss(r.weights) - loss(w)) < 1e-4 and np.abs(r.weights - w).max() < 0.05
+    s = sorted(float(sum(r.weights[j] * z[i][j] for j in range(3))) for i in range(300))
+    assert abs(r.threshold - s[math.floor((1 - y.mean()) * 299)]) < 1e-9
+    assert abs((r.score(x) >= 0.5).sum() - y.sum()) <= 1
+
+
 def test_quality_sample(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     fits = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
@@ -302,6 +406,25 @@ def test_preferences(spark):
     assert format_preferences(df.limit(0), pairs).collect() == []
 
 
+def test_pipeline_repeated_rows_and_empty(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet", "tempor", "magna"]) + str(rng.randrange(99)) for _ in range(n))
+    x, y = text(90), text(80)
+    rows = [(5, x), (5, x), (5, y), (3, x + " more"), (7, y), (9, text(60)), (None, x), (8, None), (8, None)]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t or ""), 1, True) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row int, stays boolean")
+    left = p.near_dedup(spark, df, "")
+    assert left.columns == df.columns
+    kept = sorted((r.doc_id, r.text) for r in left.where("doc_id is not null").collect())
+    assert kept == sorted([(3, x + " more"), (5, y), (8, None), (9, rows[5][1])], key=lambda r: r[0]) and left.where("doc_id is null").count() == 1
+    same = p.near_dedup(spark, df.where("doc_id = 5 and text like '%{}'".format(x[-20:])), "")
+    assert [r.text for r in p.passages(spark, same, "").collect()] == [x]
+    for stage in (p.near_dedup, p.passages, p.packing):
+        assert stage(spark, df.limit(0), "").collect() == []
+    assert p.quality(spark, df.limit(0), "/root/testdata/sf0.001").collect() == []
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
     from tests.llm.test_duplicates import brute_classes, brute_removed

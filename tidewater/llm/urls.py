@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.components import components
-from tidewater.llm.store import cut, table
+from tidewater.llm.store import cut, table, tidy
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -57,6 +57,7 @@ def fitting(host: Column, path: Column, rules: list[tuple[str, str, str]], what:
     return out
 
 
+@tidy
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, links: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page.
 
