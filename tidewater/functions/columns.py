@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Patterns that names in metrics are recognised by.
 UUID = r"-?[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"
-STREAM_THREAD = r"^(.*)-StreamThread-(\d+)-?(.*)$"
+STREAM_THREAD = r"^(?:(.+?)-)??StreamThread-(\d+)(?:-(.+))??$"
 AVRO_MAGIC = "00"
 
 
@@ -59,8 +59,15 @@ def sanitize_client_id(c: Column) -> Column:
 
 
 def stream_thread(c: Column) -> list[Column]:
-    """(prefix, thread number, client type) of a stream thread's client id; empty where it is none."""
-    return [F.regexp_extract(c, STREAM_THREAD, i) for i in (1, 2, 3)]
+    """(prefix, thread number, client type) of a stream thread's client id, each null where it is missing or the id is of another kind."""
+    return [F.when(c.rlike(STREAM_THREAD), F.nullif(F.regexp_extract(c, STREAM_THREAD, i), F.lit(""))) for i in (1, 2, 3)]
+
+
+def client_tags(c: Column) -> Column:
+    """The tags of a client id: without UUIDs, of a stream thread its prefix (the whole id if it has none), number and client type."""
+    prefix, thread, kind = stream_thread(c)
+    tags = {"client-id": strip_uuid(F.coalesce(prefix, c)), "stream-thread": thread, "client-type": kind}
+    return F.map_filter(F.create_map(*(x for k, v in tags.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
 
 
 def tagged_name(name: Column, tags: Column) -> Column:
@@ -85,10 +92,19 @@ def is_prime(n: Column) -> Column:
     return (n >= 2) & ((n < 4) | ~F.exists(F.sequence(F.lit(2).cast("bigint"), F.greatest(limit, F.lit(2))), lambda i: n % i == 0))
 
 
+def always(value: bool = True) -> Column:
+    return F.lit(value)
+
+
 def since_inception(now_ms: Column, inception_ms: Column) -> Column:
     return now_ms - inception_ms
 
 
+def incepted_after(a_ms: Column, b_ms: Column) -> Column:
+    """Strictly: of two works incepted at the same time neither is after the other."""
+    return a_ms > b_ms
+
+
 # codecs
 def avro_frame(payload: Column, schema_id: Column) -> Column:
     """The wire frame: a zero byte, the schema's number in four bytes, the payload."""

@@ -33,15 +33,18 @@ def instantiate(path: str) -> Any:
 def create(config: Mapping[str, Any], required: tuple[str, ...] = (), environment: Mapping[str, Any] | None = None) -> dict[str, Any]:
     """The configuration that results from all layers.
 
-    Providers (callables from the specifier to a mapping) come first and give way to what is there; then every required key must be
-    set; a generic override (`config.override.<key>`) replaces a key only if it is present; a specific one
+    Providers come first: callables from the specifier to a mapping, or dotted paths of classes whose instances are such and may have
+    `configure(config)`. What a provider gives replaces what is there, a later one's what an earlier one gave, and `providers`
+    stays. Then every required key must be set; a generic override (`config.override.<key>`) replaces a key only if it is present; a specific one
     (`config.override.<specifier>.<key>`) always applies; last, `<key>.randomize` = true appends a random suffix.
     """
     env, out = dict(environment or {}), dict(config)
     specifier = str(out.get(SPECIFIER, ""))
-    for p in to_collection(out.pop(PROVIDERS, None)):
+    for p in to_collection(out.get(PROVIDERS)):
         p = p if isinstance(p, Callable) and not isinstance(p, type) else instantiate(p)
-        out = dict(p(specifier)) | out
+        if hasattr(p, "configure"):
+            p.configure(dict(config))
+        out |= p(specifier)
     if missing := [k for k in required if out.get(k) is None]:
         raise ValueError(f"missing configuration: {', '.join(missing)}")
     general = load_prefixed(env, OVERRIDE)
