@@ -28,6 +28,19 @@ def uuid_group(c: Column, n: int) -> Column:
 SINGLETON = "SINGLETON"
 
 
+def uuid_hash_code(c: Column) -> Column:
+    """The 32 bits, signed, that its four words give by exclusive or."""
+    h = F.regexp_replace(c, "-", "")
+    words = [F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(4)]
+    x = words[0].bitwiseXOR(words[1]).bitwiseXOR(words[2]).bitwiseXOR(words[3])
+    return F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x)
+
+
+def arbitrary_group(c: Column, n: int = 16) -> Column:
+    """A UUID's group in [0, n): what is left of its hash code, without its sign."""
+    return F.abs(uuid_hash_code(c) % n)
+
+
 def route(group: Column, topics: dict[str, str]) -> Column:
     """The group's topic, null for a group without one."""
     return F.create_map(*[F.lit(x) for kv in topics.items() for x in kv])[group] if topics else F.lit(None).cast("string")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import timedelta
+from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,13 +54,16 @@ def rate_limit_burst(df: DataFrame, permits_per_second: float, limiter: str, us:
     return df.repartition(F.col(limiter)).sortWithinPartitions(limiter, us, tie).mapInArrow(go, schema)
 
 
-def inactivity(df: DataFrame, key: str, max_inactivity_us: int, interval_us: int, us: str = "us", tie: str = "event_id") -> DataFrame:
-    """Where a key was silent too long: after which element, until when, and the first check, every interval after it, that notices."""
+def inactivity(df: DataFrame, key: str, max_inactivity_us: int, interval_us: int, us: str = "us", tie: str = "event_id", until_us: int | None = None) -> DataFrame:
+    """Where a key was silent too long: after which element, until when, and the first check, every interval after it, that notices.
+
+    until_us: a key that is silent up to then counts too; its next_us is null.
+    """
     if max_inactivity_us <= 0:
         return df.limit(0).select(key, F.col(us).alias("last_us"), F.col(us).alias("next_us"), F.col(us).alias("noticed_us"))
     x = df.select(key, F.col(us).alias("last_us"), F.lead(us).over(Window.partitionBy(key).orderBy(us, tie)).alias("next_us"))
     x = x.withColumn("noticed_us", F.col("last_us") + (F.lit(max_inactivity_us // interval_us) + 1) * interval_us)
-    return x.where("next_us > noticed_us")
+    return x.where(F.coalesce("next_us", F.lit(until_us).cast("bigint")) > F.col("noticed_us"))
 
 
 def resubscribing(start: Callable[[], object], delay: timedelta = RESUBSCRIBE_DELAY, restarts: int | None = None, sleep=time.sleep) -> int:
@@ -78,6 +83,45 @@ def resubscribing(start: Callable[[], object], delay: timedelta = RESUBSCRIBE_DE
             n += 1
 
 
-def quality_of_service(df: DataFrame, permits_per_second: float = 0, limiter: str = "part") -> DataFrame:
-    """The parts that act on rows, in their fixed order; inactivity and restarts belong to the running query."""
-    return rate_limit(df, permits_per_second, limiter)
+@dataclass(frozen=True)
+class QosConfig:
+    """All parts are off by default."""
+
+    max_inactivity: timedelta = timedelta(0)
+    check_delay: timedelta = timedelta(minutes=1)
+    check_interval: timedelta = timedelta(minutes=1)
+    resubscribe_delay: timedelta = timedelta(seconds=-1)
+    permits_per_second: float = 0
+
+
+class Enforced:
+    """A running query that ends with TimeoutError when it has read nothing for too long; checked after a delay and then each interval."""
+
+    def __init__(self, query: Any, config: QosConfig, clock: Callable[[], float] = time.monotonic):
+        self.query, self.config, self.clock, self._seen, self._active = query, config, clock, None, clock()
+
+    def _look(self) -> None:
+        p = self.query.lastProgress
+        if p is not None and p["numInputRows"] and p["batchId"] != self._seen:
+            self._seen, self._active = p["batchId"], self.clock()
+
+    def awaitTermination(self) -> None:
+        wait = self.config.check_delay
+        while not self.query.awaitTermination(max(wait.total_seconds(), 0.001)):
+            wait = self.config.check_interval
+            self._look()
+            silent = self.clock() - self._active
+            if silent > self.config.max_inactivity.total_seconds():
+                self.query.stop()
+                raise TimeoutError(f"query read nothing for {silent:.1f} s, more than {self.config.max_inactivity}")
+
+
+def quality_of_service(df: DataFrame, config: QosConfig, limiter: str = "part") -> DataFrame:
+    """The part that acts on rows; it is the outermost: activity, then restarts, then rate."""
+    return rate_limit(df, config.permits_per_second, limiter)
+
+
+def run(start: Callable[[], Any], config: QosConfig, restarts: int | None = None, sleep=time.sleep, clock: Callable[[], float] = time.monotonic) -> int:
+    """Runs a query to its end under the parts that act on it: silence ends it, and an end by failure starts it again."""
+    watched = start if config.max_inactivity <= timedelta(0) else lambda: Enforced(start(), config, clock)
+    return resubscribing(watched, config.resubscribe_delay, restarts, sleep)

@@ -7,27 +7,36 @@ from a sort that can spill, one jump per window, and never gathered.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.model import CANCEL, COMMIT, DEDUPLICATION, WORK_BUFFER, WindowConfig, micros
 
 
+def _runs(keys: pa.Array) -> list[int]:
+    """Where runs of equal keys (null equals null) start, and the end."""
+    a, b = keys[1:], keys[:-1]
+    new = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(new) + 1).tolist(), len(keys)] if len(keys) else [0]
+
+
 def _walk(duration: int, max_size: int):
     def go(batches):
         key, start, n, w, closed = None, 0, 0, -1, True  # of the window that is open where a batch ends
         for b in batches:
             us, close = b.column("_us").to_numpy(zero_copy_only=False), b.column("_close").to_numpy(zero_copy_only=False)
-            keys = b.column("_key").to_pylist()
-            codes = np.array([0, *np.cumsum([x != y for x, y in zip(keys[1:], keys, strict=False)])]) if keys else np.zeros(0, int)
+            keys = b.column("_key")
             starts, numbers = np.empty(len(us), np.int64), np.empty(len(us), np.int64)
             closers = np.flatnonzero(close)
-            bounds = np.append(np.flatnonzero(np.append(True, codes[1:] != codes[:-1])), len(us)) if len(us) else [0]
+            bounds = _runs(keys)
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                if keys[lo] != key:
-                    key, n, w, closed = keys[lo], 0, -1, True
+                if (this := keys[lo].as_py()) != key or w < 0:
+                    key, n, w, closed = this, 0, -1, True
                 i = lo
                 while i < hi:
                     if closed or us[i] >= start + duration or n >= max_size:
@@ -53,15 +62,28 @@ def assign_windows(df: DataFrame, key: str, us: str, tie: str, config: WindowCon
     return x.mapInArrow(_walk(micros(config.duration), config.max_size or 1 << 62), schema)
 
 
-def deduplicate(df: DataFrame, key: str, us: str, tie: str, config: WindowConfig = DEDUPLICATION, keep: str = "first") -> DataFrame:
-    """One row per window: its first (or last) element's columns, `window`, `n` and `emit_us`; df itself when disabled.
+Fold = Callable[[Column, Column], Column]
+
+
+def fold_window(reduce: Fold, columns: list[str], us: str, tie: str, where: Column | None = None) -> Column:
+    """An aggregate: the elements, as structs of the columns, folded from the left in order of arrival; null where there are none.
+    A window's elements are held in one row."""
+    element = F.struct(us, tie, F.struct(*columns).alias("row"))
+    rows = F.transform(F.array_sort(F.collect_list(element if where is None else F.when(where, element))), lambda x: x["row"])
+    return F.when(F.size(rows) > 0, F.aggregate(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), F.get(rows, F.lit(0)), reduce))
+
 
-    A full window is emitted with its last element, another when its time is up.
+def deduplicate(df: DataFrame, key: str, us: str, tie: str, config: WindowConfig = DEDUPLICATION, keep: str = "first", reduce: Fold | None = None) -> DataFrame:
+    """One row per window: its first (or last) element's columns, or what `reduce` makes of all, `window`, `n` and `emit_us`; df
+    itself when disabled.
+
+    A full window is emitted with its last element, another when its time is up. `reduce` takes two structs of df's columns and
+    gives one.
     """
     if not config.enabled:
         return df
     x = assign_windows(df, key, us, tie, config)
-    pick = (F.min_by if keep == "first" else F.max_by)(F.struct(*df.columns), F.struct(us, tie)).alias("row")
+    pick = fold_window(reduce, df.columns, us, tie).alias("row") if reduce else (F.min_by if keep == "first" else F.max_by)(F.struct(*df.columns), F.struct(us, tie)).alias("row")
     full = F.lit(False) if config.max_size is None else F.count("*") >= config.max_size
     out = x.groupBy(key, "window").agg(pick, F.count("*").alias("n"), F.when(full, F.max(us)).otherwise(F.min("window_start") + micros(config.duration)).alias("emit_us"))
     return out.select("row.*", "window", "n", "emit_us")
@@ -85,6 +107,18 @@ def reduce_buffers(buffers: DataFrame, prioritized: bool = True) -> DataFrame:
     return x.agg(F.max_by(F.when(F.col("kept"), F.col("event_id")), F.when(F.col("kept"), by)).alias("winner"), F.count("*").alias("n"), F.count_if("kept").alias("n_kept"))
 
 
+def fold_buffers(buffers: DataFrame, reduce: Fold) -> DataFrame:
+    """Each buffer's surviving works folded into one: (subject, window, work), null where all were cancelled."""
+    columns = [c for c in buffers.columns if c not in ("window", "window_start")]
+    x = with_relevance(buffers).groupBy("subject", "window")
+    return x.agg(fold_window(reduce, columns, "us", "event_id", F.col("kept")).alias("work"))
+
+
+def later_work(a: Column, b: Column) -> Column:
+    """The first if it was incepted after the second, else the second."""
+    return F.when(a["inception_ms"] > b["inception_ms"], a).otherwise(b)
+
+
 def translate_buffers(buffers: DataFrame) -> DataFrame:
     """Each buffer's outcome: TRANSLATED with its prepared winner, FAILED if preparing a work fails, or EMPTY; and what becomes of members.
 

@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import itertools
+import time
+from collections import defaultdict
+from collections.abc import Mapping
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Settings of senders and receivers, each with its older name first.
+SENDER_IN_FLIGHT = ("max.in.flight", "sender.max.in.flight.per.send")
+RECEIVER_IN_FLIGHT = ("max.in.flight.per.topic.partition", "receiver.max.in.flight.per.subscription")
+HEADERS_ENABLED, STOP_ON_ERROR, RESUBSCRIBE_ON_ERROR = "headers.enabled", "stop.on.error", "resubscribe.on.error"
+_clients: dict[str, Any] = defaultdict(lambda: itertools.count(1))
 
 REQUIRED = ("kafka.bootstrap.servers",)
 
@@ -12,6 +25,51 @@ def check(options: dict[str, str]) -> None:
         raise ValueError(f"missing options: {', '.join(missing)}")
 
 
+def unique_client_id(client_id: str) -> str:
+    """The id with a number that no earlier client of that id has."""
+    return f"{client_id}-{next(_clients[client_id])}"
+
+
+def in_flight(config: Mapping[str, Any], names: tuple[str, str]) -> int | None:
+    """The bound on records in flight, None without; the older name wins."""
+    found = [int(config[n]) for n in names if config.get(n) is not None]
+    return found[0] if found else None
+
+
+def sender_settings(config: Mapping[str, Any]) -> dict[str, Any]:
+    """How a sender behaves: headers are stripped, errors do not stop it and it starts again, unless configured otherwise."""
+    flag = lambda name, default: str(config.get(name, default)).lower() == "true"
+    return {"max_in_flight": in_flight(config, SENDER_IN_FLIGHT), "headers": flag(HEADERS_ENABLED, False), "stop_on_error": flag(STOP_ON_ERROR, False), "resubscribe": flag(RESUBSCRIBE_ON_ERROR, True)}
+
+
+def outbound(df: DataFrame, topic: Column | str, key: Column, value: Column, headers: Column | None = None, keep_headers: bool = False) -> DataFrame:
+    """(topic, key, value, headers) and the columns of df that have other names; headers are empty unless kept."""
+    none = F.create_map().cast("map<string,string>")
+    out = {"topic": F.lit(topic) if isinstance(topic, str) else topic, "key": key.cast("string"), "value": value, "headers": headers if keep_headers and headers is not None else none}
+    return df.select(*(c.alias(n) for n, c in out.items()), *(c for c in df.columns if c not in out))
+
+
+def sent(records: DataFrame, failed: Column, group: str, pos: str, stop_on_error: bool = False) -> DataFrame:
+    """`result` of each record: SENT or FAILED; if an error stops the sender, what comes after a group's first is UNSENT. That is a
+    minimum a group, combined before it is shuffled."""
+    x = records.withColumn("_failed", F.coalesce(failed, F.lit(False)))
+    done = F.when(F.col("_failed"), "FAILED").otherwise("SENT")
+    if not stop_on_error:
+        return x.withColumn("result", done).drop("_failed")
+    first = x.where("_failed").groupBy(group).agg(F.min(pos).alias("_first"))
+    return x.join(first, group, "left").withColumn("result", F.when(F.col(pos) > F.col("_first"), "UNSENT").otherwise(done)).drop("_failed", "_first")
+
+
+def await_assignment(query: Any, timeout: float = 60, sleep=time.sleep) -> bool:
+    """Waits until a started query has made its first progress, so that it has been given its partitions."""
+    end = time.monotonic() + timeout
+    while query.lastProgress is None:
+        if not query.isActive or time.monotonic() > end:
+            return False
+        sleep(0.05)
+    return True
+
+
 def receive(spark: SparkSession, topics: list[str], options: dict[str, str], max_in_flight: int | None = None) -> DataFrame:
     """Records of the topics; offsets are kept in the query's checkpoint. max_in_flight bounds a micro-batch."""
     check(options)
@@ -29,3 +87,9 @@ def send(df: DataFrame, options: dict[str, str], checkpoint: str, headers: bool
 def values(df: DataFrame) -> DataFrame:
     """Records with a value; what has none is done with."""
     return df.where("value is not null")
+
+
+def grouped(records: DataFrame, pregroup=lambda df: df, partition: str = "part", n: int | None = None) -> DataFrame:
+    """Records dealt by topic and partition after `pregroup` has seen them; so operators with a state by partition find them together."""
+    keys = [F.col("topic"), F.col(partition)]
+    return pregroup(records).repartition(*([n] if n else []), *keys)

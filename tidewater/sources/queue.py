@@ -1,11 +1,13 @@
 """Queues: a streaming source with acknowledgement, a sink, and negative-acknowledgement policies.
 
-The queue is a folder of JSON-lines files, one record a line, in a store that all executors share. A batch's offset counts records in
-order of file name; Spark's checkpoint is the acknowledgement, so what a failed batch held is delivered again.
+The queue is a folder of JSON-lines files, one record a line, in a store that all executors share; a file, once there, does not
+change, and new ones have later names. An offset is a file, a line in it, and how many records came before; a batch reads on
+from there. Spark's checkpoint is the acknowledgement, so what a failed batch held is delivered again.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import uuid
@@ -21,24 +23,32 @@ class QueueReader(SimpleDataSourceStreamReader):
     def __init__(self, path: str, most: int):
         self.path, self.most = path, most
 
-    def _rows(self):
-        for name in sorted(os.listdir(self.path)):
-            if name.endswith(".jsonl"):
-                with open(os.path.join(self.path, name), encoding="utf-8") as f:
-                    yield from map(json.loads, f)
-
     def initialOffset(self):
-        return {"n": 0}
-
-    def _slice(self, start: int, end: int):
-        return [(r.get("topic"), r.get("key"), r.get("value"), i) for i, r in enumerate(self._rows()) if start <= i < end]
+        return {"file": "", "line": 0, "n": 0}
+
+    def _from(self, at: dict):
+        """Records from an offset on, each with the offset after it; files before it are not opened."""
+        n = at["n"]
+        for name in sorted(x for x in os.listdir(self.path) if x.endswith(".jsonl") and x >= at["file"]):
+            skip = at["line"] if name == at["file"] else 0
+            with open(os.path.join(self.path, name), encoding="utf-8") as f:
+                for i, line in enumerate(f):
+                    if i >= skip:
+                        r = json.loads(line)
+                        yield (r.get("topic"), r.get("key"), r.get("value"), n), {"file": name, "line": i + 1, "n": n + 1}
+                        n += 1
 
     def read(self, start):
-        rows = self._slice(start["n"], start["n"] + self.most)
-        return iter(rows), {"n": start["n"] + len(rows)}
+        rows, end = [], start
+        for row, after in self._from(start):
+            rows.append(row)
+            end = after
+            if len(rows) >= self.most:
+                break
+        return iter(rows), end
 
     def readBetweenOffsets(self, start, end):
-        return iter(self._slice(start["n"], end["n"]))
+        return iter([row for row, after in itertools.takewhile(lambda x: x[1]["n"] <= end["n"], self._from(start))])
 
     def commit(self, end):
         tmp = os.path.join(self.path, f"_acked.{uuid.uuid4().hex}")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 import threading
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 STOPPED, STARTING, STARTED = "STOPPED", "STARTING", "STARTED"
 
@@ -64,6 +66,91 @@ class MetricRegistry:
         return self._gauges[key][1]() if key in self._gauges else default
 
 
+SUBSCRIBED, CANCELED, ERRORED, COMPLETED = "SUBSCRIBED", "CANCELED", "ERRORED", "COMPLETED"
+
+
+class Listener:
+    """Is told of a stream's states, with what is known of them, and of each batch."""
+
+    def state_changed(self, state: str, about: Any) -> None:
+        pass
+
+    def next(self, progress: Any) -> None:
+        pass
+
+
+class LoggingListener(Listener):
+    """Logs batches and errors, each at its level (None: not at all)."""
+
+    def __init__(self, logger: logging.Logger, next_level: int | None = logging.INFO, error_level: int | None = logging.ERROR):
+        self.logger, self.next_level, self.error_level = logger, next_level, error_level
+
+    def state_changed(self, state: str, about: Any) -> None:
+        if state == ERRORED and self.error_level is not None:
+            self.logger.log(self.error_level, "%s: %s", state, about)
+
+    def next(self, progress: Any) -> None:
+        if self.next_level is not None:
+            self.logger.log(self.next_level, "batch %s: %s rows", progress.batchId, progress.numInputRows)
+
+
+class MetricsListener(Listener):
+    """<name>.items and <name>.errors count what `observed` reports under the name, and failures; <name>.subscribers how many queries run."""
+
+    def __init__(self, registry: MetricRegistry, name: str, **tags: str):
+        self.name, self.counts = name, {"items": 0, "errors": 0, "subscribers": 0}
+        for n in self.counts:
+            registry.register(registry.key(f"{name}.{n}", **tags), self, lambda n=n: float(self.counts[n]))
+
+    def state_changed(self, state: str, about: Any) -> None:
+        self.counts["subscribers"] += 1 if state == SUBSCRIBED else -1
+        self.counts["errors"] += state == ERRORED
+
+    def next(self, progress: Any) -> None:
+        seen = progress.observedMetrics.get(self.name)
+        if seen is not None:
+            self.counts["items"] += seen["items"]
+            self.counts["errors"] += seen["errors"]
+
+
+class Listening(StreamingQueryListener):
+    """Tells listeners of one named query. Stopping it by `cancel` is CANCELED, its own end COMPLETED."""
+
+    def __init__(self, name: str, listeners: list[Listener]):
+        self.name, self.listeners, self._run, self._canceled = name, listeners, None, False
+
+    def attach(self, spark: SparkSession) -> Listening:
+        if self.listeners:
+            spark.streams.addListener(self)
+        return self
+
+    def cancel(self, query: Any) -> None:
+        self._canceled = True
+        query.stop()
+
+    def _tell(self, state: str, about: Any) -> None:
+        for x in self.listeners:
+            x.state_changed(state, about)
+
+    def onQueryStarted(self, event: Any) -> None:
+        if event.name == self.name:
+            self._run, self._canceled = event.runId, False
+            self._tell(SUBSCRIBED, SUBSCRIBED)
+
+    def onQueryProgress(self, event: Any) -> None:
+        if event.progress.runId == self._run:
+            for x in self.listeners:
+                x.next(event.progress)
+
+    def onQueryIdle(self, event: Any) -> None:
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:
+        if event.runId == self._run:
+            state = ERRORED if event.exception else CANCELED if self._canceled else COMPLETED
+            self._tell(state, event.exception or state)
+
+
 def observed(df: DataFrame, name: str, error: str = "error") -> DataFrame:
     """df with counts of its items and errors reported as the observation `name`."""
     bad = F.count_if(F.col(error).isNotNull()) if error in df.columns else F.count(F.lit(None))
