@@ -41,6 +41,24 @@ def test_queries_have_sql():
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"rate_limit_burst"}
 
 
+def test_rate_limit_burst_against_a_loop(spark, db):
+    """A limiter that stores up to a second's permits: an element pays for those it takes beyond the stored ones with the next's wait."""
+    want, gap = {}, 3_600_000_000
+    for part in range(10):
+        free, stored = None, 0.0
+        for event, us in db.execute(f"select event_id, epoch_us(ts) from events where user_id % 10 = {part} order by ts, event_id").fetchall():
+            free = us if free is None else free
+            if us > free:
+                stored, free = min(1 / 3600, stored + (us - free) / gap), us
+            want[event] = max(us, free)
+            used = min(1.0, stored)
+            stored, free = stored - used, free + round((1 - used) * gap)
+    assert {r.event_id: r.out_us for r in catalog.queries()["rate_limit_burst"](spark, SF).collect()} == want
+    x = spark.createDataFrame([(i, us, 0) for i, us in enumerate([0, 0, 5_000_000, 5_000_000, 5_000_000, 5_000_000])], "event_id long, us long, part long")
+    got = [r.out_us for r in qos.rate_limit_burst(x, 2, "part").orderBy("event_id").collect()]
+    assert got == [0, 500_000, 5_000_000, 5_000_000, 5_000_000, 5_500_000]
+
+
 def frame(spark, items):
     return spark.createDataFrame([(k, int(t * 1_000_000), i, c) for i, (k, t, c) in enumerate(items)], "key string, us long, id long, c boolean")
 

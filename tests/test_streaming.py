@@ -64,6 +64,110 @@ def test_queue_contract(spark, tmp_path):
     assert {k for x in seen for k in x} == {str(i) for i in range(10)}
 
 
+def test_queue_reads_on_and_writes(spark, tmp_path):
+    from tidewater.sources.queue import QueueReader, QueueWriter
+
+    for name, n in (("a", 5), ("b", 3), ("c", 4)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"key": f"{name}{i}"}) + "\n" for i in range(n)))
+    r, at, batches = QueueReader(str(tmp_path), 4), {"file": "", "line": 0, "n": 0}, []
+    while True:
+        rows, end = r.read(at)
+        rows = list(rows)
+        if not rows:
+            break
+        assert [x[1] for x in r.readBetweenOffsets(at, end)] == [x[1] for x in rows]
+        batches.append([x[1] for x in rows])
+        (tmp_path / "a.jsonl").unlink(missing_ok=True) if end["file"] > "a.jsonl" else None  # what was read is not opened again
+        at = end
+    assert [len(x) for x in batches] == [4, 4, 4] and sum(batches, []) == [f"a{i}" for i in range(5)] + [f"b{i}" for i in range(3)] + [f"c{i}" for i in range(4)]
+    w = QueueWriter(str(tmp_path / "out"))
+    (tmp_path / "out").mkdir()
+    done, lost = w.write(iter(spark.createDataFrame([("t", "k", "v", 1)], "topic string, key string, value string, seq long").collect())), w.write(iter([]))
+    assert not list((tmp_path / "out").glob("*.jsonl"))
+    w.abort([lost, None], 0)
+    w.commit([done, None], 0)
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["000000000000-00000.jsonl"]
+    assert json.loads((tmp_path / "out" / "000000000000-00000.jsonl").read_text()) == {"topic": "t", "key": "k", "value": "v"}
+
+
+def test_listening_and_metrics(spark, tmp_path):
+    import logging
+    import time
+
+    from tidewater.sources.kafka import await_assignment
+    from tidewater.streaming import pipeline as p
+
+    seen, registry = [], MetricRegistry()
+
+    class Notes(p.Listener):
+        def state_changed(self, state, about):
+            seen.append(state)
+
+        def next(self, progress):
+            seen.append(progress.numInputRows)
+
+    metrics = p.MetricsListener(registry, "work", flow="inbound")
+    listening = p.Listening("listened", [Notes(), metrics, p.LoggingListener(logging.getLogger("x"))]).attach(spark)
+    spark.createDataFrame([(1, None), (2, "bad")], "id long, error string").write.parquet(f"{tmp_path}/in")
+
+    def start(fail=False, ck="a", **trigger):
+        s = p.observed(spark.readStream.schema("id long, error string").parquet(f"{tmp_path}/in"), "work")
+
+        def each(df, n):
+            df.count()
+            if fail:
+                raise ValueError
+
+        return s.writeStream.queryName("listened").foreachBatch(each).option("checkpointLocation", f"{tmp_path}/{ck}").trigger(**trigger).start()
+
+    def wait(n):
+        end = time.time() + 30
+        while sum(isinstance(x, str) for x in seen) < n and time.time() < end:
+            time.sleep(0.05)
+
+    start(availableNow=True).awaitTermination()
+    wait(2)
+    assert seen[0] == "SUBSCRIBED" and seen[-1] == "COMPLETED" and 2 in seen
+    q = start(ck="b", processingTime="0 seconds")
+    assert await_assignment(q)
+    listening.cancel(q)
+    wait(4)
+    assert seen[-1] == "CANCELED"
+    with pytest.raises(Exception, match="ValueError"):
+        start(True, "c", availableNow=True).awaitTermination()
+    wait(6)
+    spark.streams.removeListener(listening)
+    value = lambda n: registry.value(registry.key(f"work.{n}", flow="inbound"))
+    assert seen[-1] == "ERRORED" and value("subscribers") == 0 and value("items") >= 4 and value("errors") >= 3
+
+
+def test_quality_of_service():
+    from tidewater.operators import qos
+
+    class Query:
+        def __init__(self, progress):
+            self.progress, self.stopped = iter(progress), False
+
+        def awaitTermination(self, timeout=None):
+            self.lastProgress = next(self.progress, "end")
+            clock[0] += timeout or 0
+            return self.lastProgress == "end"
+
+        def stop(self):
+            self.stopped = True
+
+    clock = [0.0]
+    batch = lambda i, n=1: {"batchId": i, "numInputRows": n}
+    cfg = qos.QosConfig(timedelta(seconds=2), timedelta(seconds=1), timedelta(seconds=1))
+    quiet = Query([batch(1), batch(2), batch(2), batch(2), batch(3, 0), batch(3, 0)])
+    with pytest.raises(TimeoutError):
+        qos.run(lambda: quiet, cfg, clock=lambda: clock[0])
+    assert quiet.stopped and clock[0] == 5.0  # active at 2, silent for exactly 2 s at 4, longer at 5
+    queries, slept = [Query([None] * 9), Query([batch(i) for i in range(9)])], []
+    assert qos.run(lambda: queries.pop(0), qos.QosConfig(cfg.max_inactivity, cfg.check_delay, cfg.check_interval, timedelta(seconds=3)), sleep=slept.append, clock=lambda: clock[0]) == 1 and slept == [3.0]
+    assert qos.run(lambda: Query([]), qos.QosConfig()) == 0  # all off
+
+
 def test_outcomes_and_registry(spark):
     df = spark.createDataFrame([(1, "ACK"), (2, "NACK")], "id long, outcome string")
     good, bad = split_outcomes(df, "REQUEUE")

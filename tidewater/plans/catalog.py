@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
+from tidewater.functions import avro
 from tidewater.functions import columns as C
 from tidewater.functions import translation as T
 from tidewater.functions.model import WindowConfig
-from tidewater.operators import ack, grouping, qos, windows
+from tidewater.operators import ack, envelope, grouping, qos, windows
 from tidewater.plans import views as V
+from tidewater.sources import kafka, messages, topics
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -83,7 +86,8 @@ def source_by_partition(s, d):
 def value_sink(s, d):
     """Outbound records: topic and key by extractors, headers stripped, the outcome of each."""
     r = V.records(s, d)
-    return r.select(F.concat(F.lit("out-"), "value").alias("topic"), "key", "value", F.lit("").alias("headers"), F.when(F.col("k") % 10 == 0, "rejected").alias("error"), "event_id")
+    out = kafka.outbound(r, F.concat(F.lit("out-"), "value"), F.col("key"), F.col("value"), F.col("headers"))
+    return out.select("topic", "key", "value", C.render_map(F.col("headers")).alias("headers"), F.when(F.col("k") % 10 == 0, "rejected").alias("error"), "event_id")
 
 
 # windows
@@ -133,11 +137,12 @@ def work_buffer_commit_close(s, d):
     return _buffers(s, d).groupBy("subject", "window").agg(F.count("*").alias("n"), last.alias("last_type")).where("last_type = 'COMMIT'")
 
 
-@query("select count(*)::bigint as n_in, count(*)::bigint as n_out from works")
+@query(_BUFFER + ", o as (select subject, win, count(*) as n from b group by subject, win) select (select count(*) from works)::bigint as n_in, (select sum(n) from o)::bigint as n_out", True)
 def work_buffer_conservation(s, d):
-    n = V.works(s, d).agg(F.count("*").alias("n_in"))
-    out = _buffers(s, d).groupBy("subject", "window").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_out"))
-    return n.join(out, F.lit(True)).select("n_in", "n_out")
+    """As many works leave the buffers as came in."""
+    n = V.works(s, d).select(F.lit(1).alias("i"), F.lit(0).cast("bigint").alias("n"))
+    out = _buffers(s, d).groupBy("subject", "window").agg(F.count("*").alias("n")).select(F.lit(0).alias("i"), "n")
+    return n.unionByName(out).agg(F.sum("i").alias("n_in"), F.sum("n").alias("n_out"))
 
 
 _REL = _BUFFER + ", r as (select *, max(rank) over (partition by subject, win, marker) as relevance from b), f as (select *, relevance <> 2 and rank <> 2 as kept from r)"
@@ -188,7 +193,7 @@ def translate_ack_outcome(s, d):
     return windows.translate_buffers(_buffers(s, d)).select("subject", "window", "state", "fate", "n", "n_kept")
 
 
-@query("select o_orderkey, o_custkey as subject, c_name, c_custkey is not null as fetched from orders left join (select * from customer where c_custkey % 3 <> 0) on o_custkey = c_custkey")
+@query("select o_orderkey, o_custkey as subject, c_name, c_custkey is not null as fetched from orders left join customer on o_custkey = c_custkey")
 def fetch_prepare(s, d):
     o = V.table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("subject"))
     c = V.table(s, d, "customer").select("c_custkey", "c_name")
@@ -236,7 +241,7 @@ def ack_cumulative(s, d):
     return ack.cumulative(V.completions(s, d)).select("event_id", "executed_us", "executed_as")
 
 
-_COMMIT = "with c as (select part, coalesce(min(off) filter (where done_us is null or outcome = 'NACK'), max(off) + 1) as commit_off, count(*) as n from completions where off >= 50 group by part)"
+_COMMIT = "with c as (select part, coalesce(min(off) filter (where done_us is null or outcome = 'NACK'), max(off) + 1) as commit_off, count(*) as n from completions group by part)"
 
 
 @query(_COMMIT + " select part, commit_off, n from c")
@@ -277,22 +282,20 @@ def ack_publish(s, d):
 
 @query("select event_id, value = 'purchase' as passed, case when value = 'purchase' then 'PENDING' else 'ACKED' end as status from records")
 def filter_ack(s, d):
-    p = F.col("value") == "purchase"
-    return V.records(s, d).select("event_id", p.alias("passed"), F.when(p, "PENDING").otherwise("ACKED").alias("status"))
+    return envelope.filtered(envelope.acknowledgeable(V.records(s, d)), F.col("value") == "purchase").select("event_id", "passed", "status")
 
 
 @query("select event_id, case when k <> 0 then 100 // k end as result, case when k = 0 then 'NACKED' else 'PENDING' end as status from ev")
 def map_ack(s, d):
     """A mapping that fails nacks its record."""
-    e = V.events(s, d)
-    return e.select("event_id", F.expr("case when k <> 0 then 100 div k end").alias("result"), F.when(F.col("k") == 0, "NACKED").otherwise("PENDING").alias("status"))
+    return envelope.mapped(envelope.acknowledgeable(V.events(s, d)), "result", F.expr("case when k <> 0 then 100 div k end"), F.col("k") == 0).select("event_id", "result", "status")
 
 
-@query("select key, sum(k)::bigint as total, string_agg(event_id::varchar, ',' order by off) as ack_order from records where off < 200 group by key")
+@query("select key, sum(k)::bigint as total, string_agg(event_id::varchar, ',' order by off) as ack_order from records group by key")
 def reduce_ack(s, d):
     """Values folded, acknowledgements run in order."""
-    r = V.records(s, d).groupBy("key").agg(F.sum("k").alias("total"), F.array_sort(F.collect_list(F.struct("off", "event_id"))).alias("a"))
-    return r.select("key", "total", F.array_join(F.transform("a", lambda x: x["event_id"].cast("string")), ",").alias("ack_order"))
+    r = envelope.reduced(V.records(s, d), "key", "off", {"total": F.sum("k")}, "event_id")
+    return r.select("key", "total", F.array_join(F.col("ack_order").cast("array<string>"), ",").alias("ack_order"))
 
 
 @query("select part, off // 8 as batch, count(*) as n, string_agg(off::varchar, ',' order by off) as members from records group by all")
@@ -473,27 +476,61 @@ def headers_stringify(s, d):
     )
 
 
-@query("select event_id, 'client' as name from ev")
+@query(r"""select event_id, regexp_replace(case k % 3 when 0 then event_type || '-' || u when 1 then u || '-' || event_type || '-' || u else event_type || upper(u) || '-12345678-1234' end, '-?[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}', '', 'g') as name
+ from (select event_id, k, event_type, 'abcdef01-0000-0000-0000-' || lpad(event_id::varchar, 12, '0') as u from ev)""")
 def strip_uuid(s, d):
-    u = F.concat(F.lit("client-"), F.lpad(F.hex("event_id"), 8, "0"), F.lit("-0000-0000-0000-"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
-    return V.events(s, d).select("event_id", C.strip_uuid(F.lower(u)).alias("name"))
+    """UUIDs anywhere in a name, any number of them; only lower-case ones count."""
+    u, t = F.concat(F.lit("abcdef01-0000-0000-0000-"), F.lpad(F.col("event_id").cast("string"), 12, "0")), F.col("event_type")
+    name = F.when(F.col("k") % 3 == 0, F.concat(t, F.lit("-"), u)).when(F.col("k") % 3 == 1, F.concat(u, F.lit("-"), t, F.lit("-"), u)).otherwise(F.concat(t, F.upper(u), F.lit("-12345678-1234")))
+    return V.events(s, d).select("event_id", C.strip_uuid(name).alias("name"))
 
 
-@query("select event_id, event_type as suffix from ev")
+@query("select event_id, list_last(string_split(name, '.')) as suffix from (select event_id, case k % 3 when 0 then 'a.b.' || event_type when 1 then event_type else event_type || '.' end as name from ev)")
 def suffix_after_dot(s, d):
-    return V.events(s, d).select("event_id", C.after_last(F.concat(F.lit("a.b."), "event_type"), ".").alias("suffix"))
+    """A name without a dot is its own suffix, one that ends with it has an empty one."""
+    name = F.when(F.col("k") % 3 == 0, F.concat(F.lit("a.b."), "event_type")).when(F.col("k") % 3 == 1, F.col("event_type")).otherwise(F.concat("event_type", F.lit(".")))
+    return V.events(s, d).select("event_id", C.after_last(name, ".").alias("suffix"))
 
 
-@query("select event_id, 'client' as client from ev")
+@query(r"select event_id, regexp_replace(case k % 3 when 0 then event_type || '-' || event_id::varchar when 1 then event_type || '-' || k::varchar || '-x' else event_type || '-1-' || k::varchar end, '-\d+$', '') as client from ev")
 def sanitize_client_id(s, d):
-    return V.events(s, d).select("event_id", C.sanitize_client_id(F.concat(F.lit("client-"), F.col("event_id").cast("string"))).alias("client"))
+    """Only the last number goes, and only from the end."""
+    t, k = F.col("event_type"), F.col("k").cast("string")
+    c = F.when(F.col("k") % 3 == 0, F.concat(t, F.lit("-"), F.col("event_id").cast("string"))).when(F.col("k") % 3 == 1, F.concat(t, F.lit("-"), k, F.lit("-x"))).otherwise(F.concat(t, F.lit("-1-"), k))
+    return V.events(s, d).select("event_id", C.sanitize_client_id(c).alias("client"))
+
+
+_CLIENTS = """c as (select event_id, case k % 7 when 0 then 'app-' || k::varchar || '-StreamThread-' || n || '-consumer' when 1 then 'StreamThread-' || n when 2 then 'StreamThread-' || n || '-restore-consumer'
+ when 3 then 'app-StreamThread-' || n || 'abc' when 4 then 'a-StreamThread-1-StreamThread-' || n when 5 then 'a-12345678-1234-1234-1234-123456789012-StreamThread-' || n else event_type || '-' || n end as id
+ from (select event_id, event_type, k, (event_id % 7)::varchar as n from ev)),
+m as (select event_id, id, regexp_matches(id, '^((.+?)-)?StreamThread-[0-9]+(-.+)?$') as thread, case when contains(id, 'StreamThread-') then strpos(id, 'StreamThread-') end as i, substr(id, strpos(id, 'StreamThread-') + 13) as rest from c),
+t as (select event_id, id, case when thread and i > 1 then substr(id, 1, i - 2) end as prefix, case when thread then regexp_extract(rest, '^[0-9]+') end as thread, case when thread and contains(rest, '-') then substr(rest, strpos(rest, '-') + 1) end as kind from m)"""
+
+
+def _clients(s, d):
+    n, k = (F.col("event_id") % 7).cast("string"), F.col("k").cast("string")
+    join = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    kinds = [
+        join("app-", k, "-StreamThread-", n, "-consumer"), join("StreamThread-", n), join("StreamThread-", n, "-restore-consumer"), join("app-StreamThread-", n, "abc"),
+        join("a-StreamThread-1-StreamThread-", n), join("a-12345678-1234-1234-1234-123456789012-StreamThread-", n), join(F.col("event_type"), "-", n),
+    ]
+    c = kinds[6]
+    for i in range(6):
+        c = F.when(F.col("k") % 7 == i, kinds[i]).otherwise(c)
+    return V.events(s, d).select("event_id", c.alias("id"))
 
 
-@query("select event_id, 'app' || k::varchar as prefix, (event_id % 7)::varchar as thread, 'consumer' as kind from ev")
+@query(f"with {_CLIENTS} select event_id, prefix, thread, kind from t")
 def stream_thread_tags(s, d):
-    c = F.concat(F.lit("app"), F.col("k").cast("string"), F.lit("-StreamThread-"), (F.col("event_id") % 7).cast("string"), F.lit("-consumer"))
-    p, t, kind = C.stream_thread(c)
-    return V.events(s, d).select("event_id", p.alias("prefix"), t.alias("thread"), kind.alias("kind"))
+    """The first thread in an id counts; a prefix and a client type may be missing."""
+    p, t, kind = C.stream_thread(F.col("id"))
+    return _clients(s, d).select("event_id", p.alias("prefix"), t.alias("thread"), kind.alias("kind"))
+
+
+@query(f"""with {_CLIENTS} select event_id, 'client-id=' || regexp_replace(case when thread is null then id else coalesce(prefix, id) end, '-?[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}', '', 'g')
+ || case when kind is not null then ',client-type=' || kind else '' end || case when thread is not null then ',stream-thread=' || thread else '' end as tags from t""")
+def client_id_tags(s, d):
+    return _clients(s, d).select("event_id", C.render_map(C.client_tags(F.col("id"))).alias("tags"))
 
 
 @query("select event_type as name, count(*) as n from ev where event_type not in ('view', 'click') group by 1")
@@ -513,9 +550,9 @@ def gauge_values(s, d):
     return V.events(s, d).select("event_id", C.finite_or_zero(bad).alias("finite"), F.nanvl(g, F.lit(-1.0)).alias("gauge"))
 
 
-@query("select event_id, k in (2,3,5,7,11,13,17,19,23,29,31,37,41,43,47,53,59,61,67,71,73,79,83,89,97) as prime, upper(event_type) as name from ev where k < 100")
+@query("select event_id, k >= 2 and len(list_filter(range(2, floor(sqrt(k))::bigint + 1), lambda i: k % i = 0)) = 0 as prime, upper(event_type) as name from ev")
 def prime_and_upper(s, d):
-    return V.events(s, d).where("k < 100").select("event_id", C.is_prime(F.col("k")).alias("prime"), F.upper("event_type").alias("name"))
+    return V.events(s, d).select("event_id", C.is_prime(F.col("k")).alias("prime"), F.upper("event_type").alias("name"))
 
 
 @query("select event_id, event_type as data1, user_id::varchar as data2, '{\"data1\":\"' || event_type || '\",\"data2\":\"' || user_id::varchar || '\"}' as json from ev")
@@ -554,20 +591,255 @@ def metrics_items_errors(s, d):
 @query("select key, case when max_by(value, (us, event_id)) = 'error' then max(us) // 1000 end as error_ms from records group by key")
 def latest_exception(s, d):
     """The last failure of each client, unless it has succeeded since."""
-    last = F.max_by(F.struct("value", "us"), F.struct("us", "event_id"))
-    return V.records(s, d).groupBy("key").agg(last.alias("x")).select("key", F.when(F.col("x.value") == "error", F.expr("x.us div 1000")).alias("error_ms"))
+    return envelope.latest_exception(V.records(s, d), "key", ["us", "event_id"], F.col("value") == "error", F.expr("us div 1000"), F.lit(NOW_MS))
 
 
 @query("""select event_id as trace_id, unnest(['start', 'map', case when outcome = 'NACK' then 'nack' when done_us is null then 'open' else 'ack' end]) as event, unnest([us, us, done_us]) as us from completions""")
 def span_events(s, d):
     c = V.completions(s, d)
     end = F.when(F.col("outcome") == "NACK", "nack").when(F.col("done_us").isNull(), "open").otherwise("ack")
-    rows = F.array(F.struct(F.lit("start").alias("event"), F.col("us")), F.struct(F.lit("map").alias("event"), F.col("us")), F.struct(end.alias("event"), F.col("done_us").alias("us")))
-    return c.select(F.col("event_id").alias("trace_id"), F.explode(rows).alias("x")).select("trace_id", "x.event", "x.us")
+    return envelope.span_events(c, "event_id", [("start", F.col("us")), ("map", F.col("us")), (end, F.col("done_us"))])
 
 
 @query("select key, max_by(case when value = 'signup' then null else event_id end, (us, event_id)) as registered from records group by key having max_by(value, (us, event_id)) <> 'signup'")
 def metric_registry(s, d):
     """The last registration of each name counts, unless it was taken back."""
-    last = F.max_by(F.struct("value", "event_id"), F.struct("us", "event_id"))
-    return V.records(s, d).groupBy("key").agg(last.alias("x")).where("x.value <> 'signup'").select("key", F.col("x.event_id").alias("registered"))
+    return envelope.latest(V.records(s, d), "key", ["us", "event_id"], F.col("event_id"), F.col("value") == "signup").withColumnRenamed("value", "registered")
+
+
+# messages
+_MESSAGE = """select event_id, '' as exchange, 'queue-' || event_type as routing_key, 'application/octet-stream' as content_type, 2 as delivery_mode, 0 as priority, 'm' || event_id::varchar as message_id, value as body from (select event_id, event_type, event_type as value from ev)"""
+
+
+def _message(s, d):
+    return V.events(s, d).withColumn("message", messages.to_queue(F.col("event_type"), F.concat(F.lit("queue-"), "event_type"), message_id=F.concat(F.lit("m"), F.col("event_id").cast("string"))))
+
+
+def _flat_message(df):
+    m = F.col("message")
+    return df.select("event_id", *(m[c].alias(c) for c in ("exchange", "routing_key")), *(m["properties"][c].alias(c) for c in ("content_type", "delivery_mode", "priority", "message_id")), m["body"].alias("body"))
+
+
+@query(_MESSAGE)
+def message_creation(s, d):
+    return _flat_message(_message(s, d))
+
+
+@query("select event_id, case when k % 5 = 0 then 'null' else 'key-' || k::varchar end as routing_key, 'events' as exchange, 36 as id_length from ev")
+def message_to_exchange(s, d):
+    """A routing key that is null is the text "null"; each message has an id of its own."""
+    key = F.when(F.col("k") % 5 != 0, F.concat(F.lit("key-"), F.col("k").cast("string")))
+    m = V.events(s, d).select("event_id", messages.to_exchange(F.col("event_type"), "events", key).alias("m"))
+    return m.select("event_id", "m.routing_key", "m.exchange", F.length("m.properties.message_id").alias("id_length"))
+
+
+@query("select event_id, 'queue-' || event_type || '.v2.audited' as routing_key, upper(event_type) as body from ev")
+def send_interceptors(s, d):
+    """Interceptors see a message in their order."""
+    put = lambda name, f: lambda m: m.withField(name, f(m[name]))
+    chain = [put("routing_key", lambda c: F.concat(c, F.lit(".v2"))), put("body", F.upper), put("routing_key", lambda c: F.concat(c, F.lit(".audited")))]
+    m = _message(s, d).withColumn("message", messages.intercepted(F.col("message"), chain))
+    return m.select("event_id", "message.routing_key", "message.body")
+
+
+@query("select event_id, case when event_type <> 'error' then event_type end as body, case when event_type = 'error' then 'ACKED' end as status from ev")
+def body_source(s, d):
+    """Messages without a body are acknowledged and go no further."""
+    m = _message(s, d).withColumn("message", F.col("message").withField("body", F.when(F.col("event_type") != "error", F.col("message.body"))))
+    kept, dropped = messages.bodies(m)
+    return kept.select("event_id", "body", F.lit(None).cast("string").alias("status")).unionByName(dropped.select("event_id", F.lit(None).cast("string").alias("body"), "status"))
+
+
+_SIGNALS = "sig as (select *, event_id % 5 = 0 as multiple from completions)"
+
+
+@query(f"""with {_SIGNALS}, w as (select event_id, done_us, outcome, min(case when multiple and done_us is not null then {{'done_us': done_us, 'event_id': event_id, 'outcome': outcome}} end)
+ over (partition by part order by off rows between current row and unbounded following) as later, case when done_us is not null then {{'done_us': done_us, 'event_id': event_id, 'outcome': outcome}} end as own from sig),
+x as (select event_id, case when later is null then own when own is null then later when own < later then own else later end as f from w) select event_id, f.done_us as settled_us, f.outcome as settled_as from x""")
+def settle_multiple(s, d):
+    """Single signals speak for one delivery, multiple ones for all before as well."""
+    c = V.completions(s, d).withColumn("multiple", F.col("event_id") % 5 == 0)
+    return ack.settled(c).select("event_id", "settled_us", "settled_as")
+
+
+@query("select event_id, case when event_id % 5 = 4 then null else event_id % 5 >= 2 end as requeue, case when event_id % 5 = 4 then null else event_id % 5 in (1, 3) end as multiple from ev")
+def nack_flags(s, d):
+    names = F.array(*(F.lit(n) for n in [*messages.NACKS, "OTHER"]))
+    f = messages.flags(F.get(names, (F.col("event_id") % 5).cast("int")))
+    return V.events(s, d).select("event_id", f["requeue"].alias("requeue"), f["multiple"].alias("multiple"))
+
+
+@query("select event_id, case when outcome = 'ACK' and done_us is not null then 'ACKED' else 'NACKED' end as status from completions")
+def publish_confirms(s, d):
+    c = V.completions(s, d)
+    acked = F.when(F.col("done_us").isNotNull(), F.col("outcome") == "ACK")
+    return messages.confirmed(c, acked).select("event_id", "status")
+
+
+@query("""with f as (select part, min(off) as first_off from records where k = 0 group by part)
+select event_id, case when off > first_off then 'UNSENT' when k = 0 then 'FAILED' else 'SENT' end as result from records left join f using (part)""")
+def sender_stop_on_error(s, d):
+    return kafka.sent(V.records(s, d), F.col("k") == 0, "part", "off", stop_on_error=True).select("event_id", "result")
+
+
+@query("select event_id, case when k = 0 then 'FAILED' else 'SENT' end as result from records")
+def sender_goes_on(s, d):
+    return kafka.sent(V.records(s, d), F.col("k") == 0, "part", "off").select("event_id", "result")
+
+
+@query("select part, count(*) as n, count(*) filter (where value <> 'view') as n_kept from records group by part")
+def grouped_source(s, d):
+    """The hook before grouping sees all records."""
+    r = kafka.grouped(V.records(s, d), lambda df: df.withColumn("kept", F.col("value") != "view"))
+    return r.groupBy("part").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept"))
+
+
+# streams as wholes
+@query("select event_id, case when k % 10 = 0 then 'NACKED' else 'ACKED' end as status, case when k % 10 = 0 then 'consumer failed' end as error from records")
+def consume_ack(s, d):
+    return envelope.consumed(envelope.acknowledgeable(V.records(s, d)), F.col("k") % 10 == 0).select("event_id", "status", "error")
+
+
+@query("select topic, part, off, k * 2 as doubled, 'k=' || k::varchar as headers, 'PENDING' as status from records")
+def propagate_metadata(s, d):
+    r = envelope.propagated(envelope.acknowledgeable(V.records(s, d)), {"doubled": F.col("k") * 2})
+    return r.select("topic", "part", "off", "doubled", C.render_map(F.col("headers")).alias("headers"), "status")
+
+
+@query("select event_id, us from records where value = 'error' order by us, event_id limit 1")
+def first_match(s, d):
+    return envelope.first_match(V.records(s, d), F.col("value") == "error", ["us", "event_id"]).select("event_id", "us")
+
+
+@query("select 0 as stream, event_id from records where value = 'signup' union all select 1 as stream, event_id from records where value = 'error'")
+def concat_streams(s, d):
+    r = V.records(s, d)
+    return envelope.concat(r.where("value = 'signup'"), r.where("value = 'error'")).select("stream", "event_id")
+
+
+@query("select key, event_id, row_number() over (order by key, off, part) as pos from records where value = 'signup'")
+def sorted_records(s, d):
+    """Sorted by ranges; positions come from the order, so each row is numbered where it lies, after the rows of earlier ranges."""
+    r = V.records(s, d).where("value = 'signup'").withColumn("all", F.lit(0))
+    w = Window.partitionBy("key").orderBy("off", "part")
+    before = Window.partitionBy("all").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    held = r.groupBy("all", "key").agg(F.count("*").alias("n")).select("key", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"))
+    return r.join(held, "key").select("key", "event_id", (F.col("n") + F.row_number().over(w)).alias("pos"))
+
+
+@query("""with u as (select event_id, md5(event_id::varchar) as h from ev), x as (select event_id, xor(xor(('0x' || substr(h, 1, 8))::bigint, ('0x' || substr(h, 9, 8))::bigint), xor(('0x' || substr(h, 17, 8))::bigint, ('0x' || substr(h, 25, 8))::bigint)) as x from u)
+select event_id, abs((case when x >= 2147483648 then x - 4294967296 else x end) % 16) as grp from x""")
+def arbitrary_group(s, d):
+    h = F.md5(F.col("event_id").cast("string").cast("binary"))
+    u = F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    return V.events(s, d).select("event_id", grouping.arbitrary_group(u, 16).alias("grp"))
+
+
+@query("select event_id, 'orders.created' as routing_key, true as always from ev")
+def static_routing_key(s, d):
+    return V.events(s, d).select("event_id", F.lit("orders.created").alias("routing_key"), C.always().alias("always"))
+
+
+@query("select event_type as name, count(*) as n, sum(k)::bigint as total from ev group by event_type")
+def scheduled_pipeline(s, d):
+    """Where rows are worked on changes no result."""
+    e = envelope.scheduled(envelope.scheduled(V.events(s, d), "BOUNDED_ELASTIC", 4), "SINGLE")
+    return e.groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"), F.sum("k").alias("total"))
+
+
+@query(_ORDERED + """, m as (select event_id, x[1] as executed_us from (select event_id, min(case when done_us is not null then [done_us, event_id] end) over (partition by part order by off rows between current row and unbounded following) as x from completions))
+select o.event_id, case when outcome = 'NACK' then done_us else drained_us end as ordered_us, m.executed_us as multiple_us, done_us as unbounded_us from o join m using (event_id)""")
+def acknowledgement_strategies(s, d):
+    """Ordered; cumulative with a bound; cumulative without one, which leaves completions as they are."""
+    c = V.completions(s, d)
+    pick = lambda df, col, name: df.select("event_id", F.col(col).alias(name))
+    out = pick(ack.strategy("ORDERED")(c), "executed_us", "ordered_us").join(pick(ack.strategy("MULTIPLE", 256)(c), "executed_us", "multiple_us"), "event_id")
+    return out.join(pick(ack.strategy("MULTIPLE")(c), "done_us", "unbounded_us"), "event_id")
+
+
+@query(_walk_sql(4, False, "(select w.*, k from works w join (select event_id, k from ev) using (event_id))") + " select subject, win as window, sum(k)::bigint as total, max_by(event_id, rn) as last_id, count(*) as n from b group by subject, win", True)
+def dedup_fold(s, d):
+    """Duplicates folded by a function of the user's: the last with the sum of all."""
+    w = V.works(s, d).join(V.events(s, d).select("event_id", "k"), "event_id").select("event_id", "subject", "us", "k")
+    add = lambda a, b: F.struct(b["event_id"].alias("event_id"), b["subject"].alias("subject"), b["us"].alias("us"), (a["k"] + b["k"]).alias("k"))
+    x = windows.deduplicate(w, "subject", "us", "event_id", SIX, reduce=add)
+    return x.select("subject", "window", F.col("k").alias("total"), F.col("event_id").alias("last_id"), "n")
+
+
+@query(_REL + " select subject, win as window, max_by(event_id, (inception_ms, us, event_id)) filter (where kept) as work from f group by subject, win", True)
+def buffer_fold(s, d):
+    """Works folded by a function of the user's, here the one incepted later."""
+    return windows.fold_buffers(_buffers(s, d), windows.later_work).select("subject", "window", F.col("work.event_id").alias("work"))
+
+
+@query("select event_id, 1800000000000 - us // 1000 as since_ms, us // 1000 > lag(us // 1000) over (order by us, event_id) as later from ev")
+def inception(s, d):
+    e = V.numbered(V.events(s, d).withColumn("all", F.lit(0)), "all", "us", "event_id", 86_400_000_000).select("event_id", "us", "off")
+    was = e.select((F.col("off") + 1).alias("off"), F.expr("us div 1000").alias("was_ms"))
+    ms = F.expr("us div 1000")
+    return e.join(was, "off", "left").select("event_id", C.since_inception(F.lit(NOW_MS), ms).alias("since_ms"), C.incepted_after(ms, F.col("was_ms")).alias("later"))
+
+
+@query("""with l as (select key, us as last_us, lead(us) over (partition by key order by us, event_id) as next_us from records), e as (select max(us) as until_us from records)
+select key, last_us, next_us, last_us + 46800000000 as noticed_us from l, e where coalesce(next_us, 1893456000000000) > last_us + 46800000000""")
+def activity_at_the_end(s, d):
+    """A key that is silent to the end is noticed as well."""
+    return qos.inactivity(V.records(s, d), "key", 12 * 3_600_000_000, 3_600_000_000, until_us=1_893_456_000_000_000)
+
+
+@query("select value + 1 as value, 'w' || value::varchar as word from (select unnest(range(1000)) as value)")
+def literal_sources(s, d):
+    words = topics.literals(s, [f"w{i}" for i in range(1000)])
+    return topics.ranged(s, 1, 1000).join(words.select((F.col("pos") + 1).alias("value"), F.col("value").alias("word")), "value")
+
+
+# Avro
+_PERSON = "data1 string, data2 string, n bigint, tags array<string>, inner struct<x: double, y: map<string,int>>"
+
+
+def _person(s, d):
+    k = F.col("k")
+    return V.events(s, d).select("event_id", k, F.struct(
+        F.col("event_type").alias("data1"), F.when(k % 3 != 0, F.col("user_id").cast("string")).alias("data2"), (k - 50).alias("n"), F.array(F.lit("b"), F.col("event_type"), F.lit("b"), F.lit("a")).alias("tags"),
+        F.struct((k / 4).alias("x"), F.create_map(F.lit("k"), k.cast("int")).alias("y")).alias("inner"),
+    ).alias("v"))
+
+
+def _avro(s, d):
+    registry = avro.Registry()
+    schema = avro.schema_of(T_.StructType.fromDDL(_PERSON), "Person")
+    number = registry.register(avro.topic_subject("people"), schema)
+    rows = _person(s, d)
+    return rows.select("event_id", "k", avro.serialize(F.when(F.col("k") % 11 != 0, F.col("v")), schema, number).alias("frame")), registry
+
+
+@query("select event_id, event_type as data1, case when k % 3 <> 0 then user_id::varchar end as data2, k - 50 as n, 'b,' || event_type || ',b,a' as tags, k / 4 as x, k::integer as y from ev where k % 11 <> 0")
+def avro_record(s, d):
+    """Records with nullable and nested fields, lists and maps, through the wire frame and back; null stays null."""
+    frames, registry = _avro(s, d)
+    r = frames.select("event_id", avro.deserialize(F.col("frame"), T_.StructType.fromDDL(_PERSON), registry.by_id).alias("r")).where("r is not null")
+    return r.select("event_id", "r.data1", "r.data2", "r.n", F.array_join("r.tags", ",").alias("tags"), "r.inner.x", F.col("r.inner.y")["k"].alias("y"))
+
+
+@query("""select event_id, event_type as data1, (k - 50)::double as n, case event_type when 'click' then 'a,b,click' when 'error' then 'a,b,error' when 'purchase' then 'a,b,purchase' when 'signup' then 'a,b,signup' else 'a,b,view' end as tags, 7 as added from ev where k % 11 <> 0""")
+def avro_evolution(s, d):
+    """Under another schema: a field fewer, one wider, one new with a default, a list as a sorted set."""
+    frames, registry = _avro(s, d)
+    reader = {"type": "record", "name": "Person", "fields": [{"name": "data1", "type": "string"}, {"name": "n", "type": "double"}, {"name": "tags", "type": {"type": "array", "items": "string", avro.CLASS: avro.SORTED_SET}}, {"name": "added", "type": "int", "default": 7}]}
+    nullable = {**reader, "fields": [{**f, "type": avro.make_nullable(f["type"])} if f["name"] != "added" else f for f in reader["fields"]]}
+    out = T_.StructType.fromDDL("data1 string, n double, tags array<string>, added int")
+    r = frames.select("event_id", avro.deserialize(F.col("frame"), out, registry.by_id, lambda writer: nullable).alias("r")).where("r is not null")
+    return r.select("event_id", "r.data1", "r.n", F.array_join("r.tags", ",").alias("tags"), "r.added")
+
+
+@query("select event_id, case when k % 11 = 0 or k % 2 = 0 then null else event_type end as data1 from ev")
+def avro_null_on_failure(s, d):
+    """Frames that cannot be read are null if so configured; a reader's schema that cannot be made gives way to the writer's."""
+    frames, registry = _avro(s, d)
+
+    def no_reader(writer):
+        raise LookupError("no class")
+
+    cut_off = F.when(F.col("k") % 2 == 0, F.substring("frame", 1, 8)).otherwise(F.col("frame"))
+    out = T_.StructType.fromDDL(_PERSON)
+    return frames.select("event_id", avro.deserialize(cut_off, out, registry.by_id, no_reader, read_null_on_failure=True).alias("r")).select("event_id", "r.data1")
