@@ -93,6 +93,25 @@ def test_windows_by_walk_and_over_batches(spark):
     assert got == want
 
 
+def test_dedup_over_batches(spark):
+    import random
+
+    rng = random.Random(2)
+    items = [(rng.choice(["a", "b", None]), rng.randrange(30_000) / 1000, False) for _ in range(700)]
+    cfg = WindowConfig(timedelta(seconds=1), 8)
+    df = frame(spark, items)
+    x = windows.assign_windows(df, "key", "us", "id", cfg)
+    by = {}
+    for r in sorted(x.collect(), key=lambda r: (r.us, r.id)):
+        by.setdefault((r.key, r.window), []).append(r)
+    for rows_a_batch in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+        for keep, at in (("first", 0), ("last", -1)):
+            got = {(r.key, r.window): (r.id, r.us, r.n, r.emit_us) for r in windows.deduplicate(df, "key", "us", "id", cfg, keep).collect()}
+            assert got == {k: (v[at].id, v[at].us, len(v), v[-1].us if len(v) == 8 else v[0].us + 1_000_000) for k, v in by.items()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_queues():
     q = ack.AckQueue()
     [q.add(x) for x in "123"]

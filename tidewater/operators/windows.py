@@ -25,7 +25,7 @@ def _runs(keys: pa.Array) -> list[int]:
     return [0, *(np.flatnonzero(new) + 1).tolist(), len(keys)] if len(keys) else [0]
 
 
-def _walk(duration: int, max_size: int):
+def _walk(duration: int, max_size: int, hide: tuple[str, ...] = ("_us", "_key", "_close")):
     def go(batches):
         key, start, n, w, closed = None, 0, 0, -1, True  # of the window that is open where a batch ends
         for b in batches:
@@ -48,16 +48,56 @@ def _walk(duration: int, max_size: int):
                     starts[i:end], numbers[i:end] = start, w
                     n += end - i
                     i = end
-            keep = [c for c in b.schema.names if c not in ("_us", "_key", "_close")]
+            keep = [c for c in b.schema.names if c not in hide]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(numbers), pa.array(starts)], [*keep, "window", "window_start"])
 
     return go
 
 
+def _one_each(duration: int, max_size: int, first: bool):
+    """The first or last row of each window, its number, how many it holds and when it is emitted; of the window that is open where
+    a batch ends one row is held."""
+
+    def go(batches):
+        held = None  # (rows with one row, n, key, window)
+
+        def done(rows, n):
+            start, last = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("window_start", "_last"))
+            emit = np.where(n >= max_size, last, start + duration)
+            names = [c for c in rows.schema.names if c not in ("_us", "_key", "_close", "_last", "window", "window_start")]
+            return pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), rows.column("window"), pa.array(n), pa.array(emit)], [*names, "window", "n", "emit_us"])
+
+        for b in _walk(duration, max_size, ())(batches):
+            if not b.num_rows:
+                continue
+            window, us = b.column("window").to_numpy(), b.column("_us").to_numpy(zero_copy_only=False)
+            lo = np.union1d(_runs(b.column("_key"))[:-1], np.flatnonzero(np.diff(window)) + 1).astype(np.int64)
+            hi = np.append(lo[1:], b.num_rows)
+            n, rows = hi - lo, b.take(pa.array(lo if first else hi - 1))
+            if held is not None:
+                if held[2] == b.column("_key")[0].as_py() and held[3] == window[0]:
+                    n[0] += held[1]
+                    if first:
+                        rows = pa.Table.from_batches([held[0].drop_columns(["_last"]), rows.slice(1)]).combine_chunks().to_batches()[0]
+                else:
+                    yield done(held[0], np.array([held[1]]))
+            rows = rows.append_column("_last", pa.array(us[hi - 1]))
+            yield done(rows.slice(0, len(lo) - 1), n[:-1])
+            held = rows.slice(len(lo) - 1), n[-1], b.column("_key")[b.num_rows - 1].as_py(), window[-1]
+        if held is not None:
+            yield done(held[0], np.array([held[1]]))
+
+    return go
+
+
+def _dealt(df: DataFrame, key: str, us: str, tie: str, close: Column | None = None) -> DataFrame:
+    x = df.withColumns({"_us": F.col(us).cast("bigint"), "_key": F.col(key).cast("string"), "_close": F.lit(False) if close is None else F.coalesce(close, F.lit(False))})
+    return x.repartition(F.col(key)).sortWithinPartitions("_key", "_us", tie)
+
+
 def assign_windows(df: DataFrame, key: str, us: str, tie: str, config: WindowConfig, close: Column | None = None) -> DataFrame:
     """df with `window` (its number within the key, from 0) and `window_start`. Arrival is by (us, tie); ranges are half-open."""
-    x = df.withColumns({"_us": F.col(us).cast("bigint"), "_key": F.col(key).cast("string"), "_close": F.lit(False) if close is None else F.coalesce(close, F.lit(False))})
-    x = x.repartition(F.col(key)).sortWithinPartitions("_key", "_us", tie)
+    x = _dealt(df, key, us, tie, close)
     schema = df.withColumns({"window": F.lit(0).cast("bigint"), "window_start": F.lit(0).cast("bigint")}).schema
     return x.mapInArrow(_walk(micros(config.duration), config.max_size or 1 << 62), schema)
 
@@ -82,10 +122,13 @@ def deduplicate(df: DataFrame, key: str, us: str, tie: str, config: WindowConfig
     """
     if not config.enabled:
         return df
+    if reduce is None:  # the walk gives the window's row itself: nothing is shuffled again
+        schema = df.withColumns({c: F.lit(0).cast("bigint") for c in ("window", "n", "emit_us")}).schema
+        return _dealt(df, key, us, tie).mapInArrow(_one_each(micros(config.duration), config.max_size or 1 << 62, keep == "first"), schema)
     x = assign_windows(df, key, us, tie, config)
-    pick = fold_window(reduce, df.columns, us, tie).alias("row") if reduce else (F.min_by if keep == "first" else F.max_by)(F.struct(*df.columns), F.struct(us, tie)).alias("row")
     full = F.lit(False) if config.max_size is None else F.count("*") >= config.max_size
-    out = x.groupBy(key, "window").agg(pick, F.count("*").alias("n"), F.when(full, F.max(us)).otherwise(F.min("window_start") + micros(config.duration)).alias("emit_us"))
+    emit = F.when(full, F.max(us)).otherwise(F.min("window_start") + micros(config.duration))
+    out = x.groupBy(key, "window").agg(fold_window(reduce, df.columns, us, tie).alias("row"), F.count("*").alias("n"), emit.alias("emit_us"))
     return out.select("row.*", "window", "n", "emit_us")
 
 
