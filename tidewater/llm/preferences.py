@@ -58,7 +58,7 @@ def format_preferences(turns: DataFrame, pairs: DataFrame) -> DataFrame:
 def neighbours(turns: DataFrame) -> DataFrame:
     """Pairs for a table that has none: conversation 2i is chosen over 2i + 1."""
     ids = turns.select((F.col("conv_id").cast("long") - F.pmod(F.col("conv_id").cast("long"), F.lit(2))).alias("chosen_id")).where("chosen_id is not null").distinct()
-    return ids.select((F.col("chosen_id") / 2).cast("long").alias("pair_id"), "chosen_id", (F.col("chosen_id") + 1).alias("rejected_id"))
+    return ids.select(F.expr("chosen_id div 2").alias("pair_id"), "chosen_id", (F.col("chosen_id") + 1).alias("rejected_id"))
 
 
 def op7_preferences(spark, sf_dir):
