@@ -149,6 +149,68 @@ def test_reconciliation_goldens(spark):
     assert run(("COMMIT", "a"), ("INTENT", "b")) == 0
 
 
+def test_flatten_goldens(spark):
+    def run(*children):
+        parents = spark.createDataFrame([(1, 0)], "event_id long, us long")
+        df = spark.createDataFrame([(1, t, o) for t, o in children], "event_id long, done_us long, outcome string")
+        r = ack.flatten(df, "event_id", parents).first()
+        return r.n, r.status, r.status_us
+
+    assert run((1, "ACK"), (2, "ACK"), (3, "ACK"), (None, "ACK")) == (4, "PENDING", None)
+    assert run((1, "ACK"), (2, "ACK"), (3, "ACK"), (9, "ACK")) == (4, "ACK", 9)
+    assert run((1, "ACK"), (5, "NACK"), (3, "NACK"), (None, "ACK")) == (4, "NACK", 3)
+    assert run() == (0, "ACK", 0)
+
+
+def test_grouped_pipeline_golden(spark):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate("ABCDE")], "us long, v string").withColumn("vowel", F.col("v").isin("A", "E"))
+    assert sorted(r.joined for r in grouping.buffered(df, "vowel", ["us"], 2, "v").collect()) == ["A,E", "B,C", "D"]
+
+
+def test_buffer_goldens(spark):
+    def run(*works, size=8):
+        df = spark.createDataFrame([("s", {"INTENT": 0, "RETRY": 1, "CANCEL": 2, "COMMIT": 3}[t], int(at * 1e6), i) for i, (t, at) in enumerate(works)], "subject string, rank int, us long, event_id long")
+        rows = windows.work_buffers(df, WindowConfig(timedelta(seconds=10), size)).orderBy("event_id").collect()
+        return [r.window for r in rows]
+
+    assert run(("INTENT", 0), ("RETRY", 1), ("CANCEL", 2)) == [0, 0, 0]
+    assert run(("INTENT", 0), ("RETRY", 1), ("CANCEL", 2), ("COMMIT", 3), ("INTENT", 4)) == [0, 0, 0, 0, 1]
+    assert run(("COMMIT", 0), ("COMMIT", 0)) == [0, 1]
+    assert run(*[("INTENT", 0)] * 9) == [0] * 8 + [1]
+    assert run(("INTENT", 0), ("INTENT", 10)) == [0, 1]
+
+
+def test_recycling_goldens(spark):
+    for count, ok in ((0, True), (10, True), (11, False)):
+        df = spark.createDataFrame([(0, count, "E")], "inception_ms long, recycle_count long, error string")
+        may = windows.recyclable(F.lit(5), 0, 10, ["Other"], F.col("error"))
+        assert df.select(may.alias("ok")).first().ok is ok
+    df = spark.createDataFrame([(0, 0, "Base"), (0, 0, "Sub")], "inception_ms long, recycle_count long, error string")
+    assert [r.ok for r in df.select(windows.recyclable(F.lit(11), 11, None, ["Base"], F.col("error")).alias("ok")).collect()] == [False, True]
+    assert not df.select(windows.recyclable(F.lit(12), 11, None, [], F.col("error")).alias("ok")).first().ok
+    r = windows.recycle(spark.createDataFrame([("m", "INTENT", 4)], "marker string, type string, recycle_count long")).first()
+    assert (r.marker, r.type, r.recycle_count) == ("m", "RETRY", 5)
+
+
+def test_blocks_of_positions(spark, monkeypatch):
+    """Acknowledgement over many blocks of a group equals that over one."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(p, i, 1000 * p + i, None if rng.random() < 0.02 and i > 90 else rng.randrange(500), rng.choice(["ACK", "NACK"]), rng.random() < 0.3) for p in range(3) for i in range(150)]
+    df = spark.createDataFrame(rows, "part long, off long, event_id long, done_us long, outcome string, multiple boolean")
+    forms = [lambda: ack.ordered(df), lambda: ack.ordered(df, immediate_errors=True), lambda: ack.cumulative(df), lambda: ack.settled(df)]
+    whole = [{r.event_id: r for r in f().select(sorted(f().columns)).collect()} for f in forms]
+    monkeypatch.setattr(ack, "BLOCK", 7)
+    assert [{r.event_id: r for r in f().select(sorted(f().columns)).collect()} for f in forms] == whole
+    later = lambda r: [x for x in rows if x[0] == r[0] and x[1] >= r[1] and x[3] is not None]
+    for r in rows:
+        want = min(((x[3], x[2], x[4]) for x in later(r)), default=None)
+        assert (whole[2][r[2]].executed_us, whole[2][r[2]].executed_as) == ((want[0], want[2]) if want else (None, None))
+        want = min(((x[3], x[2], x[4]) for x in later(r) if x[5] or x[2] == r[2]), default=None)
+        assert (whole[3][r[2]].settled_us, whole[3][r[2]].settled_as) == ((want[0], want[2]) if want else (None, None))
+
+
 def test_assignment_and_rate(spark):
     m = spark.createDataFrame([("1", "t", 5), ("2", "t", 5), ("1", "u", None)], "member_id string, topic string, born_ms long")
     p = spark.createDataFrame([("t", 10)], "topic string, n_parts long")

@@ -90,6 +90,19 @@ def test_queue_reads_on_and_writes(spark, tmp_path):
     assert json.loads((tmp_path / "out" / "000000000000-00000.jsonl").read_text()) == {"topic": "t", "key": "k", "value": "v"}
 
 
+def test_queue_bodies(spark, tmp_path):
+    from tidewater.sources import kafka, queue
+
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "0.jsonl").write_text('{"value": "a"}\n{"key": "k"}\n{"value": "b"}\n')
+    got = []
+    q = queue.consume_body(spark, str(tmp_path / "q"), 2).writeStream.foreachBatch(lambda df, n: got.extend(r.value for r in df.collect())).option("checkpointLocation", f"{tmp_path}/ck")
+    q = q.trigger(**kafka.auto_trigger(timedelta(0))).start()
+    q.processAllAvailable()
+    q.stop()
+    assert got == ["a", "b"] and kafka.auto_trigger() == {"processingTime": "5 seconds"}
+
+
 def test_listening_and_metrics(spark, tmp_path):
     import logging
     import time

@@ -6,11 +6,14 @@ import itertools
 import time
 from collections import defaultdict
 from collections.abc import Mapping
+from datetime import timedelta
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions.model import AUTO_ACK
+
 # Settings of senders and receivers, each with its older name first.
 SENDER_IN_FLIGHT = ("max.in.flight", "sender.max.in.flight.per.send")
 RECEIVER_IN_FLIGHT = ("max.in.flight.per.topic.partition", "receiver.max.in.flight.per.subscription")
@@ -77,6 +80,16 @@ def receive(spark: SparkSession, topics: list[str], options: dict[str, str], max
     return (r.option("maxOffsetsPerTrigger", str(max_in_flight)) if max_in_flight else r).load()
 
 
+def receive_grouped(spark: SparkSession, topics: list[str], options: dict[str, str], max_in_flight: int | None = None, pregroup=lambda df: df) -> DataFrame:
+    """The records of each topic's partition together, in tasks of their own."""
+    return grouped(receive(spark, topics, options, max_in_flight), pregroup, "partition")
+
+
+def auto_trigger(interval: timedelta = AUTO_ACK[0]) -> dict[str, str]:
+    """For `writeStream.trigger`: positions are committed once an interval, when its batch has been written, whatever was made of it."""
+    return {"processingTime": f"{max(interval.total_seconds(), 0):g} seconds"}
+
+
 def send(df: DataFrame, options: dict[str, str], checkpoint: str, headers: bool = False):
     """Writes (topic, key, value[, headers]); headers are stripped unless asked for."""
     check(options)

@@ -12,7 +12,7 @@ import json
 import os
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, SimpleDataSourceStreamReader, WriterCommitMessage
 
@@ -103,6 +103,17 @@ class QueueSource(DataSource):
         return QueueWriter(self.options["path"])
 
 
+def consume(spark: SparkSession, path: str, most: int = 256) -> DataFrame:
+    """A stream of the queue's messages, so many a batch at most."""
+    spark.dataSource.register(QueueSource)
+    return spark.readStream.format("queue").option("path", path).option("maxPerBatch", str(most)).load()
+
+
+def consume_body(spark: SparkSession, path: str, most: int = 256) -> DataFrame:
+    """The messages' bodies; what has none is done with."""
+    return consume(spark, path, most).where("value is not null").select("value", "seq")
+
+
 def split_outcomes(batch: DataFrame, policy: str = "DISCARD") -> tuple[DataFrame, DataFrame]:
     """(acknowledged, negatively acknowledged) rows by `outcome`; the latter marked for the dead-letter queue or to go back."""
     if policy not in ("DISCARD", "REQUEUE"):
