@@ -386,6 +386,30 @@ def test_urls(spark):
     assert judge(df.limit(0)).collect() == []
 
 
+def test_link_components(spark):
+    """Verdicts spread along links as over components found by a plain search, allowed spellings standing firm."""
+    rng = random.Random(12)
+    hosts = [f"h{i}.{rng.choice(['org', 'net', 'com', 'org', 'org'])}" for i in range(150)]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['es', 'fr', 'x', 'y', 'z'])}/{rng.randrange(4)}" for _ in range(700)]
+    rows = [(i, u, "".join(f'<link rel=canonical href="{rng.choice(urls)}">' for _ in range(rng.choice([0, 0, 1, 1, 2])))) for i, u in enumerate(urls)]
+    got = {r.page_id: (r.rule, r.verdict) for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    near = {}
+    for _, u, html in rows:
+        for x in re.findall('href="([^"]+)"', html):
+            near.setdefault(u, set()).add(x)
+            near.setdefault(x, set()).add(u)
+    rule = lambda u: "com/" if u[7:].split("/")[0].endswith(".com") else next((f"net/{p}/" for p in ("es", "fr") if u[7:].split("/")[0].endswith(".net") and u.split("/")[3] == p), None)
+    spread = set()
+    todo = [u for u in urls if (rule(u) or "").startswith("net/")]
+    while todo:
+        u = todo.pop()
+        if u not in spread:
+            spread.add(u)
+            todo += near.get(u, ())
+    want = {i: (rule(u), "block" if (rule(u) or "").startswith("net/") or rule(u) is None and u in spread else "allow") for i, u, _ in rows}
+    assert got == want and sum(v == (None, "block") for v in want.values()) > 50
+
+
 def test_relative_links(spark):
     link = lambda u: f'<link rel="canonical" href="{u}">'
     rows = [("http://b.net/es/1", None), ("http://b.net/a", link("/es/1")), ("http://c.org/a", link("//b.net/es/1")), ("http://b.net/a/b/c", link("../../es/1?x")), ("http://b.net/d/", link("./../es/./1")),

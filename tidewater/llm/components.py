@@ -13,8 +13,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
     Nulls and self-loops are left out; repeated and reversed edges count once. An empty edge table gives no rows.
     Each round points every node to the smallest of its neighbours, first for larger, then for smaller neighbours; the
-    number of rounds grows with the logarithm of the longest path. Minima are aggregated before they are shuffled, and
-    joined back to the edges, so that a hub is never gathered in one task.
+    number of rounds grows with the logarithm of the longest path. Minima are aggregated before they are shuffled and written
+    before they are joined back to the edges, a join of two plain shuffles, in which Spark can split a hub's edges.
     """
     a, b = F.col(u), F.col(v)
     now = cut(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
@@ -26,13 +26,13 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     was = state(now)
     while was[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = cut(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("a"), "m").where("a != m").select(F.col("a").alias("u"), F.col("m").alias("v"))
-        then = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
-        drop(large, now)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").select(F.col("v").alias("a"), "m").where("a != m").select(F.col("a").alias("u"), F.col("m").alias("v"))
+        then = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        drop(low, large, least, now)
         now, before, was = then, was, state(then)
         if was == before:
             break
