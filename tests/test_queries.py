@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import columns as C
 from tidewater.functions import config
 from tidewater.functions.model import WindowConfig, duration
-from tidewater.operators import ack, grouping, qos, windows
+from tidewater.operators import ack, grouping, prefix, qos, windows
 from tidewater.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -201,7 +201,7 @@ def test_blocks_of_positions(spark, monkeypatch):
     df = spark.createDataFrame(rows, "part long, off long, event_id long, done_us long, outcome string, multiple boolean")
     forms = [lambda: ack.ordered(df), lambda: ack.ordered(df, immediate_errors=True), lambda: ack.cumulative(df), lambda: ack.settled(df)]
     whole = [{r.event_id: r for r in f().select(sorted(f().columns)).collect()} for f in forms]
-    monkeypatch.setattr(ack, "BLOCK", 7)
+    monkeypatch.setattr(prefix, "BLOCK", 7)
     assert [{r.event_id: r for r in f().select(sorted(f().columns)).collect()} for f in forms] == whole
     later = lambda r: [x for x in rows if x[0] == r[0] and x[1] >= r[1] and x[3] is not None]
     for r in rows:
@@ -211,6 +211,22 @@ def test_blocks_of_positions(spark, monkeypatch):
         assert (whole[3][r[2]].settled_us, whole[3][r[2]].settled_as) == ((want[0], want[2]) if want else (None, None))
 
 
+def test_rate_limit_over_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    times = [sorted(rng.randrange(0, 400) * 3_600_000_000 for _ in range(60)) for _ in range(3)]
+    df = spark.createDataFrame([(100 * p + i, us, p) for p in range(3) for i, us in enumerate(times[p])], "event_id long, us long, part long")
+    monkeypatch.setattr(prefix, "BLOCK", 9)
+    want, gap = {}, 7_200_000_000
+    for p in range(3):
+        free = 0
+        for i, us in enumerate(times[p]):
+            want[100 * p + i] = max(us, free)
+            free = want[100 * p + i] + gap
+    assert {r.event_id: r.out_us for r in qos.rate_limit(df, 1 / 7200, "part").collect()} == want
+
+
 def test_assignment_and_rate(spark):
     m = spark.createDataFrame([("1", "t", 5), ("2", "t", 5), ("1", "u", None)], "member_id string, topic string, born_ms long")
     p = spark.createDataFrame([("t", 10)], "topic string, n_parts long")

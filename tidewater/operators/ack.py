@@ -7,30 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-#: Positions of a group that one task walks; how a row depends on other blocks is carried by one row a block.
-BLOCK = 1 << 16
-
-
-def _by_block(entries: DataFrame, group: str, pos: str, summary: dict[str, Column], merged: dict[str, Column], descending: bool = False) -> tuple[DataFrame, Window]:
-    """entries with `_b`, the block of their position, and what `merged` makes of the `summary` of all blocks before (after, if
-    descending); and the window up to a row within its block. So a group is not walked by one task."""
-    x = entries.withColumn("_b", F.expr(f"`{pos}` div {BLOCK}"))
-    blocks = x.groupBy(group, "_b").agg(*(c.alias(n) for n, c in summary.items()))
-    along = F.desc if descending else F.asc
-    before = Window.partitionBy(group).orderBy(along("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(group, "_b", *(c.over(before).alias(n) for n, c in merged.items()))
-    return x.join(blocks, [group, "_b"]), Window.partitionBy(group, "_b").orderBy(along(pos)).rowsBetween(Window.unboundedPreceding, 0)
+from tidewater.operators.prefix import by_block
 
 
 def ordered(entries: DataFrame, group: str = "part", pos: str = "off", immediate_errors: bool = False) -> DataFrame:
     """`executed_us`: not before all earlier entries of the group are done; with immediate errors a NACK takes effect at once, while
     its slot is still freed in order (`drained_us`)."""
     open_, last = F.count_if(F.col("done_us").isNull()), F.max("done_us")
-    x, w = _by_block(entries, group, pos, {"_open": open_, "_last": last}, {"_open": F.sum("_open"), "_last": F.max("_last")})
+    x, w = by_block(entries, group, pos, {"_open": open_, "_last": last}, {"_open": F.sum("_open"), "_last": F.max("_last")})
     drained = F.when(F.coalesce("_open", F.lit(0)) + open_.over(w) == 0, F.greatest("_last", last.over(w)))
     out = x.withColumn("drained_us", drained).drop("_b", "_open", "_last")
     return out.withColumn("executed_us", F.when(F.lit(immediate_errors) & (F.col("outcome") == "NACK"), F.col("done_us")).otherwise(F.col("drained_us")))
@@ -39,7 +26,7 @@ def ordered(entries: DataFrame, group: str = "part", pos: str = "off", immediate
 def cumulative(entries: DataFrame, group: str = "part", pos: str = "off", seq: str = "event_id") -> DataFrame:
     """`executed_us` and `executed_as`: the first completion of this or a later entry, ties to the smaller sequence number."""
     first = F.min(F.when(F.col("done_us").isNotNull(), F.struct("done_us", seq, "outcome")))
-    x, w = _by_block(entries, group, pos, {"_f": first}, {"_f": F.min("_f")}, descending=True)
+    x, w = by_block(entries, group, pos, {"_f": first}, {"_f": F.min("_f")}, descending=True)
     x = x.withColumn("_f", F.least("_f", first.over(w)))
     return x.withColumns({"executed_us": F.col("_f.done_us"), "executed_as": F.col("_f.outcome")}).drop("_f", "_b")
 
@@ -49,7 +36,7 @@ def settled(signals: DataFrame, group: str = "part", pos: str = "off", seq: str
     which speaks for all before it. Signals have done_us (null: none), outcome and multiple."""
     said = F.when(F.col("done_us").isNotNull(), F.struct("done_us", seq, "outcome"))
     wide = F.min(F.when(F.col("multiple"), said))
-    x, w = _by_block(signals, group, pos, {"_f": wide}, {"_f": F.min("_f")}, descending=True)
+    x, w = by_block(signals, group, pos, {"_f": wide}, {"_f": F.min("_f")}, descending=True)
     x = x.withColumn("_f", F.least("_f", wide.over(w), said))
     return x.withColumns({"settled_us": F.col("_f.done_us"), "settled_as": F.col("_f.outcome")}).drop("_f", "_b")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.operators.prefix import numbered
+
 
 def groups_or_default(n: int | None, spark: SparkSession) -> int:
     return n if n and n > 0 else spark.sparkContext.defaultParallelism
@@ -59,8 +61,8 @@ def assign_all(members: DataFrame, partitions: DataFrame, youngest: bool = True)
 
 
 def buffered(df: DataFrame, group: str, order: list[str], size: int, value: str) -> DataFrame:
-    """Each group's values in order, joined by commas in buffers of `size`."""
-    x = df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+    """Each group's values in order (by a whole number first), joined by commas in buffers of `size`."""
+    x = numbered(df, group, order, "_n")
     x = x.groupBy(group, F.expr(f"_n div {size}").alias("buffer")).agg(F.array_sort(F.collect_list(F.struct("_n", F.col(value).alias("v")))).alias("all"))
     return x.select(group, "buffer", F.array_join(F.transform("all", lambda r: r["v"].cast("string")), ",").alias("joined"))
 

@@ -12,19 +12,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.model import RESUBSCRIBE_DELAY
+from tidewater.operators.prefix import by_block, numbered
 
 
 def rate_limit(df: DataFrame, permits_per_second: float, limiter: str, us: str = "us", tie: str = "event_id") -> DataFrame:
     """`out_us`: when each element passes, one permit apart for each limiter; df itself where permits are not positive.
 
-    out(k) = max over j <= k of (in(j) - j * gap) + k * gap: a running maximum in place of a loop.
+    out(k) = max over j <= k of (in(j) - j * gap) + k * gap: a running maximum, by blocks, in place of a loop.
     """
     if permits_per_second <= 0:
         return df
     gap = round(1_000_000 / permits_per_second)
-    at = Window.partitionBy(limiter).orderBy(us, tie)
-    x = df.withColumn("_k", F.row_number().over(at))
-    return x.withColumn("out_us", F.max(F.col(us) - F.col("_k") * gap).over(at.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_k") * gap).drop("_k")
+    x = numbered(df, limiter, [us, tie], "_k").withColumn("_m", F.col(us) - F.col("_k") * gap)
+    x, w = by_block(x, limiter, "_k", {"_most": F.max("_m")}, {"_most": F.max("_most")})
+    return x.withColumn("out_us", F.greatest("_most", F.max("_m").over(w)) + F.col("_k") * gap).drop("_k", "_m", "_b", "_most")
 
 
 def rate_limit_burst(df: DataFrame, permits_per_second: float, limiter: str, us: str = "us", tie: str = "event_id") -> DataFrame:

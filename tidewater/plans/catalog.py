@@ -13,7 +13,7 @@ from tidewater.functions import avro
 from tidewater.functions import columns as C
 from tidewater.functions import translation as T
 from tidewater.functions.model import WindowConfig
-from tidewater.operators import ack, envelope, grouping, qos, windows
+from tidewater.operators import ack, envelope, grouping, prefix, qos, windows
 from tidewater.plans import views as V
 from tidewater.sources import kafka, messages, topics
 
@@ -774,7 +774,7 @@ def buffer_fold(s, d):
 
 @query("select event_id, 1800000000000 - us // 1000 as since_ms, us // 1000 > lag(us // 1000) over (order by us, event_id) as later from ev")
 def inception(s, d):
-    e = V.numbered(V.events(s, d).withColumn("all", F.lit(0)), "all", "us", "event_id", 86_400_000_000).select("event_id", "us", "off")
+    e = prefix.numbered(V.events(s, d).withColumn("all", F.lit(0)), "all", ["us", "event_id"], "off").select("event_id", "us", "off")
     was = e.select((F.col("off") + 1).alias("off"), F.expr("us div 1000").alias("was_ms"))
     ms = F.expr("us div 1000")
     return e.join(was, "off", "left").select("event_id", C.since_inception(F.lit(NOW_MS), ms).alias("since_ms"), C.incepted_after(ms, F.col("was_ms")).alias("later"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.model import work_type_rank
+from tidewater.operators.prefix import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,19 +18,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "user_id", "event_type", "value", "props", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-def numbered(df: DataFrame, part: str, us: str, tie: str, span_us: int) -> DataFrame:
-    """df with `off`, from 0 in order of (us, tie) within the partition: what earlier spans of time hold, and the place in the
-    row's own span. So a task sorts a span of a partition, not the whole of it."""
-    x = df.withColumn("_s", F.expr(f"`{us}` div {span_us}"))
-    before = Window.partitionBy(part).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    held = x.groupBy(part, "_s").agg(F.count("*").alias("_n")).select(part, "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
-    own = F.row_number().over(Window.partitionBy(part, "_s").orderBy(us, tie)) - 1
-    return x.join(held, [part, "_s"]).withColumn("off", (F.col("_n") + own).cast("bigint")).drop("_s", "_n")
-
-
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log records: an offset numbers the records of a partition in order of arrival."""
-    e = numbered(events(spark, sf_dir).withColumn("part", (F.col("user_id") % 10).cast("bigint")), "part", "us", "event_id", 86_400_000_000)
+    e = numbered(events(spark, sf_dir).withColumn("part", (F.col("user_id") % 10).cast("bigint")), "part", ["us", "event_id"], "off")
     return e.select(
         F.lit("events").alias("topic"), "part", "off", "us", F.col("user_id").cast("string").alias("key"),
         F.col("event_type").alias("value"), F.create_map(F.lit("k"), F.col("k").cast("string")).alias("headers"), "event_id", "user_id", "k",
