@@ -215,6 +215,6 @@ def test_tables_are_deleted(spark):
     from tidewater.llm import store
 
     df, _ = odd(spark, random.Random(1))
-    before = set(store._made)
+    before = set(store.made())
     out = near_duplicates(df)
-    assert len(set(store._made) - before) == 2 and out.count() == df.count()
+    assert len(set(store.made()) - before) == 2 and out.count() == df.count()

@@ -100,6 +100,27 @@ def test_empty_and_null_tables(spark):
     assert sorted((r.doc_id or 0, r.length) for r in got) == [(0, 1), (0, 3), (1, 1)] and len({r.sequence_id for r in got}) == 1
 
 
+def test_very_long_texts(spark):
+    """Texts beyond every slice, block and window: all of them count."""
+    from tidewater.llm.minhash import near_duplicates
+    from tidewater.llm.suffix import without_repeats
+
+    rng = random.Random(2)
+    long = " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(200_000))
+    tail = long[-100_000:]
+    texts = {1: long, 2: long + " end", 3: "x" * 300_000, 4: tail, 5: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    got = {r.doc_id: r.n_tokens for r in bpe_digests(df, P.path("word_bpe_49k.json")).collect()}
+    assert got == {k: len(lib.encode(t or "", add_special_tokens=False).ids) for k, t in texts.items()}
+    assert {r.doc_id: r.component_id for r in near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert {r.doc_id: r.n_words for r in stupid_backoff(df).collect()} == {k: len((t or "").split()) for k, t in texts.items()}
+    assert {r.doc_id: r.text for r in without_repeats(df).collect()} == {1: "", 2: " end", 3: "", 4: "", 5: None}
+    check_packed(pack(df, P.path("byte_bpe_50k.json")).collect(), texts)
+    scored = score_quality(df, train(df, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int"), held_out=False)).collect()
+    assert len(scored) == 5 and all(0 <= r.score <= 1 for r in scored)
+
+
 def check_packed(rows, texts):
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     ids = {k: np.array([*e.ids, 0], "<u4") for k, e in zip(texts, lib.encode_batch([t or "" for t in texts.values()], add_special_tokens=False), strict=True)}
@@ -196,6 +217,19 @@ def test_lm(spark, order, monkeypatch):
     assert stupid_backoff(df.limit(0)).collect() == []
 
 
+def test_count_tables(spark, monkeypatch):
+    import tidewater.llm.lm as m
+
+    monkeypatch.setattr(m, "BLOCK", 500)
+    texts = ODD + [" ".join(random.Random(i).choice("abcd") for _ in range(60)) for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    split = [[w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    got = m.count_tables(df, 3).collect()
+    for n in (1, 2, 3):
+        c = Counter(tuple(w[i : i + n]) for w in split for i in range(len(w) - n + 1))
+        assert sorted(r["count"] for r in got if r.n == n) == sorted(k for k in c.values() if k > 1)
+
+
 def vectors(spark):
     rng = np.random.default_rng(5)
     v = [x.tolist() for x in rng.standard_normal((1500, 16)) * 0.2]

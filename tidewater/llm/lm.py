@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from tidewater.llm.store import cut
@@ -125,6 +125,24 @@ def _score(order: int, backoff: float, least: int):
     return go
 
 
+COUNTS = "part long, n int, gram long, count long"
+
+
+def _asked(docs: DataFrame, order: int, id_col: str, text_col: str) -> tuple[GroupedData, GroupedData]:
+    """The documents by block, and the blocks' n-grams by hash range and length."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    blocks = 1 + size // BLOCK
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "doc_id", "text").groupBy("block")
+    return dealt, dealt.applyInArrow(_ask(order, max(0, (blocks - 1).bit_length())), REQUEST).groupBy("part", "n")
+
+
+def count_tables(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(part, n, gram, count) of the n-grams up to `order` that the corpus has more than once, partitioned by hash range; `gram` is
+    the hash's low 48 bits. Texts, ids and empty tables as in stupid_backoff."""
+    return _asked(docs, order, id_col, text_col)[1].applyInArrow(_count, COUNTS)
+
+
 def stupid_backoff(docs: DataFrame, order: int = 2, backoff: float = 0.4, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_unigram, score): each text's summed log score and how many words fell back to their own frequency.
 
@@ -134,13 +152,8 @@ def stupid_backoff(docs: DataFrame, order: int = 2, backoff: float = 0.4, least:
     scores 0 with n_words 0. Ids are integers; rows with a null id are left out, repeated rows count and are scored each,
     other columns are ignored, an empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = 1 + size // BLOCK
-    bits = max(0, (blocks - 1).bit_length())
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "doc_id", "text").groupBy("block")
-    asked = dealt.applyInArrow(_ask(order, bits), REQUEST).groupBy("part", "n")
-    counts = asked.applyInArrow(_count, "part long, n int, gram long, count long")  # hash-partitioned as the n-grams are: the join shuffles nothing more
+    dealt, asked = _asked(docs, order, id_col, text_col)
+    counts = asked.applyInArrow(_count, COUNTS)  # hash-partitioned as the n-grams are: the join shuffles nothing more
     told = asked.cogroup(counts.groupBy("part", "n")).applyInArrow(_answer, "part long, block long, n int, totals binary, wide boolean")
     out = cut(dealt.cogroup(told.groupBy("block")).applyInArrow(_score(order, backoff, least), "doc_id long, n_words long, micro long, n_unigram long"), "scores")
     total = out.agg(F.sum("n_words")).first()[0] or 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -16,8 +17,14 @@ from tidewater.llm.textkit import mix
 
 SIEVE = 1 << 25  # bits of a sieve
 
-#: Folders written by cut() in this process and not yet deleted.
-_made: list[str] = []
+_of_thread = threading.local()
+
+
+def made() -> list[str]:
+    """Folders written by cut() in this thread and not yet deleted."""
+    if not hasattr(_of_thread, "made"):
+        _of_thread.made = []
+    return _of_thread.made
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,7 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: lost executors cost no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    made().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -45,7 +52,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _made.remove(path)
+    made().remove(path)
 
 
 def _folders(df: DataFrame) -> set[str]:
@@ -57,7 +64,7 @@ def drop(*frames: DataFrame) -> None:
     """Deletes tables made by cut() that no later plan reads."""
     for df in frames:
         read = _folders(df)
-        for path in [p for p in _made if p.rsplit("/", 1)[-1] in read]:
+        for path in [p for p in made() if p.rsplit("/", 1)[-1] in read]:
             _delete(df.sparkSession, path)
 
 
@@ -66,10 +73,10 @@ def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @functools.wraps(f)
     def go(*args, **kwargs):
-        before = set(_made)
+        before = set(made())
         out = f(*args, **kwargs)
         read = _folders(out)
-        for path in [p for p in _made if p not in before and p.rsplit("/", 1)[-1] not in read]:
+        for path in [p for p in made() if p not in before and p.rsplit("/", 1)[-1] not in read]:
             _delete(out.sparkSession, path)
         return out
 
