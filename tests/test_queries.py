@@ -93,6 +93,13 @@ def test_windows_by_walk_and_over_batches(spark):
     assert got == want
 
 
+def test_shuffles(spark):
+    """How often rows are shuffled: once to their key's walk, once more by buffer."""
+    for name, most in (("dedup_first", 1), ("work_buffer", 1), ("work_buffer_reduce", 2), ("translate_ack_outcome", 2), ("cancel_filter", 2), ("buffer_fold", 2), ("recycle", 2), ("committable_offset", 4)):
+        plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= most, (name, plan)
+
+
 def test_dedup_over_batches(spark):
     import random
 

@@ -140,6 +140,7 @@ def work_buffers(works: DataFrame, config: WindowConfig = WORK_BUFFER) -> DataFr
 def with_relevance(buffers: DataFrame) -> DataFrame:
     """`relevance`: the highest rank that a work's marker has in its buffer; `kept`: whether the work survives cancelling."""
     rel = F.max("rank").over(Window.partitionBy("subject", "window", "marker"))
+    buffers = buffers.repartition("subject", "window")  # serves what is done by buffer afterwards as well
     return buffers.withColumn("relevance", rel).withColumn("kept", (F.col("relevance") != CANCEL) & (F.col("rank") != CANCEL))
 
 
