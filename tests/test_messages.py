@@ -190,3 +190,44 @@ def test_scheduling(spark):
     assert (n("IMMEDIATE"), n("SINGLE"), n("PARALLEL", 3)) == (6, 1, 3) and n("BOUNDED_ELASTIC", 10_000) == 80
     with pytest.raises(ValueError):
         envelope.scheduled(df, "OTHER")
+
+
+def test_murmur(spark):
+    from tidewater.functions import murmur
+    from tidewater.operators import grouping
+
+    known = {b"": 0, b"test": 0xBA6BD213, b"Hello, world!": 0xC0363E43, b"The quick brown fox jumps over the lazy dog": 0x2E4FF723}
+    assert [int(h) & 0xFFFFFFFF for h in murmur.hashes(list(known))] == list(known.values())
+    df = spark.createDataFrame([("a\u00e9\U0001f600",), (None,), ("null",)], "s string")
+    got = [r.h for r in df.select(murmur.murmur3_text(F.col("s")).alias("h")).collect()]
+    assert got == murmur.hashes(["a\u00e9\U0001f600".encode("utf-16-le"), "null".encode("utf-16-le")]).tolist() + got[1:2]
+    u = spark.createDataFrame([("01020304-0506-0708-090a-0b0c0d0e0f10",), (None,)], "u string")
+    assert [r.h for r in u.select(murmur.murmur3_uuid(F.col("u")).alias("h")).collect()] == murmur.hashes([bytes(range(1, 17)), bytes(16)]).tolist()
+    groups = spark.range(2000).select(grouping.murmur_group(F.col("id"), 16).alias("g")).groupBy("g").count().collect()
+    assert {r.g for r in groups} == set(range(16)) and max(r["count"] for r in groups) < 200
+    assert grouping.groups_or_default(3, spark) == 3 and grouping.groups_or_default(0, spark) == grouping.groups_or_default(None, spark) == spark.sparkContext.defaultParallelism
+
+
+def test_bodies_through_a_queue(spark, tmp_path):
+    from tidewater.sources import queue
+
+    spark.createDataFrame([("a",), ("b",)], "value string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("value string").parquet(f"{tmp_path}/in")
+    create = lambda v: messages.to_exchange(F.upper(v), "x", "k", message_id=F.concat(F.lit("id-"), v))
+    adapters.synchronous(lambda: queue.send_bodies(stream, f"{tmp_path}/q", f"{tmp_path}/ck", create).trigger(availableNow=True).start(), timedelta(seconds=60))
+    got = []
+    q = queue.consume(spark, f"{tmp_path}/q").writeStream.foreachBatch(lambda df, n: got.extend((r.topic, r.key, r.value) for r in df.collect())).option("checkpointLocation", f"{tmp_path}/ck2").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(got) == [("x/k", "id-a", "A"), ("x/k", "id-b", "B")]
+
+
+def test_progress_metrics():
+    from types import SimpleNamespace as N
+
+    from tidewater.streaming.pipeline import progress_metrics
+
+    p = N(name="q", sources=[N(description="s", metrics={"lag": "3", "state": "up"})])
+    tags = {"description": "s", "query": "q"}
+    assert progress_metrics(p, ["state"]) == [("source", "lag", tags, 3.0)] and progress_metrics(p, ["lag"], True) == [("source", "lag", tags, 3.0)]
+    assert [v for _, n, _, v in progress_metrics(p, ["lag"]) if n == "state"][0] != 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions.murmur import murmur3_text, murmur3_uuid
 from tidewater.operators.prefix import numbered
 
 
@@ -18,8 +19,12 @@ def hash_group(c: Column, n: int) -> Column:
 
 
 def murmur_group(c: Column, n: int) -> Column:
-    """abs(hash % n) with Spark's own 32-bit murmur3: as even, but other numbers than other implementations give."""
-    return F.abs(F.hash(F.coalesce(c.cast("string"), F.lit("null"))) % n)
+    """abs(hash % n) of a text's 32-bit murmur3; hashed in Python workers, where hash_group stays in the JVM."""
+    return F.abs(murmur3_text(c) % n)
+
+
+def murmur_uuid_group(c: Column, n: int) -> Column:
+    return F.abs(murmur3_uuid(c) % n)
 
 
 def uuid_group(c: Column, n: int) -> Column:

@@ -11,8 +11,9 @@ import itertools
 import json
 import os
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, SimpleDataSourceStreamReader, WriterCommitMessage
 
@@ -114,6 +115,17 @@ def consume_body(spark: SparkSession, path: str, most: int = 256) -> DataFrame:
     return consume(spark, path, most).where("value is not null").select("value", "seq")
 
 
+def send_bodies(bodies: DataFrame, path: str, checkpoint: str, create: Callable[[Column], Column]):
+    """A writer of a stream's `value` as messages, as `create` makes them of it: topic is the routing key, after the exchange and
+    a slash if it has a name."""
+    spark = bodies.sparkSession
+    spark.dataSource.register(QueueSource)
+    m = bodies.select(create(F.col("value")).alias("m")).select("m.*")
+    topic = F.when(F.col("exchange") == "", F.col("routing_key")).otherwise(F.concat_ws("/", "exchange", "routing_key"))
+    out = m.select(topic.alias("topic"), F.col("properties.message_id").alias("key"), F.col("body").cast("string").alias("value"), F.lit(0).cast("bigint").alias("seq"))
+    return out.writeStream.format("queue").option("path", path).option("checkpointLocation", checkpoint)
+
+
 def split_outcomes(batch: DataFrame, policy: str = "DISCARD") -> tuple[DataFrame, DataFrame]:
     """(acknowledged, negatively acknowledged) rows by `outcome`; the latter marked for the dead-letter queue or to go back."""
     if policy not in ("DISCARD", "REQUEUE"):

@@ -113,6 +113,21 @@ class MetricsListener(Listener):
             self.counts["errors"] += seen["errors"]
 
 
+def progress_metrics(progress: Any, names: list[str] = (), whitelist: bool = False) -> list[tuple[str, str, dict[str, str], float]]:
+    """(group, name, tags, value) of each number that a query's sources report; a list of names leaves them out, or lets only them
+    in. What is no number is NaN."""
+    out = []
+    for source in progress.sources:
+        for name, value in (source.metrics or {}).items():
+            if whitelist == (name in names):
+                try:
+                    number = float(value)
+                except ValueError:
+                    number = float("nan")
+                out.append(("source", name, {"description": source.description, "query": progress.name or ""}, number))
+    return out
+
+
 class Listening(StreamingQueryListener):
     """Tells listeners of one named query. Stopping it by `cancel` is CANCELED, its own end COMPLETED."""
 
