@@ -141,16 +141,28 @@ def _contexts(length: int):
 def _windows(length: int):
     """Each window of the parts as a part of its own: its digest in two halves, and its place in the part."""
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        sub, part, lo, dig = zip(*rows, strict=True)
+        n = [len(x) for x in dig]
+        dig = np.concatenate(dig)
+        cols = [np.repeat(np.array(sub, np.int64), n), np.repeat(np.array(part, np.int64), n), np.concatenate([np.arange(i, i + k) for i, k in zip(lo, n, strict=True)]), dig[:, 0], dig[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], ["sub", "part", "i", "w1", "w2"])
+
     def go(batches):
+        rows, held = [], 0
         for b in batches:
             for sub, part, ctx in zip(*(b.column(i) for i in range(3)), strict=True):
                 raw = memoryview(ctx.as_buffer())
                 n = len(raw) - length + 1
                 for lo in range(0, n, 1 << 15):
                     dig = b"".join(xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(lo, min(n, lo + (1 << 15))))
-                    dig = np.frombuffer(dig, "<i8").reshape(-1, 2)
-                    same = lambda x: pa.array(np.full(len(dig), x.as_py()))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([same(sub), same(part), pa.array(np.arange(lo, lo + len(dig))), pa.array(dig[:, 0]), pa.array(dig[:, 1])], ["sub", "part", "i", "w1", "w2"])
+                    rows.append((sub.as_py(), part.as_py(), lo, np.frombuffer(dig, "<i8").reshape(-1, 2)))
+                    held += len(rows[-1][3])
+                    if held >= 1 << 15:
+                        yield table(rows)
+                        rows, held = [], 0
+        if rows:
+            yield table(rows)
 
     return lambda batches: trimmed(go(batches))
 
