@@ -134,7 +134,7 @@ def _asked(docs: DataFrame, order: int, id_col: str, text_col: str) -> tuple[Gro
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = 1 + size // BLOCK
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "doc_id", "text").groupBy("block")
-    return dealt, dealt.applyInArrow(_ask(order, max(0, (blocks - 1).bit_length())), REQUEST).groupBy("part", "n")
+    return dealt, dealt.applyInArrow(_ask(order, 1 + (blocks - 1).bit_length()), REQUEST).groupBy("part", "n")
 
 
 def count_tables(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
