@@ -218,6 +218,18 @@ def test_blocks_of_positions(spark, monkeypatch):
         assert (whole[3][r[2]].settled_us, whole[3][r[2]].settled_as) == ((want[0], want[2]) if want else (None, None))
 
 
+def test_numbers_with_nulls(spark):
+    rows = [(g, us, i) for i, (g, us) in enumerate([("a", 5), ("a", None), ("a", 1), (None, 250), (None, 7), ("b", 99), (None, 7), ("a", -3), ("a", 205)])]
+    df = spark.createDataFrame(rows, "g string, us long, id long")
+    got = {r.id: r.n for r in prefix.numbered(df, "g", ["us", "id"], "n", 100).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))):
+            want[r[2]] = n
+    assert got == want
+    assert {r.id: r.out_us for r in qos.rate_limit(df.where("us is not null"), 1, "g", tie="id").collect()}.keys() == {0, 2, 3, 4, 5, 6, 7, 8}
+
+
 def test_rate_limit_over_blocks(spark, monkeypatch):
     import random
 

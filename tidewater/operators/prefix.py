@@ -15,21 +15,21 @@ DAY_US = 86_400_000_000
 
 
 def by_block(rows: DataFrame, group: str, pos: str, summary: dict[str, Column], merged: dict[str, Column], descending: bool = False) -> tuple[DataFrame, Window]:
-    """rows with `_b`, the block of their position, and what `merged` makes of the `summary` of all blocks before (after, if
-    descending); and the window up to a row within its block."""
-    x = rows.withColumn("_b", F.expr(f"`{pos}` div {BLOCK}"))
-    blocks = x.groupBy(group, "_b").agg(*(c.alias(n) for n, c in summary.items()))
+    """rows with `_b`, their group and the block of their position, and what `merged` makes of the `summary` of all blocks before
+    (after, if descending); and the window up to a row within its block. Null is a group like others."""
+    x = rows.withColumn("_b", F.struct(F.col(group).alias("group"), F.expr(f"`{pos}` div {BLOCK}").alias("n")))
+    blocks = x.groupBy("_b").agg(*(c.alias(n) for n, c in summary.items()))
     along = F.desc if descending else F.asc
-    before = Window.partitionBy(group).orderBy(along("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(group, "_b", *(c.over(before).alias(n) for n, c in merged.items()))
-    return x.join(blocks, [group, "_b"]), Window.partitionBy(group, "_b").orderBy(along(pos)).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("_b.group").orderBy(along("_b.n")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_b", *(c.over(before).alias(n) for n, c in merged.items()))
+    return x.join(blocks, "_b"), Window.partitionBy("_b").orderBy(along(pos)).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def numbered(df: DataFrame, group: str, order: list[str], name: str, span: int = DAY_US) -> DataFrame:
     """df with `name`, each row's place within its group, from 0, by `order`, whose first column is a whole number: what earlier
-    spans of that column hold, and the place in the row's own span."""
-    x = df.withColumn("_span", F.expr(f"`{order[0]}` div {span}"))
-    before = Window.partitionBy(group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    held = x.groupBy(group, "_span").agg(F.count("*").alias("_held")).select(group, "_span", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_held"))
-    own = F.row_number().over(Window.partitionBy(group, "_span").orderBy(*order)) - 1
-    return x.join(held, [group, "_span"]).withColumn(name, (F.col("_held") + own).cast("bigint")).drop("_span", "_held")
+    spans of that column hold, and the place in the row's own span. Null is a group like others, and comes first in order."""
+    x = df.withColumn("_span", F.struct(F.col(group).alias("group"), F.expr(f"`{order[0]}` div {span}").alias("n")))
+    before = Window.partitionBy("_span.group").orderBy("_span.n").rowsBetween(Window.unboundedPreceding, -1)
+    held = x.groupBy("_span").agg(F.count("*").alias("_held")).select("_span", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_held"))
+    own = F.row_number().over(Window.partitionBy("_span").orderBy(*order)) - 1
+    return x.join(held, "_span").withColumn(name, (F.col("_held") + own).cast("bigint")).drop("_span", "_held")
