@@ -130,6 +130,11 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(c, comp) of the classes that have links."""
+    return cut(components(links, "a", "b").select(F.col("node").alias("c"), "comp"), "components")
+
+
 @tidy
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, side: int = SIDE, rows: int = ROWS) -> DataFrame:
     """(doc_id, row, n_shingles, component_id): the classes of texts linked by Jaccard similarity of word shingles.
@@ -158,24 +163,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = cut(first, "first")
     pairs = cut(met.join(first, "key").where(f"c != a and 100 * least(size, za) >= {percent} * greatest(size, za)").select("a", F.col("c").alias("b")).distinct(), "pairs")
     drop(shared, found, first)
-    links, comp = _links(pairs, sets, percent), None
+    links = _links(pairs, sets, percent)
     drop(pairs)
-    for last in (False, True):
-        if links.limit(1).count():
-            comp = cut(components(links, "a", "b").select(F.col("node").alias("c"), "comp"), "components")
-        if last:
-            break
-        members = classes.select("c", "size", "sa", "sb")
-        members = members.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c")) if comp is not None else members.withColumn("comp", F.col("c"))
-        now = met.select("key", "c").join(members.select("c", "comp"), "c")
-        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        open_ = now.join(cut(mixed, "mixed"), "key", "left_semi").select("c").distinct()
-        members = cut(members.join(open_, "c", "left_semi"), "members")
-        links = links.unionByName(_links(_rest(members, sets, percent), sets, percent))
+    comp = _labels(links)
+    members = classes.select("c", "size", "sa", "sb").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    now = met.select("key", "c").join(members.select("c", "comp"), "c")
+    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    open_ = now.join(cut(mixed, "mixed"), "key", "left_semi").select("c").distinct()
+    members = cut(members.join(open_, "c", "left_semi"), "members")
+    more = _links(_rest(members, sets, percent), sets, percent)
+    if more.limit(1).count():
+        comp = _labels(links.unionByName(more))
     ends = classes.select("h1", "h2", "doc", "c")
-    if comp is not None:
-        least = classes.select("c", "doc").join(comp, "c").groupBy("comp").agg(F.min("doc").alias("least"))
-        ends = ends.join(comp.join(least, "comp").select("c", "least"), "c", "left").withColumn("doc", F.coalesce("least", "doc"))
+    least = classes.select("c", "doc").join(comp, "c").groupBy("comp").agg(F.min("doc").alias("least"))
+    ends = ends.join(comp.join(least, "comp").select("c", "least"), "c", "left").withColumn("doc", F.coalesce("least", "doc"))
     ends = cut(ends.select("h1", "h2", "doc").distinct(), "ends")
     out = sig.select("doc_id", "row", "n_shingles", "h1", "h2").join(ends, ["h1", "h2"], "left")
     return out.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("doc")).otherwise(F.col("doc_id")).alias("component_id"))
