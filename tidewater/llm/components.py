@@ -26,12 +26,12 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     was = state(now)
     while was[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low", 2 * was[0])
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = cut(large, "large")
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = cut(large, "large", 2 * was[0])
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least", 2 * was[0])
         small = large.join(least, "u").select(F.col("v").alias("a"), "m").where("a != m").select(F.col("a").alias("u"), F.col("m").alias("v"))
-        then = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        then = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small", 4 * was[0])
         drop(low, large, least, now)
         now, before, was = then, was, state(then)
         if was == before:
