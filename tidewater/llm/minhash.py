@@ -101,7 +101,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike."""
     full = pairs.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("y")), "b")
     same = full.select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("both"))
-    return cut(same.where(f"100 * same >= {percent} * (both - same)").select("a", "b"), "links", pairs.count(), SETS)
+    return cut(same.where(f"100 * same >= {percent} * (both - same)").select("a", "b"), "links", pairs.count() + sets.count(), SETS)
 
 
 def _fits(percent: int) -> str:
@@ -114,16 +114,16 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     elements = cut(sets.join(members.select("c"), "c", "left_semi").select("c", F.explode("shingles").alias("e")), "elements")
     rows = elements.count()
     # counts are written before they are joined: Spark can split a frequent shingle's rows only in a join of two plain shuffles
-    shared = cut(elements.groupBy("e").agg(F.count("*").alias("n")).where("n > 1"), "shared", rows // 2)
+    shared = cut(elements.groupBy("e").agg(F.count("*").alias("n")).where("n > 1"), "shared", rows)
     ranked = elements.join(shared, "e").groupBy("c").agg(F.sort_array(F.collect_set(F.struct("n", "e"))).alias("g"))
     ranked = ranked.join(members.select("c", "size", "comp"), "c").withColumn("alone", F.col("size") - F.size("g"))
     early = F.greatest(F.lit(0), F.expr(f"size - ceil({percent} * size / 100D) + 1 - alone")).cast("int")
     early = ranked.select("c", "size", "comp", "alone", F.posexplode(F.slice("g", 1, early)).alias("pos", "x"))
-    early = cut(early.select("c", "size", "comp", (F.col("alone") + F.col("pos") + 1).alias("pos"), F.col("x.e").alias("e")), "early", rows // 2)
+    early = cut(early.select("c", "size", "comp", (F.col("alone") + F.col("pos") + 1).alias("pos"), F.col("x.e").alias("e")), "early", rows)
     rows = early.count()
     main = early.groupBy("e", "comp").agg(F.count("*").alias("n")).groupBy("e").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
-    main = cut(main.where("comps > 1").select("e", "main"), "main", rows // 2)
-    mixed = cut(early.join(main, "e"), "mixed", rows)
+    main = cut(main.where("comps > 1").select("e", "main"), "main", rows)
+    mixed = cut(early.join(main, "e"), "mixed", 2 * rows)
     mixed = mixed.join(members.select("c", "sa", "sb"), "c")
     lead = mixed.where("comp != main").select("e", F.col("c").alias("a"), F.col("size").alias("za"), F.col("comp").alias("ca"), F.col("pos").alias("pa"), F.col("sa").alias("a1"), F.col("sb").alias("a2"))
     other = mixed.select("e", "main", F.col("c").alias("b"), F.col("size").alias("zb"), F.col("comp").alias("cb"), F.col("pos").alias("pb"), F.col("sa").alias("b1"), F.col("sb").alias("b2"))
@@ -157,15 +157,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = classes.select("c", F.posexplode("sa").alias("i", "x"), "sb").select("c", "i", "x", F.posexplode("sb").alias("j", "y")).select("c", F.xxhash64("i", "j", "x", "y").alias("key"))
     # what is known of a key is written before it is joined, so that a frequent key's rows can be split
     shared = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    keys_met, rows_met = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    found = cut(keys.join(shared, "key"), "met", rows_met)
-    often = cut(found.groupBy("c").agg(F.sum("n").alias("often")).join(classes.select("c", "doc", "size"), "c"), "often", rows_met // 2)
+    n_classes, rows_met = classes.count(), shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = cut(keys.join(shared, "key"), "met", side * side * n_classes)
+    often = cut(found.groupBy("c").agg(F.sum("n").alias("often")).join(classes.select("c", "doc", "size"), "c"), "often", rows_met + n_classes)
     some = often.count()
     met = cut(found.join(often, "c").select("key", "c", "often", "doc", "size"), "buckets", rows_met)
     wanted = sieve(often, "doc")
     sets = cut(docs.mapInArrow(_sets(shingle, wanted), "c long, shingles array<long>").join(often.select("c"), "c", "left_semi"), "sets", some, SETS)
     first = met.groupBy("key").agg(F.min(F.struct((-F.col("often")).alias("o"), "doc", F.col("c").alias("a"), F.col("size").alias("za"))).alias("f")).select("key", "f.a", "f.za")
-    first = cut(first, "first", keys_met)
+    first = cut(first, "first", rows_met)
     pairs = cut(met.join(first, "key").where(f"c != a and 100 * least(size, za) >= {percent} * greatest(size, za)").select("a", F.col("c").alias("b")).distinct(), "pairs", rows_met)
     drop(shared, found, first)
     links = _links(pairs, sets, percent)
@@ -174,15 +174,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = classes.select("c", "size", "sa", "sb").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     now = met.select("key", "c").join(members.select("c", "comp"), "c")
     mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = now.join(cut(mixed, "mixed", keys_met), "key", "left_semi").select("c").distinct()
-    members = cut(members.join(open_, "c", "left_semi"), "members", some)
+    open_ = now.join(cut(mixed, "mixed", rows_met), "key", "left_semi").select("c").distinct()
+    members = cut(members.join(open_, "c", "left_semi"), "members", n_classes)
     more = _links(_rest(members, sets, percent), sets, percent)
     if more.limit(1).count():
         comp = _labels(links.unionByName(more))
     ends = classes.select("h1", "h2", "doc", "c")
     least = classes.select("c", "doc").join(comp, "c").groupBy("comp").agg(F.min("doc").alias("least"))
     ends = ends.join(comp.join(least, "comp").select("c", "least"), "c", "left").withColumn("doc", F.coalesce("least", "doc"))
-    ends = cut(ends.select("h1", "h2", "doc").distinct(), "ends", classes.count())
+    ends = cut(ends.select("h1", "h2", "doc").distinct(), "ends", n_classes)
     out = sig.select("doc_id", "row", "n_shingles", "h1", "h2").join(ends, ["h1", "h2"], "left")
     return out.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("doc")).otherwise(F.col("doc_id")).alias("component_id"))
 

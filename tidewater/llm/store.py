@@ -44,8 +44,8 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str, rows: int | None = None, each: int = 200_000) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: lost executors cost no recomputation.
 
-    rows: a bound on df's rows, where one is known. Then no more tasks write than are needed for `each` rows a task, so that small
-    tables do not come in as many files as a shuffle has partitions; a large one's tasks stay as they are.
+    rows: how many rows the tasks that write read at most, where that is known. Then no more tasks write than are needed for `each` of
+    them a task, so that small tables do not come in as many files as a shuffle has partitions; large ones' tasks stay as they are.
     """
     if rows is not None:
         df = df.coalesce(1 + rows // each)

@@ -352,14 +352,14 @@ def _verdicts(contexts: DataFrame, length: int) -> DataFrame:
     alike = alike.join(subs, "sub")
     plain = alike.where("not apart and lone and not own")
     out = plain.where("many").select("sub", "part", F.lit(0).cast("long").alias("i"), F.col("n").alias("j"))
-    some = cut(alike.where("not (not apart and lone and not own)").join(hot.select("fp", "dig", "shift", "ctx"), ["fp", "dig", "shift"]).dropDuplicates(["sub", "part"]), "some", rows, 5_000)
+    some = cut(alike.where("not (not apart and lone and not own)").join(hot.select("fp", "dig", "shift", "ctx"), ["fp", "dig", "shift"]).dropDuplicates(["sub", "part"]), "some", 2 * rows, 5_000)
     cold = cold.unionByName(some.where("not apart").select(cold.columns))
     shards = 1 + (cold.agg(F.sum(F.col("n") + length)).first()[0] or 0) // SHARD
     out = out.unionByName(cold.withColumn("shard", F.pmod(F.xxhash64("sub"), F.lit(shards))).groupBy("shard").applyInPandas(_shard(length), VERDICT))
     apart = some.where("apart")
     out = out.unionByName(apart.where("many").select("sub", "part", F.lit(0).cast("long").alias("i"), F.col("n").alias("j")))
     single = cut(apart.select("sub", "part", "ctx").mapInArrow(_windows(length), "sub long, part long, i long, w1 long, w2 long"), "single")
-    again = cut(single.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2"), "again", single.count() // 2)
+    again = cut(single.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2"), "again", single.count())
     out = out.unionByName(single.join(again, ["w1", "w2"]).select("sub", "part", "i", (F.col("i") + 1).alias("j")))
     return cut(out, "verdicts")
 
