@@ -23,6 +23,9 @@ PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long
 NAMES = [x.split()[0] for x in PIECE.split(", ")]
 HELD = 4_000
 LONG = 1 << 20
+#: The characters that the vocabulary's expression takes as white space.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+BLANK = 1 << 14  # white space in a row from which it is cut out
 
 
 class Tokens:
@@ -42,8 +45,19 @@ class Tokens:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.border = re.compile(r"(?<=\S)(?= )")  # tokens never reach over one
+        self.special, self.blank = tuple(special), re.compile(f"[{WHITE}]{{{BLANK},}}")
 
     def __call__(self, text: str) -> np.ndarray:
+        """A long run of white space is a piece of its own: the expression would go back over it. Its last character belongs to
+        what follows, but for a special token or the end."""
+        parts, at = [], 0
+        for m in self.blank.finditer(text):
+            end = m.end() if m.end() == len(text) or text.startswith(self.special, m.end()) else m.end() - 1
+            parts += [self._plain(text[at : m.start()]), np.array(self.encoding._encode_single_piece(text[m.start() : end].encode()), "<u4")]
+            at = end
+        return np.concatenate([*parts, self._plain(text[at:])]) if parts else self._plain(text)
+
+    def _plain(self, text: str) -> np.ndarray:
         one = lambda x: np.array(self.encoding.encode(x, allowed_special="all"), "<u4")
         if len(text) <= LONG:
             return one(text)
