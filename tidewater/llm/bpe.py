@@ -335,6 +335,18 @@ def _decode(path: str):
     return go
 
 
+def _decode_given(path: str):
+    """As _decode, of rows (doc_id, given, ids): the text of `ids`, beside the ids that were given."""
+    decoded = _decode(path)
+
+    def go(batches):
+        for b in batches:
+            for x in decoded([b.select(["doc_id", "ids"])]):
+                yield pa.RecordBatch.from_arrays([x.column(0), b.column(1).field(0), x.column(2)], ["doc_id", "ids", "text"])
+
+    return go
+
+
 def _digest(path: str):
     """Encodes and decodes one after the other in one worker: two would take more memory than an executor has."""
     encoded, decoded = _encode(path), _decode(path)
@@ -352,16 +364,25 @@ def _digest(path: str):
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every whole text, null as empty.
 
-    Runs where the rows are, without a shuffle. The vocabulary file lies at `path` on every executor. Other columns are
-    ignored; an empty table gives no rows.
+    Runs where the rows are, without a shuffle. The vocabulary file lies at `path` on every executor. Rows are encoded each, repeated
+    ones alike; null ids are kept. Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return docs.mapInArrow(_encode(path), "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, text): the ids' texts, as decode() gives them. Null ids count as none; one that is not in the vocabulary is an error or gives null."""
-    return encoded.select("doc_id", F.col("ids").cast("array<int>")).mapInArrow(_decode(path), "doc_id long, ids array<int>, text string")
+    """(doc_id, ids, text): the ids' texts, as decode() gives them. Ids that the vocabulary does not have, as null and negative ones, are
+    passed over, as its own library does; a null list counts as an empty one. Rows are decoded each, repeated ones alike; null
+    doc_ids are kept."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    known = {*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"])}
+    gaps = [i for i in range(max(known)) if i not in known]
+    there = lambda i: i.isNotNull() & i.between(0, max(known)) & ~i.isin(gaps)
+    ids = F.filter(F.coalesce(F.col("ids").cast("array<int>"), F.array().cast("array<int>")), there)
+    text = encoded.select("doc_id", "ids", ids.alias("_known")).withColumn("ids", F.col("ids").cast("array<int>"))
+    return text.select("doc_id", F.struct("ids").alias("given"), F.col("_known").alias("ids")).mapInArrow(_decode_given(path), "doc_id long, ids array<int>, text string")
 
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
