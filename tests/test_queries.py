@@ -218,10 +218,14 @@ def test_blocks_of_positions(spark, monkeypatch):
         assert (whole[3][r[2]].settled_us, whole[3][r[2]].settled_as) == ((want[0], want[2]) if want else (None, None))
 
 
-def test_numbers_with_nulls(spark):
+@pytest.mark.parametrize("whole", [0, 1 << 20])
+def test_numbers_with_nulls(spark, monkeypatch, whole):
+    monkeypatch.setattr(prefix, "WHOLE", whole)
+    monkeypatch.setattr(prefix, "SPAN", 2)
+    monkeypatch.setattr(prefix, "BOUND", 1)
     rows = [(g, us, i) for i, (g, us) in enumerate([("a", 5), ("a", None), ("a", 1), (None, 250), (None, 7), ("b", 99), (None, 7), ("a", -3), ("a", 205)])]
     df = spark.createDataFrame(rows, "g string, us long, id long")
-    got = {r.id: r.n for r in prefix.numbered(df, "g", ["us", "id"], "n", 100).collect()}
+    got = {r.id: r.n for r in prefix.numbered(df, "g", ["us", "id"], "n").collect()}
     want = {}
     for g in ("a", "b", None):
         for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))):
@@ -230,6 +234,16 @@ def test_numbers_with_nulls(spark):
     assert {r.id: r.out_us for r in qos.rate_limit(df.where("us is not null"), 1, "g", tie="id").collect()}.keys() == {0, 2, 3, 4, 5, 6, 7, 8}
 
 
+def test_numbers_of_one_instant(spark, monkeypatch):
+    """All rows share a group and an instant: no task gets many more than a range's, and places are right."""
+    monkeypatch.setattr(prefix, "WHOLE", 0)
+    monkeypatch.setattr(prefix, "SPAN", 4000)
+    df = spark.range(100_000).select(F.lit(1).alias("g"), F.lit(7).alias("us"), F.xxhash64("id").alias("id"))
+    held = [r["count"] for r in prefix.spans(df, ["g", "us", "id"], 4000).groupBy("_span").count().collect()]
+    assert len(held) > 20 and max(held) < 3 * 4000
+    assert prefix.numbered(df, "g", ["us", "id"], "n").orderBy("id").agg(F.collect_list("n")).first()[0] == list(range(100_000))
+
+
 def test_rate_limit_over_blocks(spark, monkeypatch):
     import random
 

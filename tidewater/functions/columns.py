@@ -122,8 +122,9 @@ def born_encode(ms: Column) -> Column:
 
 
 def born_decode(b: Column) -> Column:
-    """Eight big-endian bytes as a number; any other length is none."""
-    return F.when(F.octet_length(b) == 8, F.conv(F.hex(b), 16, 10).cast("bigint"))
+    """Eight big-endian bytes as a signed number; any other length is none."""
+    half = lambda at: F.conv(F.hex(F.substring(b, at, 4)), 16, 10).cast("bigint")
+    return F.when(F.octet_length(b) == 8, F.shiftleft(half(1), 32).bitwiseOR(half(5)))
 
 
 def to_json(c: Column) -> Column:

@@ -180,10 +180,11 @@ def translate_buffers(buffers: DataFrame) -> DataFrame:
 
 
 def recyclable(now_ms: Column, expiration_ms: int, max_count: int | None, unrecyclable: list[str], error: Column) -> Column:
-    """Whether a failed work may go round again: not too old (0: no limit), not too often, and its error's very class not ruled out."""
+    """Whether a failed work may go round again: not too old (0: no limit), not too often, and its error's very class not ruled out; an
+    error that is not known rules nothing out."""
     old = F.lit(False) if expiration_ms == 0 else (now_ms - F.col("inception_ms") > expiration_ms)
     often = F.lit(False) if max_count is None else F.col("recycle_count") > max_count
-    return ~old & ~often & ~error.isin(unrecyclable)
+    return ~old & ~often & ~F.coalesce(error.isin(unrecyclable), F.lit(False))
 
 
 def recycle(failed: DataFrame) -> DataFrame:

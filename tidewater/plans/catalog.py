@@ -15,7 +15,8 @@ from tidewater.functions import translation as T
 from tidewater.functions.model import WindowConfig
 from tidewater.operators import ack, envelope, grouping, prefix, qos, windows
 from tidewater.plans import views as V
-from tidewater.sources import kafka, messages, topics
+from tidewater.sources import kafka, messages, queue, topics
+from tidewater.streaming.pipeline import outcome_counts
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -317,8 +318,14 @@ def auto_ack_last(s, d):
 
 @query("select event_id, case when outcome = 'NACK' then case when event_id % 2 = 0 then 'DISCARD' else 'REQUEUE' end else 'ACK' end as action from completions where done_us is not null")
 def nack_policy(s, d):
+    """Half of the messages come by a source that discards what is refused, half by one that puts it back."""
     c = V.completions(s, d).where("done_us is not null")
-    return c.select("event_id", F.when(F.col("outcome") == "NACK", F.when(F.col("event_id") % 2 == 0, "DISCARD").otherwise("REQUEUE")).otherwise("ACK").alias("action"))
+    out = []
+    for policy, mine in (("DISCARD", F.col("event_id") % 2 == 0), ("REQUEUE", F.col("event_id") % 2 != 0)):
+        good, bad = queue.split_outcomes(c.where(mine), policy)
+        action = F.when(F.col("target") == "dead-letter", "DISCARD").otherwise("REQUEUE")
+        out += [good.select("event_id", F.lit("ACK").alias("action")), bad.select("event_id", action.alias("action"))]
+    return envelope.concat(*out).drop("stream")
 
 
 @query("""select r.event_id, case when c.done_us is null then 'OPEN' when c.outcome = 'NACK' then 'NACK' else 'ACK' end as status,
@@ -584,8 +591,7 @@ def born_roundtrip(s, d):
 # metrics and tracing
 @query("select value as name, count(*) filter (where outcome = 'ACK') as items, count(*) filter (where outcome = 'NACK') as errors from completions join records using (event_id) group by value")
 def metrics_items_errors(s, d):
-    r = V.records(s, d).withColumn("outcome", F.when(F.col("value") == "error", "NACK").otherwise("ACK"))
-    return r.groupBy(F.col("value").alias("name")).agg(F.count_if(F.col("outcome") == "ACK").alias("items"), F.count_if(F.col("outcome") == "NACK").alias("errors"))
+    return V.events(s, d).groupBy(F.col("event_type").alias("name")).agg(*outcome_counts(F.col("event_type") == "error"))
 
 
 @query("select key, case when max_by(value, (us, event_id)) = 'error' then max(us) // 1000 end as error_ms from records group by key")
@@ -719,12 +725,10 @@ def concat_streams(s, d):
 
 @query("select key, event_id, row_number() over (order by key, off, part) as pos from records where value = 'signup'")
 def sorted_records(s, d):
-    """Sorted by ranges; positions come from the order, so each row is numbered where it lies, after the rows of earlier ranges."""
+    """Positions in the order of all rows, counted range by range of that order."""
     r = V.records(s, d).where("value = 'signup'").withColumn("all", F.lit(0))
-    w = Window.partitionBy("key").orderBy("off", "part")
-    before = Window.partitionBy("all").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    held = r.groupBy("all", "key").agg(F.count("*").alias("n")).select("key", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"))
-    return r.join(held, "key").select("key", "event_id", (F.col("n") + F.row_number().over(w)).alias("pos"))
+    x = prefix.numbered(r, "all", ["key", "off", "part"], "pos")
+    return x.select("key", "event_id", (F.col("pos") + 1).alias("pos"))
 
 
 @query("""with u as (select event_id, md5(event_id::varchar) as h from ev), x as (select event_id, xor(xor(('0x' || substr(h, 1, 8))::bigint, ('0x' || substr(h, 9, 8))::bigint), xor(('0x' || substr(h, 17, 8))::bigint, ('0x' || substr(h, 25, 8))::bigint)) as x from u)
@@ -742,9 +746,9 @@ def static_routing_key(s, d):
 
 @query("select event_type as name, count(*) as n, sum(k)::bigint as total from ev group by event_type")
 def scheduled_pipeline(s, d):
-    """Where rows are worked on changes no result."""
-    e = envelope.scheduled(envelope.scheduled(V.events(s, d), "BOUNDED_ELASTIC", 4), "SINGLE")
-    return e.groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"), F.sum("k").alias("total"))
+    """Where rows are worked on changes no result; only what is summed up goes to a single task."""
+    e = envelope.scheduled(V.events(s, d), "BOUNDED_ELASTIC", 4)
+    return envelope.scheduled(e.groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"), F.sum("k").alias("total")), "SINGLE")
 
 
 @query(_ORDERED + """, m as (select event_id, x[1] as executed_us from (select event_id, min(case when done_us is not null then [done_us, event_id] end) over (partition by part order by off rows between current row and unbounded following) as x from completions))
@@ -787,10 +791,14 @@ def activity_at_the_end(s, d):
     return qos.inactivity(V.records(s, d), "key", 12 * 3_600_000_000, 3_600_000_000, until_us=1_893_456_000_000_000)
 
 
-@query("select value + 1 as value, 'w' || value::varchar as word from (select unnest(range(1000)) as value)")
+@query("""with l as (select unnest(range(6)) as pos, unnest(['view', 'click', 'none', 'purchase', 'signup', 'error']) as word)
+select pos + 1 as value, word, count(event_id) as n from l left join ev on event_type = word group by all""")
 def literal_sources(s, d):
-    words = topics.literals(s, [f"w{i}" for i in range(1000)])
-    return topics.ranged(s, 1, 1000).join(words.select((F.col("pos") + 1).alias("value"), F.col("value").alias("word")), "value")
+    """Literal words, numbered by a range, with how many events have each as their type."""
+    words = topics.literals(s, ["view", "click", "none", "purchase", "signup", "error"])
+    words = topics.ranged(s, 1, 6).join(words.select((F.col("pos") + 1).alias("value"), F.col("value").alias("word")), "value")
+    n = V.events(s, d).groupBy(F.col("event_type").alias("word")).agg(F.count("*").alias("n"))
+    return words.join(n, "word", "left").select("value", "word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # Avro

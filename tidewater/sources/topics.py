@@ -13,20 +13,21 @@ class Topic:
     """Every subscriber gets every element that is sent after it subscribed; the first also what was sent before.
 
     Elements are written under the topic's folder, in a store that all executors share, so a query that restarts from its
-    checkpoint reads them again.
+    checkpoint reads them again. Sends are numbered, one after another, and the folder keeps the numbers: an application that
+    starts again counts on, and its later subscribers get nothing old.
     """
 
     def __init__(self, spark: SparkSession, name: str, folder: str, schema: str):
         self.spark, self.name, self.path, self.schema = spark, name, f"{folder.rstrip('/')}/{name}", schema
-        self._sent, self._subscribers, self._lock = 0, 0, threading.Lock()
+        self._subscribers, self._lock = 0, threading.Lock()
         spark.createDataFrame([], schema).withColumn("_sent", F.lit(0)).write.mode("append").parquet(self.path)
+        self._sent = spark.read.schema(f"{schema}, _sent int").parquet(self.path).agg(F.max("_sent")).first()[0] or 0
 
     def send(self, df: DataFrame, batch_id: int | None = None) -> None:
         """Sends a batch; fits foreachBatch."""
-        with self._lock:
+        with self._lock:  # who subscribes meanwhile comes after it
+            df.withColumn("_sent", F.lit(self._sent + 1)).write.mode("append").parquet(self.path)
             self._sent += 1
-            sent = self._sent
-        df.withColumn("_sent", F.lit(sent)).write.mode("append").parquet(self.path)
 
     def receive(self) -> DataFrame:
         """A stream of the elements for a new subscriber."""

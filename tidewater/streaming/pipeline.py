@@ -7,7 +7,7 @@ import threading
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -166,7 +166,12 @@ class Listening(StreamingQueryListener):
             self._tell(state, event.exception or state)
 
 
+def outcome_counts(failed: Column) -> tuple[Column, Column]:
+    """The aggregates `items`, of what did not fail, and `errors`."""
+    return F.count_if(~failed).alias("items"), F.count_if(failed).alias("errors")
+
+
 def observed(df: DataFrame, name: str, error: str = "error") -> DataFrame:
-    """df with counts of its items and errors reported as the observation `name`."""
-    bad = F.count_if(F.col(error).isNotNull()) if error in df.columns else F.count(F.lit(None))
-    return df.observe(name, F.count(F.lit(1)).alias("items"), bad.alias("errors"))
+    """df with counts of all its items and of those with an error reported as the observation `name`."""
+    bad = F.col(error).isNotNull() if error in df.columns else F.lit(False)
+    return df.observe(name, F.count(F.lit(1)).alias("items"), outcome_counts(bad)[1])
