@@ -267,12 +267,11 @@ def test_packets(spark, monkeypatch):
     assert sorted(tuple(r) for r in exact_top_k(df).collect()) == whole[0]
     assert sorted(tuple(r) for r in near_neighbours(df).collect()) == whole[1]
 
-    def sizes(key, rows, queries):
+    def sizes(rows, queries):
         n = queries.num_rows
-        return queries.select(["vec_id"]).rename_columns(["query_id"]).append_column("vec_id", [[rows.num_rows] * n]).append_column("score", [[n] * n])
+        return queries["vec_id"].to_numpy(), np.full(n, rows.num_rows), np.full(n, n)
 
-    monkeypatch.setattr(m, "BLOCK", 200)
-    met = m._search(df, 100, 1000, sizes, "long", "vec_id", "embedding", False).collect()
+    met = m._search(df, 100, 1000, sizes, "long", "vec_id", "embedding", False, 200).collect()
     assert max(r.score for r in met) <= 2 * 4 and max(r.vec_id for r in met) <= 2 * 200
     assert {r.query_id: sum(x.vec_id for x in met if x.query_id == r.query_id) for r in met} == {i: len(usable(v, True)) for i in range(0, 1500, 100)}
 

@@ -1,23 +1,26 @@
 """Searches in tables of vectors: the exact top k by branch and bound, and near neighbours by stable projections.
 
-Both deal the candidates into blocks and the queries into packets, and every block meets every packet in a task of its own; a
-block answers a query with its own best k, and the best of these are the result. So no task gathers more than about one block
-and one packet, or k answers a block for a query. For that each vector is shuffled once a packet, each query once a block.
+Both deal the candidates into blocks, once, and write them; a packet of the queries, of bounded size, is broadcast and passes by all
+blocks where they lie; a block answers a query with its own best k, and the best of these are the result. So no task gathers more than
+about one block and one packet, or k answers a block for a query. Each vector is shuffled once and read once a packet; what is
+computed still grows with vectors times queries, as every query is asked of every block.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.store import cut
 
 #: Rows at most, on average, in a block of candidates and in a packet of queries; fewer where vectors are long.
-BLOCK, PACKET, NEAR_BLOCK = 8192, 8192, 32768
+BLOCK, PACKET, NEAR_BLOCK = 8192, 65536, 32768
 BYTES = 32 << 20
 
 
@@ -37,30 +40,45 @@ def _vectors(rows: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> DataF
     return v.select("vec_id", F.size("vec").alias("dim"), "vec")
 
 
-def _one_each(rows: pa.Table) -> pa.Table:
-    """One row of each id, the one with the least vector."""
-    ids = rows.column("vec_id").to_numpy()
-    if len(np.unique(ids)) == len(ids):
-        return rows
-    vec = _matrix(rows.column("vec"))
-    order = np.lexsort((*vec.T[::-1], ids))
-    return rows.take(order[np.append(True, ids[order][1:] != ids[order][:-1])])
-
-
-def _search(rows: DataFrame, every: int, k: int, work, kind: str, id_col: str, vec_col: str, nonzero: bool, block: int | None = None) -> DataFrame:
-    v = cut(_vectors(rows, id_col, vec_col, nonzero), "vectors")
-    asked = v.where(F.col("vec_id") % every == 0)
-    n, of, dim = v.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.max("dim")).first()
+def _search(rows: DataFrame, every: int, k: int, work, kind: str, id_col: str, vec_col: str, nonzero: bool, block: int) -> DataFrame:
+    """work(rows, queries) gives (query ids, vector ids, scores) of a block's best for a packet of queries, as arrays."""
+    v = _vectors(rows, id_col, vec_col, nonzero)
+    n, dim = v.agg(F.count("*"), F.max("dim")).first()
     most = max(1, BYTES // (8 * (dim or 1)))
-    blocks, packets = 1 + n // min(block or BLOCK, most), 1 + of // min(PACKET, most)
-    deal = lambda df, name, n: df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n)))
-    each = lambda df, name, n: df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    mine = each(deal(v, "block", blocks), "packet", packets)
-    sent = each(deal(asked, "packet", packets), "block", blocks)
-    key = ["dim", "block", "packet"]
-    found = mine.groupBy(key).cogroup(sent.groupBy(key)).applyInArrow(work, f"query_id long, vec_id long, score {kind}")
+    most = min(block, most)
+    v = v.groupBy("vec_id", "dim").agg(F.min("vec").alias("vec"))  # one row of each id, the one with the least vector
+    v = cut(v.repartition(1 + n // most), "vectors")
+    asked = v.where(F.col("vec_id") % every == 0)
+    packets = 1 + asked.count() // min(PACKET, max(1, BYTES // (8 * (dim or 1))))
+    names = ["query_id", "vec_id", "score"]
+    kinds = [pa.int64(), pa.int64(), pa.int64() if kind == "long" else pa.float64()]
+    found = []
+    for p in range(packets):
+        packet = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(packets)) == p).toArrow()
+        sent = rows.sparkSession.sparkContext.broadcast({d.as_py(): packet.filter(pc.equal(packet["dim"], d)) for d in pc.unique(packet["dim"])})
+
+        def answers(held: list[pa.RecordBatch], sent=sent):
+            block = pa.Table.from_batches(held)
+            for d in pc.unique(block["dim"]).to_pylist():
+                if d in sent.value:
+                    got = work(block.filter(pc.equal(block["dim"], d)), sent.value[d])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x), t) for x, t in zip(got, kinds, strict=True)], names)
+
+        def go(batches, answers=answers):
+            held, size = [], 0
+            for b in batches:
+                held, size = [*held, b], size + b.num_rows
+                if size >= most:
+                    yield from answers(held)
+                    held, size = [], 0
+            if size:
+                yield from answers(held)
+
+        best = v.mapInArrow(go, f"query_id long, vec_id long, score {kind}")
+        found.append(cut(best, "found") if packets > 1 else best)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    all_ = functools.reduce(DataFrame.unionByName, found)
+    return all_.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def branch_and_bound(columns: np.ndarray, rest: np.ndarray, query: np.ndarray, k: int, skip: int, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -87,24 +105,20 @@ def branch_and_bound(columns: np.ndarray, rest: np.ndarray, query: np.ndarray, k
 
 
 def _top(k: int, step: int = 8):
-    def go(key, rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64)] * 3
-        if rows.num_rows and queries.num_rows:
-            rows, queries = _one_each(rows), _one_each(queries)
-            ids, asked = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
-            x, q = (np.floor(1024 * _matrix(t.column("vec"))) for t in (rows, queries))
-            columns = np.ascontiguousarray(x.T)
-            rest = [np.linalg.norm(columns[lo:], axis=0) for lo in range(0, x.shape[1], step)]
-            place = {i: j for j, i in enumerate(ids.tolist())}
-            got = []
-            for i, query in zip(asked.tolist(), q, strict=True):
-                live, total = branch_and_bound(columns, rest, query, k, place.get(i, -1), step)
-                best = np.lexsort((ids[live], -total))[:k]
-                got.append((np.full(len(best), i), ids[live[best]], np.rint(total[best]).astype(np.int64)))
-            out = [np.concatenate(z) for z in zip(*got, strict=True)]
-        return pa.table([pa.array(z.astype(np.int64)) for z in out], names=["query_id", "vec_id", "score"])
-
-    return go
+    def work(rows: pa.Table, queries: pa.Table) -> tuple:
+        ids, asked = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
+        x, q = (np.floor(1024 * _matrix(t.column("vec"))) for t in (rows, queries))
+        columns = np.ascontiguousarray(x.T)
+        rest = [np.linalg.norm(columns[lo:], axis=0) for lo in range(0, x.shape[1], step)]
+        place = {i: j for j, i in enumerate(ids.tolist())}
+        got = [(np.zeros(0, np.int64),) * 3]
+        for i, query in zip(asked.tolist(), q, strict=True):
+            live, total = branch_and_bound(columns, rest, query, k, place.get(i, -1), step)
+            best = np.lexsort((ids[live], -total))[:k]
+            got.append((np.full(len(best), i), ids[live[best]], np.rint(total[best]).astype(np.int64)))
+        return tuple(np.concatenate(z) for z in zip(*got, strict=True))
+
+    return work
 
 
 def exact_top_k(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -114,7 +128,7 @@ def exact_top_k(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "v
     and non-finite vectors, and rows with a null id, take no part. Of rows with one id and length, that with the least vector
     counts. Sums are exact up to 2**53. Other columns are ignored; an empty table gives no rows, a lone query none either.
     """
-    return _search(rows, every, k, _top(k), "long", id_col, vec_col, False)
+    return _search(rows, every, k, _top(k), "long", id_col, vec_col, False, BLOCK)
 
 
 def chi_square(x: float, m: int) -> float:
@@ -179,6 +193,8 @@ def nearest_by_cosine(tree: KdTree, raw: np.ndarray, norm: np.ndarray, ids: np.n
     for reach, batch in tree.nearest(low):
         batch = batch[ids[batch] != own]
         seen += len(batch)
+        if len(best_s) == k:  # by one product; what may be among the best is computed by rows
+            batch = batch[(raw[batch] @ full) / (norm[batch] * size) >= best_s[-1] - 1e-9]
         s = (raw[batch] * full).sum(1) / (norm[batch] * size)  # not @: equal vectors get equal cosines wherever they lie
         if len(best_s) == k:
             batch, s = batch[s >= best_s[-1]], s[s >= best_s[-1]]
@@ -197,21 +213,17 @@ def projected(x: np.ndarray, m: int, seed: int) -> np.ndarray:
 
 
 def _near(k: int, m: int, sure: float, seed: int):
-    def go(key, rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if rows.num_rows and queries.num_rows:
-            rows, queries = _one_each(rows), _one_each(queries)
-            ids, asked = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
-            raw, raw_q = _matrix(rows.column("vec")), _matrix(queries.column("vec"))
-            norm, norm_q = (np.sqrt((z * z).sum(1)) for z in (raw, raw_q))
-            tree, got = KdTree(projected(raw / norm[:, None], m, seed)), []
-            for i, full, low in zip(asked.tolist(), raw_q, projected(raw_q / norm_q[:, None], m, seed), strict=True):
-                best_i, best_s, _ = nearest_by_cosine(tree, raw, norm, ids, i, full, low, k, m, sure)
-                got.append((np.full(len(best_i), i), best_i, best_s))
-            out = [np.concatenate(z) for z in zip(*got, strict=True)]
-        return pa.table([pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(out[2].astype(np.float64))], names=["query_id", "vec_id", "score"])
-
-    return go
+    def work(rows: pa.Table, queries: pa.Table) -> tuple:
+        ids, asked = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
+        raw, raw_q = _matrix(rows.column("vec")), _matrix(queries.column("vec"))
+        norm, norm_q = (np.sqrt((z * z).sum(1)) for z in (raw, raw_q))
+        tree, got = KdTree(projected(raw / norm[:, None], m, seed)), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i, full, low in zip(asked.tolist(), raw_q, projected(raw_q / norm_q[:, None], m, seed), strict=True):
+            best_i, best_s, _ = nearest_by_cosine(tree, raw, norm, ids, i, full, low, k, m, sure)
+            got.append((np.full(len(best_i), i), best_i, best_s))
+        return tuple(np.concatenate(z) for z in zip(*got, strict=True))
+
+    return work
 
 
 def near_neighbours(rows: DataFrame, k: int = 5, every: int = 50, m: int = 24, sure: float = 0.9, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
