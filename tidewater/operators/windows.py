@@ -179,11 +179,12 @@ def translate_buffers(buffers: DataFrame) -> DataFrame:
     return x.select("subject", "window", F.col("w.event_id").alias("winner"), state.alias("state"), fate.alias("fate"), "n", "n_kept")
 
 
-def recyclable(now_ms: Column, expiration_ms: int, max_count: int | None, unrecyclable: list[str], error: Column) -> Column:
+def recyclable(now_ms: Column, expiration_ms: int, max_count: int | None, unrecyclable: list[str], error: Column, count: Column | None = None) -> Column:
     """Whether a failed work may go round again: not too old (0: no limit), not too often, and its error's very class not ruled out; an
-    error that is not known rules nothing out."""
+    error that is not known rules nothing out. count: how often it went round, by default its recycle_count."""
+    count = F.col("recycle_count") if count is None else count
     old = F.lit(False) if expiration_ms == 0 else (now_ms - F.col("inception_ms") > expiration_ms)
-    often = F.lit(False) if max_count is None else F.col("recycle_count") > max_count
+    often = F.lit(False) if max_count is None else count > max_count
     return ~old & ~often & ~F.coalesce(error.isin(unrecyclable), F.lit(False))
 
 
@@ -192,6 +193,28 @@ def recycle(failed: DataFrame) -> DataFrame:
     return failed.withColumns({"type": F.lit("RETRY"), "recycle_count": F.col("recycle_count") + 1})
 
 
+def attempts(works: DataFrame, error_at: Callable[[Column], Column], now_ms: Column, expiration_ms: int, max_count: int, unrecyclable: list[str]) -> DataFrame:
+    """A row for each time that a work is tried until it is done or dropped: its columns with the type and recycle_count of that time,
+    `error` and `outcome` (DONE, RECYCLED or DROPPED).
+
+    error_at says of a count what the try ends with, null for success. A work that goes round is published again as a RETRY with one
+    count more. At most max_count + 2 tries of a work lie in a row on the way; nothing is shuffled.
+    """
+    counts = F.sequence(F.col("recycle_count"), F.greatest("recycle_count", F.lit(max_count + 1)))
+
+    def tried(count: Column) -> Column:
+        error = error_at(count)
+        may = recyclable(now_ms, expiration_ms, max_count, unrecyclable, error, count)
+        outcome = F.when(error.isNull(), "DONE").when(may, "RECYCLED").otherwise("DROPPED")
+        return F.struct(count.alias("recycle_count"), error.alias("error"), outcome.alias("outcome"))
+
+    x = works.withColumn("_tries", F.transform(counts, tried)).withColumn("_first", F.col("recycle_count"))
+    last = F.array_position(F.transform("_tries", lambda t: t["outcome"] == "RECYCLED"), F.lit(False))
+    x = x.withColumn("_t", F.explode(F.slice("_tries", F.lit(1), last.cast("int"))))
+    kind = F.when(F.col("_t.recycle_count") == F.col("_first"), F.col("type")).otherwise("RETRY")
+    return x.withColumns({"type": kind, "recycle_count": F.col("_t.recycle_count"), "error": F.col("_t.error"), "outcome": F.col("_t.outcome")}).drop("_tries", "_first", "_t")
+
+
 def fetch_prepare(works: DataFrame, source: DataFrame, subject: str, key: str) -> DataFrame:
     """Works with the fetched row's columns, and `fetched`; Spark broadcasts the source only if it is small enough."""
     s = source.withColumn("_hit", F.lit(True))

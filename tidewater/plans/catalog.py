@@ -221,6 +221,29 @@ def recycle_drop(s, d):
     return _failed(s, d).where("not ok").select("event_id", "error", "recycle_count")
 
 
+_LATE_MS, _MOST = 20 * DAYS, 10
+
+
+def _try_error(count):
+    """What a work's try ends with: most fail, an eleventh or so of them for good."""
+    return F.when((F.col("k") * 7 + count * 5) % 11 < 9, F.concat(F.lit("E"), (F.col("k") % 7).cast("string")))
+
+
+@query(f"""with w as (select works.*, k, (select max(us) // 1000 from ev) as now_ms from works join (select event_id, k from ev) using (event_id)),
+a(event_id, k, inception_ms, now_ms, type, recycle_count) as (select event_id, k, inception_ms, now_ms, type, recycle_count from w
+ union all select event_id, k, inception_ms, now_ms, 'RETRY', recycle_count + 1 from a
+ where (k * 7 + recycle_count * 5) % 11 < 9 and k % 7 <> 1 and not (now_ms - inception_ms > {_LATE_MS}) and not (recycle_count > {_MOST}))
+select event_id, type, recycle_count, case when fails then 'E' || (k % 7)::varchar end as error,
+ case when not fails then 'DONE' when k % 7 = 1 or now_ms - inception_ms > {_LATE_MS} or recycle_count > {_MOST} then 'DROPPED' else 'RECYCLED' end as outcome
+from (select *, (k * 7 + recycle_count * 5) % 11 < 9 as fails from a)""", True)
+def recycle_attempts(s, d):
+    """Failed works go round until they succeed, are too old, too often, or fail for a reason that rules it out."""
+    now_ms = V.events(s, d).agg(F.expr("max(us) div 1000")).first()[0]
+    w = V.works(s, d).join(V.events(s, d).select("event_id", "k"), "event_id")
+    x = windows.attempts(w, _try_error, F.lit(now_ms).cast("bigint"), _LATE_MS, _MOST, ["E1"])
+    return x.select("event_id", "type", "recycle_count", "error", "outcome")
+
+
 # acknowledgement
 _ORD = "rows between unbounded preceding and current row"
 _ORDERED = f"with o as (select *, case when count(*) filter (where done_us is null) over w = 0 then max(done_us) over w end as drained_us from completions window w as (partition by part order by off {_ORD}))"
