@@ -13,7 +13,7 @@ from tidewater.functions import avro
 from tidewater.functions import columns as C
 from tidewater.functions import translation as T
 from tidewater.functions.model import WindowConfig
-from tidewater.operators import ack, envelope, grouping, prefix, qos, windows
+from tidewater.operators import ack, envelope, grouping, prefix, publishing, qos, tracing, windows
 from tidewater.plans import views as V
 from tidewater.sources import kafka, messages, queue, topics
 from tidewater.streaming.pipeline import outcome_counts
@@ -630,6 +630,66 @@ def span_events(s, d):
     return envelope.span_events(c, "event_id", [("start", F.col("us")), ("map", F.col("us")), (end, F.col("done_us"))])
 
 
+@query("""with r as (select event_id, us, k, done_us, outcome from records join completions using (event_id, part, off, us)),
+c as (select event_id, i, us + i as start_us, case when (event_id + i) % 29 <> 0 then us + (event_id * 31 + i * 17) % 53 * 1000000 end as done_us, case when (event_id + i) % 23 = 0 then 'NACK' else 'ACK' end as outcome
+ from (select event_id, us, unnest(range(k % 4)) as i from r)),
+f as (select event_id, count(*) as n, count(done_us) as n_done, min(done_us) filter (where outcome = 'NACK') as nack_us, max(done_us) as last_us from c group by event_id),
+t(depth, event_id, trace_id, span_id, parent_id, name, start_us, end_us, error) as (
+ select 0, event_id, md5('events/' || event_id::varchar), md5(md5('events/' || event_id::varchar) || '/produce/0'), null::varchar, 'produce', us, us, null::varchar from r
+ union all
+ select x.depth + 1, x.event_id, x.trace_id, md5(x.span_id || '/' || n.name || '/' || n.i::varchar), x.span_id, n.name, n.start_us, n.end_us, n.error from t x join (
+  select 0 as depth, event_id, 'consume' as name, 0 as i, us as start_us, case when f.n is null then us when nack_us is not null then nack_us when n_done = f.n then last_us end as end_us, case when nack_us is not null then 'child failed' end as error from r left join f using (event_id)
+  union all select 1, event_id, 'mapToMany', i, start_us, done_us, case when done_us is not null and outcome = 'NACK' then 'refused' end from c) n on n.depth = x.depth and n.event_id = x.event_id)
+select trace_id, span_id, parent_id, name, start_us, end_us, error from t""", True)
+def span_tree(s, d):
+    """Records are produced and consumed under one trace, by their headers; what they are mapped to has child spans, and the
+    consumer's span ends when all of those have, or with the first that fails."""
+    r = V.records(s, d).select("event_id", "us", "k", "headers")
+    made = tracing.begun(r, "produce", F.concat(F.lit("events/"), "event_id"), F.col("us"))
+    sent = made.withColumn("headers", tracing.injected(F.col("headers"), F.col("span")))
+    got = tracing.begun(sent, "consume", F.col("event_id"), F.col("us"))
+    ch = got.where("k % 4 > 0").withColumn("i", F.explode(F.expr("sequence(0, k % 4 - 1)")))
+    ch = tracing.child(ch, "mapToMany", F.col("i"), F.col("us") + F.col("i"))
+    ch = ch.withColumn("done_us", F.when((F.col("event_id") + F.col("i")) % 29 != 0, F.col("us") + (F.col("event_id") * 31 + F.col("i") * 17) % 53 * 1_000_000))
+    ch = ch.withColumn("outcome", F.when((F.col("event_id") + F.col("i")) % 23 == 0, "NACK").otherwise("ACK"))
+    ends = ack.flatten(ch.select("event_id", "done_us", "outcome"), "event_id", r.select("event_id", "us")).select("event_id", "status", "status_us")
+    refused = F.when(F.col("done_us").isNotNull() & (F.col("outcome") == "NACK"), "refused")
+    spans = envelope.concat(
+        tracing.finished(made, F.col("us"), F.lit(None).cast("string")), tracing.finished(got.join(ends, "event_id"), F.col("status_us"), F.when(F.col("status") == "NACK", "child failed")),
+        tracing.finished(ch, F.col("done_us"), refused),
+    )
+    return spans.select("trace_id", "span_id", "parent_id", "name", "start_us", "end_us", "error")
+
+
+def _lines(text):
+    """A text's lines; one with a mark ends them with an error."""
+    for line in (text or "").split("\n"):
+        if "#" in line:
+            raise ValueError("marked line")
+        yield line
+
+
+@query("""with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents), p as (select doc_id, l, list_position(list_transform(l, lambda x: contains(x, '#')), true) as bad from l),
+m as (select doc_id, bad, case when bad is null or bad = 0 then len(l) else bad - 1 end as n from p),
+e as (select doc_id, n, bad > 0 as failed, case when doc_id % 13 <> 0 then n * 20000000 end as end_us from m),
+c as (select doc_id, i, case when (doc_id + i) % 97 <> 0 then (doc_id * 31 + i * 17) % 53 * 1000000 end as done_us, (doc_id + i) % 41 = 0 as nack from (select doc_id, unnest(range(n)) as i from m)),
+a as (select doc_id, count(done_us) as n_done, max(done_us) as last_us, min(done_us) filter (where nack) as nack_us from c group by doc_id),
+x as (select doc_id, n, failed, end_us, coalesce(n_done, 0) as n_done, last_us, nack_us, case when failed then end_us end as error_us from e left join a using (doc_id))
+select doc_id, n, case when nack_us is not null or error_us is not null then 'NACK' when not coalesce(failed, false) and end_us is not null and n_done = n then 'ACK' else 'PENDING' end as status,
+ case when nack_us is not null or error_us is not null then least(nack_us, error_us) when not coalesce(failed, false) and end_us is not null and n_done = n then greatest(end_us, last_us) end as status_us,
+ case when error_us is null and nack_us is not null or nack_us < error_us then 'refused' when error_us is null then null when nack_us = error_us then 'ValueError: marked line' else 'ValueError: marked line' end as error from x""")
+def publish_lines(s, d):
+    """Documents published as streams of their lines: elements are done, or refused, one by one, the stream ends late, with an error or
+    not at all."""
+    docs = V.table(s, d, "documents").select("doc_id", "text")
+    out = publishing.published(docs, "doc_id", "text", _lines)
+    i, doc = F.col("pos"), F.col("doc_id")
+    done = F.when((doc + i) % 97 != 0, (doc * 31 + i * 17) % 53 * 1_000_000)
+    ch = out.where("end is null").select("doc_id", done.alias("done_us"), F.when((doc + i) % 41 == 0, "NACK").otherwise("ACK").alias("outcome"), F.lit("refused").alias("error"))
+    ends = out.where("end is not null").select("doc_id", "end", F.when(doc % 13 != 0, i.cast("bigint") * 20_000_000).alias("end_us"), "error")
+    return publishing.acknowledged(ch, ends, docs, "doc_id")
+
+
 @query("select key, max_by(case when value = 'signup' then null else event_id end, (us, event_id)) as registered from records group by key having max_by(value, (us, event_id)) <> 'signup'")
 def metric_registry(s, d):
     """The last registration of each name counts, unless it was taken back."""

@@ -15,7 +15,6 @@ all deliveries before it.
 from __future__ import annotations
 
 import json
-import logging
 import threading
 import time
 from collections.abc import Callable
@@ -27,9 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions.model import AUTO_ACK, micros
-
-log = logging.getLogger(__name__)
-
+from tidewater.sources.messages import safely
 
 class AckLog:
     """What of a source is acknowledged: for each partition the next position to read.
@@ -102,18 +99,15 @@ class AckLog:
 
 
 class Timer(threading.Thread):
-    """Acknowledges an interval after another until it is stopped. A failure is logged, and the next interval tries again."""
+    """Acknowledges an interval after another until it is stopped. A failure is logged and told, and the next interval tries again."""
 
-    def __init__(self, acks: AckLog, clock: Callable[[], int] = lambda: time.time_ns() // 1000):
+    def __init__(self, acks: AckLog, clock: Callable[[], int] = lambda: time.time_ns() // 1000, on_error: Callable[[Exception], None] = lambda e: None):
         super().__init__(daemon=True)
-        self.acks, self.clock, self._over = acks, clock, threading.Event()
+        self.acks, self.clock, self.on_error, self._over = acks, clock, on_error, threading.Event()
 
     def run(self) -> None:
         while not self._over.wait(self.acks.interval / 1e6):
-            try:
-                self.acks.acknowledge(self.clock())
-            except Exception as e:  # noqa: BLE001
-                log.error("Could not acknowledge", exc_info=e)
+            safely(lambda: self.acks.acknowledge(self.clock()), self.on_error)
 
     def stop(self) -> None:
         self._over.set()

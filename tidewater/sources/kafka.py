@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import itertools
+import logging
 import time
 from collections import defaultdict
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import timedelta
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions.config import instantiate
 from tidewater.functions.model import AUTO_ACK
+from tidewater.operators.envelope import acknowledgeable
 
 # Settings of senders and receivers, each with its older name first.
 SENDER_IN_FLIGHT = ("max.in.flight", "sender.max.in.flight.per.send")
@@ -45,6 +48,58 @@ def sender_settings(config: Mapping[str, Any]) -> dict[str, Any]:
     return {"max_in_flight": in_flight(config, SENDER_IN_FLIGHT), "headers": flag(HEADERS_ENABLED, False), "stop_on_error": flag(STOP_ON_ERROR, False), "resubscribe": flag(RESUBSCRIBE_ON_ERROR, True)}
 
 
+#: Fixed value: the setting that names what makes rows of records acknowledgeable.
+FACTORY = "acknowledgeable.factory"
+
+
+def record_factory(config: Mapping[str, Any]) -> Callable[[DataFrame], DataFrame]:
+    """What makes records acknowledgeable: as the configuration names it, a dotted path, a class or an instance, with `create(df)` and
+    maybe `configure(config)`; else their rows with nothing said of them yet."""
+    made = config.get(FACTORY)
+    if made is None:
+        return acknowledgeable
+    made = instantiate(made)
+    if hasattr(made, "configure"):
+        made.configure(dict(config))
+    return made.create
+
+
+class LoggingInterceptor:
+    """Logs records where they are, in the tasks, one line each: as they are sent and received, their results and commits. Rows pass as
+    they are. handler makes a handler for a worker's logger, which by default writes to the executor's standard error."""
+
+    def __init__(self, name: str = __name__, handler: Callable[[], logging.Handler] | None = None):
+        self.name, self.handler = name, handler
+
+    def _told(self, df: DataFrame, line: Callable[[dict], tuple[int, str]]) -> DataFrame:
+        def go(batches):
+            logger, handler = logging.getLogger(self.name), self.handler() if self.handler else logging.StreamHandler()
+            logger.setLevel(logging.INFO)
+            logger.addHandler(handler)
+            try:
+                for b in batches:
+                    for r in b.to_pylist():
+                        logger.log(*line(r))
+                    yield b
+            finally:
+                logger.removeHandler(handler)
+                handler.close()
+
+        return df.mapInArrow(go, df.schema)
+
+    def on_send(self, records: DataFrame) -> DataFrame:
+        return self._told(records, lambda r: (logging.INFO, f"Sending: topic={r.get('topic')} part={r.get('part')} key={r.get('key')}"))
+
+    def on_result(self, results: DataFrame) -> DataFrame:
+        return self._told(results, lambda r: (logging.WARNING, f"Not sent: topic={r.get('topic')} error={r['error']}") if r.get("error") else (logging.INFO, f"Sent: topic={r.get('topic')} part={r.get('part')} off={r.get('off')}"))
+
+    def on_receive(self, records: DataFrame) -> DataFrame:
+        return self._told(records, lambda r: (logging.INFO, f"Received: topic={r.get('topic')} part={r.get('part')} off={r.get('off')} key={r.get('key')}"))
+
+    def on_commit(self, commits: DataFrame) -> DataFrame:
+        return self._told(commits, lambda r: (logging.INFO, f"Committed: part={r.get('part')} off={r.get('commit_off')}"))
+
+
 def outbound(df: DataFrame, topic: Column | str, key: Column, value: Column, headers: Column | None = None, keep_headers: bool = False) -> DataFrame:
     """(topic, key, value, headers) and the columns of df that have other names; headers are empty unless kept."""
     none = F.create_map().cast("map<string,string>")
