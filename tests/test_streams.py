@@ -121,6 +121,28 @@ def test_buffer_goldens(spark, tmp_path):
     assert sorted(got, key=repr) == sorted([("a", 0, [0], "CLOSER"), ("b", 0, [1, 2], "CLOSER"), (None, 0, [3, 4, 5], "FULL"), ("b", 1, [6], "TIME"), ("z", 0, [7], "TIME")], key=repr)
 
 
+def test_grouped_pipeline(spark, tmp_path):
+    """Five letters in, three buffers out, counted on both ends; then the table's buffers of fifty."""
+    letters = [(x, x in "AEIOU", 10**9 + i, i) for i, x in enumerate("ABCDE")] + [("", None, END + i * HOUR, 10 + i) for i in range(4)]
+    s = fed(spark, f"{tmp_path}/in", letters, "value string, vowel boolean, us long, event_id long", [2, 5, 6, 7, 8])
+    join = lambda works: F.array_join(F.transform(works, lambda w: w["value"].cast("string")), ",")
+    x = buffers.grouped_pipeline(s, "letters", "vowel", WindowConfig(timedelta(days=1), 2), join)
+    q = x.writeStream.format("memory").queryName("letters").option("checkpointLocation", f"{tmp_path}/a").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.table("letters").where("vowel is not null").collect()
+    assert sorted(r.result for r in got) == ["A,E", "B,C", "D"]
+    count = lambda n: sum(p.observedMetrics[n]["items"] for p in q.recentProgress if n in p.observedMetrics)
+    assert count("letters-inbound") - 4 == 5 and count("letters-outbound") - spark.table("letters").where("vowel is null").count() == 3
+    r = V.records(spark, SF).select(F.col("value").alias("grp"), "event_id", "us")
+    rows = [tuple(z) for z in r.orderBy("us", "event_id").collect()]
+    far = [("", 10**9 + i, END + 800 * i * 24 * HOUR) for i in range(4)]
+    s = fed(spark, f"{tmp_path}/in2", rows + far, r.schema, [300, 800, *(len(rows) + i for i in range(4))])
+    join = lambda works: F.array_join(F.transform(works, lambda w: w["event_id"].cast("string")), ",")
+    x = buffers.grouped_pipeline(s, "events", "grp", WindowConfig(timedelta(days=365), 50), join)
+    got = {(z.grp, z.buffer, z.result) for z in ran(spark, x, f"{tmp_path}/b") if z.grp}
+    assert got == {(z.grp, z.buffer, z.joined) for z in catalog.queries()["grouped_pipeline"](spark, SF).collect()}
+
+
 @pytest.mark.parametrize("burst", [False, True])
 def test_rate_limit(spark, tmp_path, burst):
     r = V.records(spark, SF).select("event_id", "part", "us")

@@ -7,7 +7,8 @@ buffer with its works as an array in order of arrival; what is done to it then i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tidewater.functions.model import CANCEL, COMMIT, WORK_BUFFER, WindowConfig, micros
 from tidewater.operators.windows import Fold
+from tidewater.streaming.pipeline import observed
+from tidewater.streaming.qos import rate_limited
 
 
 def _ms(us: int) -> int:
@@ -23,8 +26,15 @@ def _ms(us: int) -> int:
     return -(-us // 1000)
 
 
+def _time(us: int) -> datetime:
+    return datetime.fromtimestamp(0, UTC) + timedelta(microseconds=us)
+
+
 class Buffering(StatefulProcessor):
-    """Rows have the columns, `us`, the tie and `_closes`. Emits (key, window, window_start, closed, works): FULL, CLOSER or TIME."""
+    """Rows have the columns, `us`, the tie and `_closes`. Emits (key, window, window_start, closed, closed_at, works): FULL, CLOSER or TIME.
+
+    What comes out is no older than the watermark, so that another operator with state can follow.
+    """
 
     def __init__(self, out: list[str], element: T.StructType, us: str, tie: str, duration_us: int, max_size: int):
         self.out, self.work, self.element, self.us, self.tie, self.duration, self.most = Row(*out), Row(*element.names), element, us, tie, duration_us, max_size
@@ -35,18 +45,19 @@ class Buffering(StatefulProcessor):
         self.elements = handle.getListState("elements", self.element)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         start, n, number = self.window.get() if self.window.exists() else (0, 0, 0)
         works = [self.work(*x) for x in self.elements.get()] if n else []
         was = start if n else None
         for r in sorted(rows, key=lambda r: (r[self.us], r[self.tie])):
             if works and r[self.us] >= start + self.duration:
-                yield self.out(key[0], number, start, "TIME", works)
+                yield self.out(key[0], number, start, "TIME", _time(max(start + self.duration, now)), works)
                 number, works = number + 1, []
             if not works:
                 start = r[self.us]
             works.append(self.work(*(r[c] for c in self.element.names)))
             if r["_closes"] or len(works) >= self.most:
-                yield self.out(key[0], number, start, "CLOSER" if r["_closes"] else "FULL", works)
+                yield self.out(key[0], number, start, "CLOSER" if r["_closes"] else "FULL", _time(max(r[self.us], now)), works)
                 number, works = number + 1, []
         if was is not None and not (works and start == was):
             self.handle.deleteTimer(_ms(was + self.duration))
@@ -64,7 +75,8 @@ class Buffering(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         start, n, number = self.window.get() if self.window.exists() else (0, 0, 0)
         if n and _ms(start + self.duration) <= expiredTimerInfo.getExpiryTimeInMs():
-            yield self.out(key[0], number, start, "TIME", [self.work(*x) for x in self.elements.get()])
+            now = timerValues.getCurrentWatermarkInMs() * 1000
+            yield self.out(key[0], number, start, "TIME", _time(max(start + self.duration, now)), [self.work(*x) for x in self.elements.get()])
             self._keep(0, number + 1, [])
 
     def close(self) -> None:
@@ -72,17 +84,17 @@ class Buffering(StatefulProcessor):
 
 
 def buffered(stream: DataFrame, key: str, config: WindowConfig, closes: Column, us: str = "us", tie: str = "event_id", watermark: str = "0 seconds") -> DataFrame:
-    """A stream (key, window, window_start, closed, works), a row for each buffer that has closed.
+    """A stream (key, window, window_start, closed, closed_at, works), a row for each buffer that has closed. closed_at is its event time.
 
     stream has the columns of an element; `us` is its arrival in microseconds. Elements that come later than the watermark are dropped by
     Spark. A buffer that is open when the stream stops stays in its state. `max_size` bounds what a buffer holds: without one a
     subject's buffer grows with its elements of one duration.
     """
     element = T.StructType([T.StructField(f.name, f.dataType, True) for f in stream.schema.fields])
-    out = T.StructType([T.StructField(key, stream.schema[key].dataType), *T.StructType.fromDDL("window bigint, window_start bigint, closed string").fields, T.StructField("works", T.ArrayType(element))])
+    out = T.StructType([T.StructField(key, stream.schema[key].dataType), *T.StructType.fromDDL("window bigint, window_start bigint, closed string, closed_at timestamp").fields, T.StructField("works", T.ArrayType(element))])
     x = stream.withColumns({"_closes": F.coalesce(closes, F.lit(False)), "_ts": F.timestamp_micros(us)}).withWatermark("_ts", watermark)
     p = Buffering(out.names, element, us, tie, micros(config.duration), config.max_size or 1 << 62)
-    return x.groupBy(key).transformWithState(statefulProcessor=p, outputStructType=out, outputMode="Append", timeMode="EventTime")
+    return x.groupBy(key).transformWithState(statefulProcessor=p, outputStructType=out, outputMode="Append", timeMode="EventTime", eventTimeColumnName="closed_at")
 
 
 def work_buffers(works: DataFrame, config: WindowConfig = WORK_BUFFER, watermark: str = "0 seconds") -> DataFrame:
@@ -126,3 +138,16 @@ def translate(buffers: DataFrame, failed: Column, fails_again: Column, reduce: F
     state = F.when(empty, "EMPTY").when(bad, "FAILED").otherwise("TRANSLATED")
     fate = F.when(empty, "ACKED").when(bad, F.when(F.coalesce(fails_again, F.lit(False)), "NACKED").otherwise("ACKED")).otherwise("CARRIED")
     return x.withColumns({"state": state, "fate": fate}).drop("_kept")
+
+
+def grouped_pipeline(stream: DataFrame, name: str, group: str, config: WindowConfig, transform: Callable[[Column], Column], permits_per_second: float = 1000, us: str = "us", tie: str = "event_id", watermark: str = "0 seconds") -> DataFrame:
+    """A pipeline by group as one streaming query: elements are counted as <name>-inbound, buffered by group, transformed buffer by buffer,
+    let through at a rate a group, and counted as <name>-outbound.
+
+    Gives (group, buffer, result, out_us). Two operators with state follow each other, in append mode, dealt by group, each group in
+    a task's state; the counts are observations of the query's progress, which MetricsListener takes up.
+    """
+    x = buffered(observed(stream, f"{name}-inbound"), group, config, F.lit(False), us, tie, watermark)
+    x = x.select(group, F.col("window").alias("buffer"), transform(F.col("works")).alias("result"), "closed_at", F.unix_micros("closed_at").alias("closed_us"))
+    x = rate_limited(x, permits_per_second, group, "closed_us", "buffer", watermark=None)
+    return observed(x.select(group, "buffer", "result", "out_us"), f"{name}-outbound")

@@ -59,17 +59,17 @@ class Limiter(StatefulProcessor):
         pass
 
 
-def rate_limited(stream: DataFrame, permits_per_second: float, limiter: str, us: str = "us", tie: str = "event_id", burst: bool = False, watermark: str = "0 seconds") -> DataFrame:
+def rate_limited(stream: DataFrame, permits_per_second: float, limiter: str, us: str = "us", tie: str = "event_id", burst: bool = False, watermark: str | None = "0 seconds") -> DataFrame:
     """The stream's rows with `out_us`, when each may pass, one permit apart for each limiter; a row comes out once event time has
     reached it. The stream itself where permits are not positive.
 
     burst: up to a second's unused permits are stored and spent at once. Permits are given in order of arrival (us, tie); rows later
-    than the watermark are dropped by Spark. What waits of a limiter is in its state, as much as came faster than it may pass.
+    than the watermark (None: the stream has one) are dropped by Spark. What waits of a limiter is in its state, as much as came faster than it may pass.
     """
     if permits_per_second <= 0:
         return stream
     row = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in stream.schema.fields), T.StructField("out_us", T.LongType())])
-    x = stream.withColumn("_ts", F.timestamp_micros(us)).withWatermark("_ts", watermark)
+    x = stream if watermark is None else stream.withColumn("_ts", F.timestamp_micros(us)).withWatermark("_ts", watermark)
     p = Limiter(row, us, tie, permits_per_second, burst)
     return x.groupBy(limiter).transformWithState(statefulProcessor=p, outputStructType=row, outputMode="Append", timeMode="EventTime")
 
