@@ -234,6 +234,19 @@ def test_numbers_with_nulls(spark, monkeypatch, whole):
     assert {r.id: r.out_us for r in qos.rate_limit(df.where("us is not null"), 1, "g", tie="id").collect()}.keys() == {0, 2, 3, 4, 5, 6, 7, 8}
 
 
+def test_inactivity_over_blocks(spark, monkeypatch):
+    """One key's elements in many blocks; ties, and a null key."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "b", None]), rng.randrange(3000)) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, key string, us long")
+    whole = sorted(map(tuple, qos.inactivity(df, "key", 20, 5, until_us=10_000).collect()), key=repr)
+    for name, value in (("WHOLE", 0), ("SPAN", 50), ("BLOCK", 7)):
+        monkeypatch.setattr(prefix, name, value)
+    assert sorted(map(tuple, qos.inactivity(df, "key", 20, 5, until_us=10_000).collect()), key=repr) == whole and len(whole) > 50
+
+
 def test_numbers_of_one_instant(spark, monkeypatch):
     """All rows share a group and an instant: no task gets many more than a range's, and places are right."""
     monkeypatch.setattr(prefix, "WHOLE", 0)

@@ -84,6 +84,12 @@ def auto_commits(records: DataFrame, interval_us: int, delay_us: int) -> DataFra
     return records.groupBy("part", end.alias("window_end")).agg((F.max("off") + 1).alias("commit_off"), F.count("*").alias("n")).withColumn("ack_us", F.col("window_end") + delay_us)
 
 
+def auto_last(records: DataFrame, interval_us: int, order: list[str], value: str) -> DataFrame:
+    """(window_end, value): the last record of each epoch-aligned interval, which a multiple acknowledgement answers for all."""
+    end = (F.expr(f"us div {interval_us}") + 1) * interval_us
+    return records.groupBy(end.alias("window_end")).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
 def correlate(sent: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
     """What each sent record's result does to its acknowledgement: ACK, NACK where the result has an error, OPEN where there is none yet.
     `results` has the keys, once each, and `error`."""

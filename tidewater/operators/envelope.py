@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PENDING, ACKED, NACKED = "PENDING", "ACKED", "NACKED"
@@ -69,6 +70,25 @@ def first_match(df: DataFrame, match: Column, order: list[str]) -> DataFrame:
     return df.where(match).orderBy(*order).limit(1)
 
 
+def merged(**streams: DataFrame) -> DataFrame:
+    """The rows of all streams, in no order between them: `signal` names where a row is from."""
+    out = [s.withColumn("signal", F.lit(n)) for n, s in streams.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+def taken(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
+    """The first n rows of each group. Tasks drop what cannot be among them before rows are shuffled."""
+    x = df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return x.where(F.col("_n") <= n).drop("_n")
+
+
+def inverted(df: DataFrame, batch: list[str], order: str, value: str) -> DataFrame:
+    """A row of each batch of rows: `n` and `members`, its values in order, whose acknowledgements then run in that order. A batch
+    is what one buffer held."""
+    each = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    return df.groupBy(*batch).agg(F.count("*").alias("n"), F.transform(each, lambda x: x["v"]).alias("members"))
+
+
 def concat(*streams: DataFrame) -> DataFrame:
     """All rows of the first, then of the second, and so on: `stream` numbers where a row is from."""
     parts = [s.withColumn("stream", F.lit(i)) for i, s in enumerate(streams)]

@@ -47,6 +47,11 @@ def spans(df: DataFrame, key: list[str], n: int, most: int = SPANS) -> DataFrame
     return df.withColumn("_span", F.aggregate(steps, F.lit(0), at) if bounds else F.lit(0))
 
 
+def few(df: DataFrame) -> bool:
+    """Whether a window may hold all rows, should they share a group."""
+    return df.count() <= WHOLE
+
+
 def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """df with `name`, each row's place within its group, from 0, by `order`. Null is a group like others, and comes first in order.
 
@@ -55,7 +60,7 @@ def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFram
     its own. Rows that are equal in group and order, all columns of it, share a range; they are told apart arbitrarily.
     """
     own = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    if df.count() <= WHOLE:
+    if few(df):
         return df.withColumn(name, own.cast("bigint"))
     x = spans(df, [group, *order], SPAN).withColumn("_group", F.struct(group))
     before = Window.partitionBy("_group").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.model import RESUBSCRIBE_DELAY
-from tidewater.operators.prefix import by_block, numbered
+from tidewater.operators.prefix import by_block, few, numbered
 
 
 def rate_limit(df: DataFrame, permits_per_second: float, limiter: str, us: str = "us", tie: str = "event_id") -> DataFrame:
@@ -23,6 +23,11 @@ def rate_limit(df: DataFrame, permits_per_second: float, limiter: str, us: str =
     if permits_per_second <= 0:
         return df
     gap = round(1_000_000 / permits_per_second)
+    if few(df):
+        by = Window.partitionBy(limiter).orderBy(us, tie)
+        x = df.withColumn("_k", F.row_number().over(by).cast("bigint"))
+        most = F.max(F.col(us) - F.col("_k") * gap).over(by.rowsBetween(Window.unboundedPreceding, 0))
+        return x.withColumn("out_us", most + F.col("_k") * gap).drop("_k")
     x = numbered(df, limiter, [us, tie], "_k").withColumn("_m", F.col(us) - F.col("_k") * gap)
     x, w = by_block(x, limiter, "_k", {"_most": F.max("_m")}, {"_most": F.max("_most")})
     return x.withColumn("out_us", F.greatest("_most", F.max("_m").over(w)) + F.col("_k") * gap).drop("_k", "_m", "_b", "_most")
@@ -62,7 +67,12 @@ def inactivity(df: DataFrame, key: str, max_inactivity_us: int, interval_us: int
     """
     if max_inactivity_us <= 0:
         return df.limit(0).select(key, F.col(us).alias("last_us"), F.col(us).alias("next_us"), F.col(us).alias("noticed_us"))
-    x = df.select(key, F.col(us).alias("last_us"), F.lead(us).over(Window.partitionBy(key).orderBy(us, tie)).alias("next_us"))
+    if few(df):
+        x = df.select(key, F.col(us).alias("last_us"), F.lead(us).over(Window.partitionBy(key).orderBy(us, tie)).alias("next_us"))
+    else:  # a block's last element is followed by the first of the next block
+        x, _ = by_block(numbered(df.select(key, us, tie), key, [us, tie], "_k"), key, "_k", {"_next": F.min(us)}, {"_next": F.min("_next")}, descending=True)
+        lead = F.lead(us).over(Window.partitionBy("_b").orderBy("_k"))
+        x = x.select(key, F.col(us).alias("last_us"), F.coalesce(lead, "_next").alias("next_us"))
     x = x.withColumn("noticed_us", F.col("last_us") + (F.lit(max_inactivity_us // interval_us) + 1) * interval_us)
     return x.where(F.coalesce("next_us", F.lit(until_us).cast("bigint")) > F.col("noticed_us"))
 

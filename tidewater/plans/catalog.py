@@ -324,8 +324,8 @@ def reduce_ack(s, d):
 
 @query("select part, off // 8 as batch, count(*) as n, string_agg(off::varchar, ',' order by off) as members from records group by all")
 def invert_list(s, d):
-    r = V.records(s, d).groupBy("part", F.expr("off div 8").alias("batch")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("off")).alias("m"))
-    return r.select("part", "batch", "n", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("members"))
+    r = envelope.inverted(V.records(s, d).withColumn("batch", F.expr("off div 8")), ["part", "batch"], "off", "off")
+    return r.select("part", "batch", "n", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
 @query(f"select part, (us // {HOURS6} + 1) * {HOURS6} as window_end, max(off) + 1 as commit_off, count(*) as n, (us // {HOURS6} + 1) * {HOURS6} + 5000000 as ack_us from records group by part, us // {HOURS6}")
@@ -336,7 +336,7 @@ def auto_ack_commits(s, d):
 @query(f"select (us // {HOURS6} + 1) * {HOURS6} as window_end, max_by(event_id, (us, event_id)) as event_id from records group by us // {HOURS6}")
 def auto_ack_last(s, d):
     """The last message of each interval, which a multiple acknowledgement answers for all."""
-    return V.records(s, d).groupBy(((F.expr(f"us div {HOURS6}") + 1) * HOURS6).alias("window_end")).agg(F.max_by("event_id", F.struct("us", "event_id")).alias("event_id"))
+    return ack.auto_last(V.records(s, d), HOURS6, ["us", "event_id"], "event_id")
 
 
 @query("select event_id, case when outcome = 'NACK' then case when event_id % 2 = 0 then 'DISCARD' else 'REQUEUE' end else 'ACK' end as action from completions where done_us is not null")
@@ -461,13 +461,13 @@ def activity_violations(s, d):
 
 @query("select event_id, us, 'data' as signal from records union all select -1 as event_id, min(us) as us, 'error' as signal from records")
 def merge_signals(s, d):
-    r = V.records(s, d)
-    return r.select("event_id", "us", F.lit("data").alias("signal")).unionByName(r.agg(F.min("us").alias("us")).select(F.lit(-1).cast("bigint").alias("event_id"), "us", F.lit("error").alias("signal")))
+    r = V.records(s, d).select("event_id", "us")
+    return envelope.merged(data=r, error=r.agg(F.min("us").alias("us")).select(F.lit(-1).cast("bigint").alias("event_id"), "us"))
 
 
 @query("select part, off, event_id from records where off < 3")
 def take_first(s, d):
-    return V.records(s, d).where("off < 3").select("part", "off", "event_id")
+    return envelope.taken(V.records(s, d), "part", ["off"], 3).select("part", "off", "event_id")
 
 
 # headers, names, codecs
