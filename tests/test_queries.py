@@ -10,7 +10,7 @@ from tidewater.functions import columns as C
 from tidewater.functions import config
 from tidewater.functions.model import WindowConfig, duration
 from tidewater.operators import ack, grouping, prefix, qos, windows
-from tidewater.plans import catalog
+from tidewater.plans import catalog, streams  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
