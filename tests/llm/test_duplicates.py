@@ -218,3 +218,21 @@ def test_tables_are_deleted(spark):
     before = set(store.made())
     out = near_duplicates(df)
     assert len(set(store.made()) - before) == 2 and out.count() == df.count()
+
+
+def test_near_duplicates_against_an_exact_join(spark):
+    """At sf0.01, by every pair that shares a shingle."""
+    sf = "/root/testdata/sf0.01"
+    want = brute_classes(texts(spark, sf), 4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op10_minhash(spark, sf).collect()}
+    assert got == want and sum(k != c for k, (_, c) in want.items()) > 50
+
+
+def test_classes_whose_hashes_meet(spark, monkeypatch):
+    """Different sets that share the first half of their hash are classes of their own."""
+    import tidewater.llm.minhash as m
+
+    whole, first = m._class, []
+    monkeypatch.setattr(m, "_class", lambda salt: first.append(salt) or (whole(0) % 7 if salt == 0 else whole(salt)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op10_minhash(spark, SF).collect()}
+    assert got == brute_classes(texts(spark), 4) and 1 in first

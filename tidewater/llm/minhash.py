@@ -92,11 +92,16 @@ def _sets(n: int, wanted: np.ndarray):
         for b in slices((b.filter(pa.array(sifted(wanted, b.column(0).to_numpy()))) for b in batches), size=SLICE):
             g, at = shingle_sets(*text_bytes(b.column(1)), n)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(g.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(_set_hash(g, at)[:, 0]), lists], ["c", "shingles"])
+            h1, h2 = _set_hash(g, at).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h1)), pa.array(np.ascontiguousarray(h2)), lists], ["h1", "h2", "shingles"])
 
     return lambda batches: trimmed(run(batches))
 
 
+def _class(salt: int):
+    return F.col("h1") if salt == 0 else F.xxhash64("h1", "h2", F.lit(salt))
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike."""
     full = pairs.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("y")), "b")
@@ -151,19 +156,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     sig = cut(docs.withColumn("row", F.xxhash64("text")).mapInArrow(_signatures(shingle, side, rows), "doc_id long, row long, n_shingles long, h1 long, h2 long, sa array<long>, sb array<long>"), "signatures")
-    # a class of equal sets is known by the first half of its hash, c
+    # a class of equal sets is known by c, the first half of its hash, or if that is not one of its own, by another of both halves
     classes = sig.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("size"), F.first("sa").alias("sa"), F.first("sb").alias("sb"))
-    classes = cut(classes.withColumn("c", F.col("h1")), "classes")
+    classes = cut(classes, "classes")
+    n_classes, salt = classes.count(), 0
+    while classes.select(_class(salt)).distinct().count() < n_classes:
+        salt += 1
+    classes = classes.withColumn("c", _class(salt))
     keys = classes.select("c", F.posexplode("sa").alias("i", "x"), "sb").select("c", "i", "x", F.posexplode("sb").alias("j", "y")).select("c", F.xxhash64("i", "j", "x", "y").alias("key"))
     # what is known of a key is written before it is joined, so that a frequent key's rows can be split
     shared = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    n_classes, rows_met = classes.count(), shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows_met = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = cut(keys.join(shared, "key"), "met", side * side * n_classes)
     often = cut(found.groupBy("c").agg(F.sum("n").alias("often")).join(classes.select("c", "doc", "size"), "c"), "often", rows_met + n_classes)
     some = often.count()
     met = cut(found.join(often, "c").select("key", "c", "often", "doc", "size"), "buckets", rows_met)
     wanted = sieve(often, "doc")
-    sets = cut(docs.mapInArrow(_sets(shingle, wanted), "c long, shingles array<long>").join(often.select("c"), "c", "left_semi"), "sets", some, SETS)
+    sets = docs.mapInArrow(_sets(shingle, wanted), "h1 long, h2 long, shingles array<long>").select(_class(salt).alias("c"), "shingles")
+    sets = cut(sets.join(often.select("c"), "c", "left_semi"), "sets", some, SETS)
     first = met.groupBy("key").agg(F.min(F.struct((-F.col("often")).alias("o"), "doc", F.col("c").alias("a"), F.col("size").alias("za"))).alias("f")).select("key", "f.a", "f.za")
     first = cut(first, "first", rows_met)
     pairs = cut(met.join(first, "key").where(f"c != a and 100 * least(size, za) >= {percent} * greatest(size, za)").select("a", F.col("c").alias("b")).distinct(), "pairs", rows_met)
