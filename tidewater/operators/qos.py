@@ -67,13 +67,12 @@ def inactivity(df: DataFrame, key: str, max_inactivity_us: int, interval_us: int
     """
     if max_inactivity_us <= 0:
         return df.limit(0).select(key, F.col(us).alias("last_us"), F.col(us).alias("next_us"), F.col(us).alias("noticed_us"))
-    if few(df):
-        x = df.select(key, F.col(us).alias("last_us"), F.lead(us).over(Window.partitionBy(key).orderBy(us, tie)).alias("next_us"))
-    else:  # a block's last element is followed by the first of the next block
-        x, _ = by_block(numbered(df.select(key, us, tie), key, [us, tie], "_k"), key, "_k", {"_next": F.min(us)}, {"_next": F.min("_next")}, descending=True)
-        lead = F.lead(us).over(Window.partitionBy("_b").orderBy("_k"))
-        x = x.select(key, F.col(us).alias("last_us"), F.coalesce(lead, "_next").alias("next_us"))
-    x = x.withColumn("noticed_us", F.col("last_us") + (F.lit(max_inactivity_us // interval_us) + 1) * interval_us)
+    # a silence that is noticed is longer than `after`: it is between the last element in one interval of that length and the first in the
+    # key's next interval that has any. So nothing is sorted but a key's intervals, and elements are summed up before they are shuffled.
+    after = (max_inactivity_us // interval_us + 1) * interval_us
+    span = F.expr(f"(`{us}` - pmod(`{us}`, {after})) div {after}")
+    x = df.groupBy(key, span.alias("_n")).agg(F.min(us).alias("_first"), F.max(us).alias("last_us"))
+    x = x.select(key, "last_us", F.lead("_first").over(Window.partitionBy(key).orderBy("_n")).alias("next_us")).withColumn("noticed_us", F.col("last_us") + after)
     return x.where(F.coalesce("next_us", F.lit(until_us).cast("bigint")) > F.col("noticed_us"))
 
 

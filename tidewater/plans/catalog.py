@@ -456,7 +456,8 @@ def rate_limit_disabled(s, d):
 @query("""with l as (select key, us as last_us, lead(us) over (partition by key order by us, event_id) as next_us from records)
 select key, last_us, next_us, last_us + (43200000000 // 3600000000 + 1) * 3600000000 as noticed_us from l where next_us > last_us + (43200000000 // 3600000000 + 1) * 3600000000""")
 def activity_violations(s, d):
-    return qos.inactivity(V.records(s, d), "key", 12 * 3_600_000_000, 3_600_000_000)
+    e = V.events(s, d).select(F.col("user_id").cast("string").alias("key"), "us", "event_id")
+    return qos.inactivity(e, "key", 12 * 3_600_000_000, 3_600_000_000)
 
 
 @query("select event_id, us, 'data' as signal from records union all select -1 as event_id, min(us) as us, 'error' as signal from records")
