@@ -78,8 +78,10 @@ select event_id, max(us - rk * 3600000000) over (partition by part order by us,
 def stream_rate_limit(s, d):
     """Rows are held back until event time has reached their permit."""
     with Replay(s) as r:
-        records = V.records(s, d).select("event_id", "part", "us")
-        x = r.in_order(records, "us", last=[(-1 - i, -1, 3 * END_US + i * HOUR) for i in range(3)])
+        records = r.once(V.events(s, d).select("event_id", (F.col("user_id") % 10).cast("bigint").alias("part"), "us"), "records")
+        n, latest = records.agg(F.count("*"), F.max("us")).first()
+        end = (latest or 0) + (n + 1) * HOUR  # no permit is later
+        x = r.in_order(records, "us", last=[(-1 - i, -1, end + i * HOUR) for i in range(3)], most=BATCH)
         return r.to_end(qos.rate_limited(x, 1 / 3600, "part").where("part <> -1").select("event_id", "out_us"))
 
 
@@ -88,7 +90,7 @@ select key, last_us, last_us + 46800000000 as noticed_us from l where coalesce(n
 def stream_silence(s, d):
     """Each silence of a key is told once, also one that lasts to the end."""
     with Replay(s) as r:
-        x = r.in_order(V.records(s, d).select("key", "us"), "us", last=[("", END_US + 100 * i * HOUR) for i in range(2)])
+        x = r.in_order(V.events(s, d).select(F.col("user_id").cast("string").alias("key"), "us"), "us", last=[("", END_US + 100 * i * HOUR) for i in range(2)])
         return r.to_end(qos.silent(x, "key", 12 * HOUR, HOUR).where("key <> ''"))
 
 
@@ -97,8 +99,8 @@ select grp, (rn // 50)::bigint as buffer, string_agg(event_id::varchar, ',' orde
 def stream_grouped_pipeline(s, d):
     """Buffers of fifty by group, joined, let through at a rate: two operators with state, one after the other."""
     with Replay(s) as r:
-        records = V.records(s, d).select(F.col("value").alias("grp"), "event_id", "us")
-        x = r.in_order(records, "us", last=[("", -1 - i, END_US + 800 * i * 24 * HOUR) for i in range(4)])
+        records = V.events(s, d).select(F.col("event_type").alias("grp"), "event_id", "us")
+        x = r.in_order(records, "us", last=[("", -1 - i, END_US + 800 * i * 24 * HOUR) for i in range(4)], most=BATCH)
         join = lambda works: F.array_join(F.transform(works, lambda w: w["event_id"].cast("string")), ",")
         x = buffers.grouped_pipeline(x, "events", "grp", WindowConfig(timedelta(days=365), 50), join)
         return r.to_end(x.where("grp <> ''").select("grp", "buffer", F.col("result").alias("joined")))

@@ -10,10 +10,23 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
+#: Rows that wait for their permit, in one value of the state: what a task holds of them.
+CHUNK = 1000
+
+
 def _ms(us: int) -> int:
     return -(-us // 1000)
 
 
+def _plain(x):
+    """Rows as tuples, at any depth: a Row within a value is not taken by the state's writer."""
+    if isinstance(x, tuple):
+        return tuple(_plain(y) for y in x)
+    if isinstance(x, list):
+        return [_plain(y) for y in x]
+    return {k: _plain(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+
 class Limiter(StatefulProcessor):
     """Gives each row of a limiter its time, `out_us`, and holds it back until then."""
 
@@ -23,37 +36,52 @@ class Limiter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.permits = handle.getValueState("permits", "free_us bigint, stored double")
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.permits = handle.getValueState("permits", "free_us bigint, stored double, first bigint, next bigint")
+        chunk = T.StructType([T.StructField("rows", T.ArrayType(self.schema))])
+        self.waiting = handle.getMapState("waiting", "n bigint", chunk)  # chunks first to next - 1, in order of their rows' times
+
+    def _at(self, n: int) -> list[Row]:
+        return [self.row(*x) for x in self.waiting.getValue((n,))[0]]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        free, stored = self.permits.get() if self.permits.exists() else (None, 0.0)
-        held = []
+        free, stored, first, n = self.permits.get() if self.permits.exists() else (None, 0.0, 0, 0)
+        held, idle = [], first == n
         for r in sorted(rows, key=lambda r: (r[self.us], r[self.tie])):
             t = r[self.us]
             if free is None:
                 free = t
             if t > free:  # permits that nobody took are stored, as many as the burst holds
                 stored, free = min(self.most, stored + (t - free) / self.gap), t
-            held.append(self.row(*(r[c] for c in self.schema.names[:-1]), free))
+            if idle:
+                self.handle.registerTimer(_ms(free))
+                idle = False
+            held.append((*(_plain(r[c]) for c in self.schema.names[:-1]), free))
             used = min(1.0, stored)
             stored, free = stored - used, free + round((1 - used) * self.gap)
-        if not self.waiting.exists():
-            self.handle.registerTimer(_ms(held[0][-1]))
-        self.permits.update((free, stored))
-        self.waiting.appendList(held)
+            if len(held) == CHUNK:
+                self.waiting.updateValue((n,), (held,))
+                n, held = n + 1, []
+        if held:
+            self.waiting.updateValue((n,), (held,))
+            n += 1
+        self.permits.update((free, stored, first, n))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        held = [self.row(*x) for x in self.waiting.get()]  # in order of their times
-        due = next((i for i, x in enumerate(held) if _ms(x[-1]) > now), len(held))
-        yield from held[:due]
-        if due < len(held):
-            self.waiting.put(held[due:])
-            self.handle.registerTimer(_ms(held[due][-1]))
-        else:
-            self.waiting.clear()
+        free, stored, first, n = self.permits.get()
+        while first < n:
+            held = self._at(first)
+            due = next((i for i, x in enumerate(held) if _ms(x[-1]) > now), len(held))
+            yield from held[:due]
+            if due < len(held):
+                if due:
+                    self.waiting.updateValue((first,), ([_plain(x) for x in held[due:]],))
+                self.handle.registerTimer(_ms(held[due][-1]))
+                break
+            self.waiting.removeKey((first,))
+            first += 1
+        self.permits.update((free, stored, first, n))
 
     def close(self) -> None:
         pass
@@ -64,7 +92,8 @@ def rate_limited(stream: DataFrame, permits_per_second: float, limiter: str, us:
     reached it. The stream itself where permits are not positive.
 
     burst: up to a second's unused permits are stored and spent at once. Permits are given in order of arrival (us, tie); rows later
-    than the watermark (None: the stream has one) are dropped by Spark. What waits of a limiter is in its state, as much as came faster than it may pass.
+    than the watermark (None: the stream has one) are dropped by Spark. What waits of a limiter is in its state, as much as came faster than it may pass; a task
+    holds CHUNK rows of it, and a limiter's new rows of one micro-batch.
     """
     if permits_per_second <= 0:
         return stream
