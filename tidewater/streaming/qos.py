@@ -103,50 +103,20 @@ def rate_limited(stream: DataFrame, permits_per_second: float, limiter: str, us:
     return x.groupBy(limiter).transformWithState(statefulProcessor=p, outputStructType=row, outputMode="Append", timeMode="EventTime")
 
 
-class Silence(StatefulProcessor):
-    """A timer for each key, set anew by each row, at the first check that would find it silent too long."""
-
-    def __init__(self, out: list[str], after_us: int, us: str):
-        self.out, self.after, self.us = Row(*out), after_us, us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "us bigint, told boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        last, told = self.last.get() if self.last.exists() else (None, False)
-        was = None if last is None or told else last
-        for t in sorted(r[self.us] for r in rows):
-            if last is not None and not told and t > last + self.after:  # found out by the row before the timer was due
-                yield self.out(key[0], last, last + self.after)
-            last, told = t if last is None else max(last, t), False
-        if was is not None:
-            self.handle.deleteTimer(_ms(was + self.after + 1))
-        self.handle.registerTimer(_ms(last + self.after + 1))
-        self.last.update((last, False))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        last, told = self.last.get()
-        if not told and _ms(last + self.after + 1) <= expiredTimerInfo.getExpiryTimeInMs():
-            yield self.out(key[0], last, last + self.after)
-            self.last.update((last, True))
-
-    def close(self) -> None:
-        pass
-
-
 def silent(stream: DataFrame, key: str, max_inactivity_us: int, interval_us: int, us: str = "us", watermark: str = "0 seconds") -> DataFrame:
     """A stream (key, last_us, noticed_us), a row each time that a key has been silent too long: its last arrival, and the first check,
     every interval after that, that notices. An empty stream of that kind where max_inactivity is not positive.
 
-    A key's silence is told once, when event time has passed the check, or with the row that ends it. State is a row a key.
+    A key's silence is told once, when event time has passed the check. What lies between two silences is a session of the key, so state is
+    a row for each session that has not ended, kept and merged in the JVM: a batch sends what its tasks' rows of a key sum up to, and costs no
+    call to Python a key. A row later than the watermark counts while its check is not past; others are dropped by Spark.
     """
-    out = T.StructType([T.StructField(key, stream.schema[key].dataType), *T.StructType.fromDDL("last_us bigint, noticed_us bigint").fields])
     if max_inactivity_us <= 0:
         return stream.where(F.lit(False)).select(key, F.col(us).alias("last_us"), F.col(us).alias("noticed_us"))
     after = (max_inactivity_us // interval_us + 1) * interval_us
     x = stream.select(key, us, F.timestamp_micros(us).alias("_ts")).withWatermark("_ts", watermark)
-    return x.groupBy(key).transformWithState(statefulProcessor=Silence(out.names, after, us), outputStructType=out, outputMode="Append", timeMode="EventTime")
+    x = x.groupBy(key, F.session_window("_ts", f"{after} microseconds")).agg(F.max(us).alias("last_us"))
+    return x.select(key, "last_us", (F.col("last_us") + after).alias("noticed_us"))
 
 
 def raised(stream: DataFrame) -> DataFrame:
