@@ -14,7 +14,7 @@ from tidewater.sources.auto import receive_auto
 from tidewater.sources.sender import correlated
 from tidewater.streaming import acks, buffers, qos
 from tidewater.streaming.recycling import RecycleConfig, RecyclingLoop
-from tidewater.streaming.replay import BATCH, Replay
+from tidewater.streaming.replay import BATCH, MANY, Replay
 
 #: When the clock stands after the table's end.
 END_US = 1_893_456_000_000_000
@@ -49,16 +49,17 @@ def stream_ack_cumulative(s, d):
         return r.to_end(x).select("part", "off", "executed_us", F.col("outcome").alias("executed_as"))
 
 
-def _works(s, d, r):
-    far = [(-1 - i, -1, "INTENT", "", END_US + i * HOUR, 0, 0, False, False, 0) for i in range(2)]
-    return r.in_order(V.works(s, d), "us", last=far)
+def _works(s, d, r, *columns):
+    """The works' columns that a query is in need of: each costs a conversion a row, on the way to Python and back."""
+    far = [{"event_id": -1 - i, "subject": -1, "type": "INTENT", "marker": "", "us": END_US + i * HOUR, "inception_ms": 0, "recycle_count": 0, "prepared": False, "fails": False, "rank": 0} for i in range(2)]
+    return r.in_order(V.works(s, d).select(*columns), "us", last=[tuple(w[c] for c in columns) for w in far], most=MANY)
 
 
 @K.query(K._TR + """ select subject, "window", state, fate, n, n_kept, case when state = 'TRANSLATED' then winner end as winner from o""", True)
 def stream_translate(s, d):
     """Works buffered, reconciled and translated as they come."""
     with Replay(s) as r:
-        x = buffers.translate(buffers.work_buffers(_works(s, d, r), K.BUFFER), F.col("work.fails"), F.col("work.rank") == 1)
+        x = buffers.translate(buffers.work_buffers(_works(s, d, r, *V.works(s, d).columns), K.BUFFER), F.col("work.fails"), F.col("work.rank") == 1)
         x = x.select("subject", "window", "state", "fate", "n", "n_kept", F.when(F.col("state") == "TRANSLATED", F.col("work.event_id")).alias("winner"))
         return r.to_end(x.where("subject <> -1"))
 
@@ -66,7 +67,7 @@ def stream_translate(s, d):
 @K.query(K._BUFFER + " select event_id, subject, win as window, window_start from b", True)
 def stream_work_buffer(s, d):
     with Replay(s) as r:
-        x = buffers.work_buffers(_works(s, d, r), K.BUFFER).where("subject <> -1")
+        x = buffers.work_buffers(_works(s, d, r, "event_id", "subject", "us", "rank"), K.BUFFER).where("subject <> -1")
         return r.to_end(x.select("subject", "window", "window_start", F.explode("works").alias("w"))).select("w.event_id", "subject", "window", "window_start")
 
 
@@ -90,7 +91,7 @@ select key, last_us, last_us + 46800000000 as noticed_us from l where coalesce(n
 def stream_silence(s, d):
     """Each silence of a key is told once, also one that lasts to the end."""
     with Replay(s) as r:
-        x = r.in_order(V.events(s, d).select(F.col("user_id").cast("string").alias("key"), "us"), "us", last=[("", END_US + 100 * i * HOUR) for i in range(2)])
+        x = r.in_order(V.events(s, d).select(F.col("user_id").cast("string").alias("key"), "us"), "us", last=[("", END_US + 100 * i * HOUR) for i in range(2)], most=MANY)
         # on the stream this condition would be pushed below the watermark, which the last rows then would not move
         return r.to_end(qos.silent(x, "key", 12 * HOUR, HOUR)).where("key <> ''")
 
