@@ -59,7 +59,7 @@ def _works(s, d, r, *columns):
 def stream_translate(s, d):
     """Works buffered, reconciled and translated as they come."""
     with Replay(s) as r:
-        x = buffers.translate(buffers.work_buffers(_works(s, d, r, *V.works(s, d).columns), K.BUFFER), F.col("work.fails"), F.col("work.rank") == 1)
+        x = buffers.translate(buffers.work_buffers(_works(s, d, r, "event_id", "subject", "marker", "us", "inception_ms", "fails", "rank"), K.BUFFER), F.col("work.fails"), F.col("work.rank") == 1)
         x = x.select("subject", "window", "state", "fate", "n", "n_kept", F.when(F.col("state") == "TRANSLATED", F.col("work.event_id")).alias("winner"))
         return r.to_end(x.where("subject <> -1"))
 
