@@ -46,3 +46,18 @@ def test_a_replay_is_whole_and_in_order(spark, files, monkeypatch):
     assert sorted(i for b in batches for _, i in b if i >= 0) == list(range(5000))
     for a, b in zip(batches[:-1], batches[1:], strict=True):
         assert max(a)[0] < min(b)[0]
+
+
+def test_a_table_is_staged_in_the_sessions_partitions(spark):
+    """Not in the few that a stream's state has, in which a task's share would grow with the table."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        with replay.Replay(spark) as r:
+            few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            x = r.once(spark.range(2000).repartition("id").selectExpr("id", "spark_partition_id() as p"), "x")
+            assert few == spark.sparkContext.defaultParallelism < x.select("p").distinct().count() and int(spark.conf.get("spark.sql.shuffle.partitions")) == few
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)

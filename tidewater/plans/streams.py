@@ -126,7 +126,7 @@ def stream_send_results(s, d):
 def stream_auto_ack(s, d):
     """What a source that acknowledges itself has in its log when the last of the table has been read: the intervals that were due."""
     with Replay(s) as r:
-        x = r.in_order(V.records(s, d).select("part", "off", "us", "event_id"), "us")
+        x = r.in_order(V.records(s, d).select("part", "off", "us", "event_id"), "us", most=MANY)
         receiver = receive_auto(x, r.scratch("log"), lambda batch, n: None, r.scratch("checkpoint"), timedelta(hours=6), timedelta(seconds=5), availableNow=True)
         receiver.awaitTermination()
         receiver.acks.commits().write.parquet(f"{r.folder}/commits")
